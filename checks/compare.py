@@ -85,7 +85,7 @@ def main(sf_dir: str, *only: str) -> int:
         try:
             problem = differences(spark, con, name, sf_dir) if name in ORACLES else "no SQL"
         except Exception:
-            problem = traceback.format_exc()[-1500:]
+            problem = " ".join(traceback.format_exc(limit=-3).split("JVM stacktrace")[0][:1500].splitlines())
         bad += problem is not None
         print(f"{'ok  ' if problem is None else 'FAIL'} {name} {time.time() - start:.1f}s {problem or ''}", flush=True)
     print(f"{bad} of {len(only or QUERIES)} differ")

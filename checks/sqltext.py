@@ -204,7 +204,8 @@ counts AS (
   SELECT conf, "year", candidate,
          CASE WHEN candidate % 2 = 0 THEN CAST(-1 AS BIGINT) ELSE count(*) END AS submissions,
          count(*) FILTER (WHERE candidate % 2 = 0 OR accepted) AS accepted
-  FROM page_notes JOIN kept_pages USING (conf, "year", candidate, "offset") GROUP BY ALL),
+  FROM page_notes JOIN kept_pages USING (conf, "year", candidate, "offset")
+  GROUP BY conf, "year", candidate),
 winners AS (
   SELECT * EXCLUDE (rn) FROM (
     SELECT *, row_number() OVER (PARTITION BY conf, "year" ORDER BY candidate) AS rn FROM counts WHERE accepted > 0)

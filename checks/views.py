@@ -192,7 +192,9 @@ def _note_json(documents: DataFrame) -> DataFrame:
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _note_json(table(spark, sf_dir, "documents")).withColumn("note", F.parse_json("note"))
+    listed = _note_json(table(spark, sf_dir, "documents"))
+    # As in a landed page, a note is an element of a list.
+    return listed.select("doc_id", "conf", "year", F.explode(F.array(F.parse_json("note"))).alias("note"))
 
 
 def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,22 +5,14 @@ case-insensitive search where "." stops only at a line feed.  In Spark that is
 the flag set below; every pattern goes through here so that none misses it.
 """
 
-from re import _parser
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FLAGS = "(?iuUd)"
 
-# Letters outside ASCII that a case-insensitive search treats as s, k or i.
-FOLDING_LETTERS = ("\u017f", "\u212a", "\u0130", "\u0131")
-
 # Characters that get a backslash when a keyword becomes a pattern.
 ESCAPED_CHARS = r"([()\[\]{}?*+\-|^$\\.&~# \t\n\r\x0b\x0c])"
 
-# Above this many literals the plain search is used without the literal check.
-MAX_LITERALS = 256
-
 
 def escape(keyword: Column) -> Column:
     """Keyword text -> pattern text that matches it literally."""
@@ -32,95 +24,78 @@ def word_pattern(keyword: Column) -> Column:
     return F.concat(F.lit(r"\b"), escape(keyword), F.lit(r"\b"))
 
 
-def branches(pattern: str) -> list[str]:
-    """Split a pattern at its top-level "|"."""
-    parts, start, depth, in_class, i = [], 0, 0, False, 0
-    while i < len(pattern):
-        c = pattern[i]
-        if c == "\\":
-            i += 1
-        elif in_class:
-            in_class = c != "]"
-        elif c == "[":
-            in_class = True
-        elif c in "()":
-            depth += 1 if c == "(" else -1
-        elif c == "|" and depth == 0:
-            parts.append(pattern[start:i])
-            start = i + 1
-        i += 1
-    return parts + [pattern[start:]]
+def matches_any(text: Column, patterns: list[str]) -> Column:
+    """True when any pattern is found in `text`."""
+    return text.rlike(alternation(patterns))
 
 
 def alternation(patterns: list[str]) -> str:
-    """One pattern that matches where any of `patterns` does.
+    r"""One pattern that matches where any of `patterns` does.
 
-    Almost every branch starts at a word boundary; testing that boundary once
-    per position instead of once per branch is what makes long alternations
-    affordable.
+    Nearly every branch starts at a word boundary with a letter.  Those branches
+    are merged behind one boundary and one test of the first letter, and share
+    their common beginnings: \bcat\b|\b(cow|dog)s\b becomes
+    \b(?=[cd])(?:c(?:at\b|ows\b)|dogs\b).  A long list of patterns then costs
+    about as much as a short one.
     """
-    parts = list(dict.fromkeys(b for p in patterns for b in branches(p)))
-    bounded = [b[2:] for b in parts if b.startswith(r"\b")]
-    free = [b for b in parts if not b.startswith(r"\b")]
-    joined = [r"\b(?:" + "|".join(bounded) + ")"] if bounded else []
-    return FLAGS + "(?:" + "|".join(joined + free) + ")"
-
-
-def required_literals(patterns: list[str]) -> list[str] | None:
-    """Lower-case literals of which every match contains at least one.
-
-    None when some pattern can match without any ASCII literal of two or more
-    characters.
-    """
-    found: set[str] = set()
-    for pattern in patterns:
-        literals = _required(_parser.parse(pattern))
-        if literals is None:
-            return None
-        found |= literals
-    return sorted(l for l in found if not any(o in l for o in found if o != l))
-
-
-def _required(tree) -> set[str] | None:
-    options, run = [], ""
-    for op, arg in list(tree) + [(None, None)]:
-        name = str(op)
-        if name == "LITERAL" and arg < 128:
-            run += chr(arg).lower()
-            continue
-        if len(run) > 1:
-            options.append({run})
-        run = ""
-        if name == "SUBPATTERN":
-            options.append(_required(arg[3]))
-        elif name == "BRANCH":
-            each = [_required(b) for b in arg[1]]
-            options.append(None if None in each else set().union(*each))
-        elif name == "MAX_REPEAT" and arg[0] > 0:
-            options.append(_required(arg[2]))
-    return max((o for o in options if o), key=lambda o: min(map(len, o)), default=None)
-
-
-def matches_any(text: Column, patterns: list[str]) -> Column:
-    """True when any pattern is found in `text`.
-
-    A plain substring test on the lower-cased text rules most texts out before
-    the pattern itself runs.  The test never decides a match: it is skipped when
-    the patterns give no literals, and texts holding a letter that folds into an
-    ASCII one go straight to the pattern.
-    """
-    found = text.rlike(alternation(patterns))
-    literals = required_literals(patterns)
-    if not literals or len(literals) > MAX_LITERALS:
-        return found
-
-    def may_match(low: Column) -> Column:
-        test = F.lit(False)
-        for literal in literals:
-            test = test | low.contains(literal)
-        for letter in FOLDING_LETTERS:
-            test = test | text.contains(letter)
-        return test
-
-    # A one-element array binds the lower-cased text once for all the tests.
-    return F.exists(F.array(F.lower(text)), may_match) & found
+    found = dict.fromkeys(b for p in patterns for b in _split(p))
+    bounded = [e for b in found if b.startswith(r"\b") for e in _without_leading_group(b[2:])]
+    parts = [b for b in found if not b.startswith(r"\b")]
+    if bounded:
+        letters = sorted({b[0] for b in bounded if _starts_plain(b)})
+        only_letters = all(_starts_plain(b) for b in bounded)
+        first = f"(?=[{''.join(letters)}])" if only_letters else ""
+        parts.insert(0, rf"\b{first}(?:{_share_beginnings(bounded)})")
+    return f"{FLAGS}(?:{'|'.join(parts)})"
+
+
+def _split(pattern: str) -> list[str]:
+    """Pieces between the "|" outside every group and character class."""
+    pieces, level, in_class, i = [""], 0, False, 0
+    while i < len(pattern):
+        c = pattern[i]
+        taken = pattern[i : i + 2] if c == "\\" else c
+        if not in_class:
+            level += (c == "(") - (c == ")")
+        in_class = (c == "[" or in_class) and c != "]"
+        if c == "|" and level == 0 and not in_class:
+            pieces.append("")
+        else:
+            pieces[-1] += taken
+        i += len(taken)
+    return pieces
+
+
+def _without_leading_group(branch: str) -> list[str]:
+    """(a|b)rest -> a rest, b rest; with "?" after the group also rest alone."""
+    if not branch.startswith("(") or branch.startswith("(?"):
+        return [branch]
+    end = next(i for i in range(len(branch)) if branch[i] == ")" and _balanced(branch[: i + 1]))
+    inner, rest = branch[1:end], branch[end + 1 :]
+    if rest[:1] in ("*", "+", "{"):
+        return [branch]
+    optional = rest.startswith("?")
+    rest = rest[1:] if optional else rest
+    choices = [choice + rest for choice in _split(inner)] + ([rest] if optional else [])
+    return [e for choice in choices for e in _without_leading_group(choice)]
+
+
+def _balanced(piece: str) -> bool:
+    return piece.count("(") - piece.count(r"\(") == piece.count(")") - piece.count(r"\)")
+
+
+def _starts_plain(branch: str) -> bool:
+    return branch[:1].isalnum() and branch[1:2] not in ("?", "*", "+", "{")
+
+
+def _share_beginnings(branches: list[str]) -> str:
+    groups: dict[str, list[str]] = {}
+    others = []
+    for branch in dict.fromkeys(branches):
+        if _starts_plain(branch):
+            first = branch[0].lower() if branch[0].isascii() else branch[0]
+            groups.setdefault(first, []).append(branch[1:])
+        else:
+            others.append(branch)
+    merged = [c + (r[0] if len(r) == 1 else f"(?:{_share_beginnings(r)})") for c, r in groups.items()]
+    return "|".join(merged + others)

@@ -1,5 +1,6 @@
 """Rule classification: the first category, by priority, with a matching pattern."""
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row
@@ -16,13 +17,15 @@ TAXONOMIES_PER_PASS = 50
 def rule_priority(text: Column, rows: list[Row]) -> Column:
     """Priority of the winning category, null when none matches.
 
-    One CASE, evaluated lazily in priority order: a matched text never runs the
-    patterns of later categories, and each category is one pattern.
+    One search for any pattern at all settles the texts that match nothing; the
+    others go through a CASE, evaluated lazily in priority order, with one
+    pattern per category.
     """
+    ordered = sorted(rows, key=lambda r: r.priority)
     case = F
-    for row in sorted(rows, key=lambda r: r.priority):
+    for row in ordered:
         case = case.when(matches_any(text, row.patterns), row.priority)
-    return case
+    return F.when(matches_any(text, [p for r in ordered for p in r.patterns]), case)
 
 
 def category_key(priority: Column, rows: list[Row]) -> Column:
@@ -81,6 +84,17 @@ def lookup_category(keys: DataFrame, taxonomy: DataFrame, default_label: str) ->
     )
 
 
+def _named_result(name: str, rows: list[Row], default_label: str) -> Callable[[Column], Column]:
+    def result(number: Column) -> Column:
+        return F.struct(
+            F.lit(name).alias("taxonomy_id"),
+            category_key(number, rows).alias("category_key"),
+            category_label(number, rows, default_label).alias("category_label"),
+        )
+
+    return result
+
+
 def classify_many(
     papers: DataFrame, taxonomies: dict[str, list[Row]], default_label: str, per_pass: int = TAXONOMIES_PER_PASS
 ) -> DataFrame:
@@ -99,15 +113,6 @@ def classify_many(
             rows = taxonomies[name]
             number = rule_priority(text, rows)
             # The one-element array keeps the winner from being searched for twice.
-            results.append(
-                F.transform(
-                    F.array(number),
-                    lambda n, name=name, rows=rows: F.struct(
-                        F.lit(name).alias("taxonomy_id"),
-                        category_key(n, rows).alias("category_key"),
-                        category_label(n, rows, default_label).alias("category_label"),
-                    ),
-                )
-            )
+            results.append(F.transform(F.array(number), _named_result(name, rows, default_label)))
         passes.append(papers.select("id", F.explode(F.concat(*results)).alias("result")).select("id", "result.*"))
     return reduce(DataFrame.unionByName, passes)

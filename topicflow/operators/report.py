@@ -60,7 +60,7 @@ def year_category_pivot(df: DataFrame, categories: list[str]) -> DataFrame:
         drop_null_keys(df, "year", "category")
         .groupBy("year")
         .pivot("category", categories)
-        .agg(F.count("*"))
+        .agg(F.count(F.lit(1)))
         .na.fill(0)
         .orderBy("year")
     )

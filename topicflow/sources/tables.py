@@ -30,7 +30,8 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     names = reader.csv(path).columns
     types = {f.name: f.dataType for f in spark.createDataFrame([], schema).schema}
     raw = reader.csv(path, schema=", ".join(f"`{n}` string" for n in names), enforceSchema=True)
-    return raw.select(*[F.col(f"`{n}`").cast(types[n]).alias(n) if n in types else F.col(f"`{n}`") for n in names])
+    typed = raw.select(*[F.col(f"`{n}`").cast(types.get(n, "string")).alias(n) for n in names])
+    return typed.na.fill("", [n for n in names if n in ("title", "abstract")])
 
 
 def category_from_label(df: DataFrame) -> DataFrame:
