@@ -134,7 +134,7 @@ confs AS (SELECT DISTINCT upper(lang) AS conf FROM documents)
 SELECT c.conf, y AS "year",
        CASE WHEN w.candidate IS NULL THEN '' ELSE 'https://api2.openreview.net' END AS baseurl,
        coalesce(c.conf || '.cc/' || y || '/Conference/-/' ||
-         CASE w.candidate // 2 WHEN 0 THEN 'Submission' WHEN 1 THEN 'Blind_Submission' ELSE 'Paper' END, '') AS invitation,
+         CASE w.candidate // 2 WHEN 0 THEN 'Submission' WHEN 1 THEN 'Blind_Submission' WHEN 2 THEN 'Paper' END, '') AS invitation,
        CAST(coalesce(w.submissions, 0) AS INTEGER) AS submissions,
        CAST(coalesce(w.accepted, 0) AS INTEGER) AS accepted,
        CASE WHEN w.candidate IS NULL THEN 'Nothing listed' END AS error

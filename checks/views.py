@@ -94,7 +94,9 @@ def research_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     for word, term in VOCABULARY:
         text = F.replace(text, F.lit(f" {word} "), F.lit(f" {term} "))
-    return _papers(table(spark, sf_dir, "documents").withColumn("text", text))
+    documents = table(spark, sf_dir, "documents")
+    # Exploding a one-element array computes the long replacement once per row.
+    return _papers(documents.select("doc_id", "lang", F.explode(F.array(text)).alias("text")))
 
 
 def on_topic(spark: SparkSession, sf_dir: str) -> DataFrame:

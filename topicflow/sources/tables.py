@@ -13,6 +13,9 @@ DETAILED = (
 SCORE = "struct<category_key: string, category_label: string, confidence: double, reasoning: string>"
 CACHE = "paper_hash string, category_key string, category_label string, confidence double, reasoning string"
 
+# Text columns that are empty, never missing.
+BLANK_COLUMNS = ("title", "abstract", "baseurl", "invitation")
+
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
 
 
@@ -31,7 +34,7 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     types = {f.name: f.dataType for f in spark.createDataFrame([], schema).schema}
     raw = reader.csv(path, schema=", ".join(f"`{n}` string" for n in names), enforceSchema=True)
     typed = raw.select(*[F.col(f"`{n}`").cast(types.get(n, "string")).alias(n) for n in names])
-    return typed.na.fill("", [n for n in names if n in ("title", "abstract")])
+    return typed.na.fill("", [n for n in names if n in BLANK_COLUMNS])
 
 
 def category_from_label(df: DataFrame) -> DataFrame:

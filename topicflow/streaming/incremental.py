@@ -1,0 +1,45 @@
+"""Rule classification of newly landed pages, going on where the last run stopped.
+
+The stream's own checkpoint takes the place of a list of finished ids: each run
+handles the files that landed since the previous one and then ends.  Nothing is
+aggregated, so there is no state to keep.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from topicflow.functions.text import match_text
+from topicflow.operators.scoring import hybrid_classify
+from topicflow.operators.topic import on_topic
+from topicflow.plans.setup import Setup
+from topicflow.sources import landing
+
+PAGES = "conf string, year int, candidate int, offset bigint, payload string"
+
+
+def landed_stream(spark: SparkSession, path: str) -> DataFrame:
+    return spark.readStream.schema(PAGES).parquet(path)
+
+
+def classify_pages(pages: DataFrame, setup: Setup) -> DataFrame:
+    """Accepted, on-topic notes of the pages with their category; works on tables and on streams."""
+    notes = landing.normalize_note(landing.filter_accepted(landing.scan_pages(pages))).drop("note")
+    papers = notes.select(
+        F.concat_ws("_", "conf", "year", "note_id").alias("id"), "conf", "year", "title", "abstract"
+    ).filter(on_topic(match_text(F.col("title"), F.col("abstract")), setup.topic_patterns))
+    return hybrid_classify(papers, None, setup.rows, setup.default_label)
+
+
+def classify_new_pages(
+    spark: SparkSession, pages_path: str, results_path: str, checkpoint_path: str, setup: Setup
+) -> StreamingQuery:
+    """Starts a run over everything that landed since the last one."""
+    classified = classify_pages(landed_stream(spark, pages_path), setup)
+    return (
+        classified.writeStream.format("parquet")
+        .option("path", results_path)
+        .option("checkpointLocation", checkpoint_path)
+        .trigger(availableNow=True)
+        .start()
+    )
