@@ -11,6 +11,7 @@ from topicflow.functions.text import paper_hash, strip
 from topicflow.operators import taxonomy
 from topicflow.operators.classify import classify_rules
 from topicflow.operators.topic import filter_topic
+from topicflow.session import spread
 from topicflow.functions.fixed import BUILTIN_DEFAULT_LABEL, CUSTOM_DEFAULT_LABEL
 
 TOPIC = "this,with,license"
@@ -67,6 +68,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose rows are heavy to work on."""
+    return spread(table(spark, sf_dir, name))
+
+
 def _year() -> Column:
     return (F.lit(2021) + F.col("doc_id") % 5).cast("int")
 
@@ -87,14 +93,14 @@ def _papers(documents: DataFrame) -> DataFrame:
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _papers(table(spark, sf_dir, "documents"))
+    return _papers(texts(spark, sf_dir))
 
 
 def research_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     for word, term in VOCABULARY:
         text = F.replace(text, F.lit(f" {word} "), F.lit(f" {term} "))
-    documents = table(spark, sf_dir, "documents")
+    documents = texts(spark, sf_dir)
     # Exploding a one-element array computes the long replacement once per row.
     return _papers(documents.select("doc_id", "lang", F.explode(F.array(text)).alias("text")))
 
@@ -194,7 +200,7 @@ def _note_json(documents: DataFrame) -> DataFrame:
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = _note_json(table(spark, sf_dir, "documents"))
+    listed = _note_json(texts(spark, sf_dir))
     # As in a landed page, a note is an element of a list.
     return listed.select("doc_id", "conf", "year", F.explode(F.array(F.parse_json("note"))).alias("note"))
 
@@ -219,7 +225,7 @@ def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     block = F.floor(number / 100)
     listed = (
-        _note_json(table(spark, sf_dir, "documents"))
+        _note_json(texts(spark, sf_dir))
         .select("conf", "year", "doc_id", "note", F.explode(places).alias("place"))
         .select("conf", "year", "place.candidate", (block * 1000).alias("offset"), "doc_id",
                 F.when(F.col("place.listed"), F.col("note")).alias("note"))
@@ -281,7 +287,7 @@ def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(size == 33, F.concat_ws(";", own, brand, F.concat(label, F.lit(":again "), F.col("p_name"))))
         .otherwise(F.concat(own, F.lit(" ;;"), brand, F.lit(";")))
     )
-    return table(spark, sf_dir, "part").select(
+    return texts(spark, sf_dir, "part").select(
         F.col("p_partkey").cast("string").alias("taxonomy_id"),
         F.when(size == 44, "").otherwise(F.concat_ws(", ", "p_name", F.lower("p_type"))).alias("topic"),
         spec.alias("spec"),
@@ -291,7 +297,7 @@ def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names, brands with a hyphen, and every word of every document."""
     parts = table(spark, sf_dir, "part")
-    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("keyword"))
+    words = texts(spark, sf_dir).select(F.explode(F.split("text", " ")).alias("keyword"))
     return (
         parts.select(F.col("p_name").alias("keyword"))
         .unionByName(parts.select(F.replace("p_brand", F.lit("#"), F.lit("-")).alias("keyword")))

@@ -56,24 +56,27 @@ def classify_rules(papers: DataFrame, rows: list[Row], default_label: str) -> Da
 def match_evidence(papers: DataFrame, rows: list[Row]) -> DataFrame:
     """Every (category, pattern) found in a paper, with the text it found.
 
-    Only hits leave the row, so a paper's text is not copied once per pattern.
+    Only hits leave the row, so a paper's text is not copied once per pattern,
+    and a category's patterns are tried one by one only where one of them matches.
     """
     text = match_text(F.col("title"), F.col("abstract"))
-    hits = [
-        F.when(
-            matches_any(text, [p]),
-            F.struct(
-                F.lit(r.priority).alias("priority"),
-                F.lit(r.key).alias("category_key"),
-                F.lit(i).alias("pattern_no"),
-                F.lit(p).alias("pattern"),
-                F.regexp_extract(text, FLAGS + p, 0).alias("found"),
-            ),
+    hits = []
+    for row in rows:
+        tried = F.array(
+            *[
+                F.struct(
+                    F.lit(row.priority).alias("priority"),
+                    F.lit(row.key).alias("category_key"),
+                    F.lit(number).alias("pattern_no"),
+                    F.lit(pattern).alias("pattern"),
+                    F.regexp_extract(text, FLAGS + pattern, 0).alias("found"),
+                )
+                for number, pattern in enumerate(row.patterns, 1)
+            ]
         )
-        for r in rows
-        for i, p in enumerate(r.patterns, 1)
-    ]
-    return papers.select("id", F.explode(F.array_compact(F.array(*hits))).alias("hit")).select("id", "hit.*")
+        hits.append(F.when(matches_any(text, row.patterns), F.filter(tried, lambda t: t.found != "")))
+    listed = F.flatten(F.array_compact(F.array(*hits)))
+    return papers.select("id", F.explode(listed).alias("hit")).select("id", "hit.*")
 
 
 def lookup_category(keys: DataFrame, taxonomy: DataFrame, default_label: str) -> DataFrame:

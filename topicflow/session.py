@@ -4,6 +4,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,3 +37,19 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     path = new_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small scan dealt out to all cores; a large one as it is.
+
+    Pattern search is heavy per row, and a small table may be one row group, which
+    one task would read and search alone.  A scan with more splits than cores
+    already keeps them all busy and is not shuffled; below that it is at most a
+    file split per core.  Taking the rows out of a list again keeps later filters
+    on this side of the shuffle, where the cores are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() > cores:
+        return df
+    rows = df.repartition(cores).select(F.explode(F.array(F.struct("*"))).alias("row"))
+    return rows.select("row.*")
