@@ -421,7 +421,7 @@ def taxonomy_table(spark, sf_dir):
 
 @check(f"""WITH {S.PAPERS}, {S.PREDICTIONS} SELECT paper_hash, category_key, category_label FROM predictions""")
 def lookup_category(spark, sf_dir):
-    names = spark.createDataFrame(V.custom_rows(spark))
+    names = taxonomy.rows_table(spark, V.custom_rows(spark), "custom")
     keys = V.predictions(spark, sf_dir).select("paper_hash", "category_key")
     return classify.lookup_category(keys, names, fixed.CUSTOM_DEFAULT_LABEL)
 
@@ -595,9 +595,6 @@ def cache_join(spark, sf_dir):
     )
 
 
-_HOT = 20
-
-
 @check(f"""WITH {S.PAPERS}, {S.PREDICTIONS}
 SELECT p.id, s.category_key, s.confidence, s.paper_hash IS NOT NULL AS from_cache
 FROM papers p LEFT JOIN predictions s ON s.paper_hash = {S.HASH}""")
@@ -639,7 +636,7 @@ def score_batches(spark, sf_dir):
 
 
 def _definitions(spark) -> str:
-    table = spark.createDataFrame(V.custom_rows(spark))
+    table = taxonomy.rows_table(spark, V.custom_rows(spark), "custom")
     return taxonomy.definitions_text(table, fixed.CUSTOM_DEFAULT_LABEL).first()["definitions"]
 
 

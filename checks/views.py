@@ -4,6 +4,8 @@ Each view has the same content as the SQL text of the same name in sqltext.py.
 All views cover their whole table.
 """
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,7 +111,9 @@ def on_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_topic(papers(spark, sf_dir), TOPIC)
 
 
+@lru_cache
 def custom_rows(spark: SparkSession):
+    """The custom taxonomy, compiled once per session."""
     return taxonomy.custom_rows(spark, TOPIC, SPEC)
 
 

@@ -15,8 +15,12 @@ from topicflow.operators.joins import join_bounded
 
 
 def drop_null_keys(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows whose grouping keys are all present."""
-    return df.dropna(subset=list(keys))
+    """Rows whose grouping keys are all present.
+
+    Plain null tests: where a key cannot be null, such as a computed category,
+    Catalyst removes the test instead of computing the key a second time for it.
+    """
+    return reduce(lambda rows, key: rows.filter(F.col(key).isNotNull()), keys, df)
 
 
 def category_counts(df: DataFrame, column: str = "category") -> DataFrame:

@@ -30,9 +30,14 @@ def builtin_rows() -> list[Row]:
     ]
 
 
+def rows_table(spark: SparkSession, rows: list[Row], taxonomy_id: str) -> DataFrame:
+    """Taxonomy rows held by the driver, as a table."""
+    values = [(taxonomy_id, r.priority, r.key, r.label, r.description, r.patterns) for r in rows]
+    return spark.createDataFrame(values, SCHEMA)
+
+
 def builtin_table(spark: SparkSession) -> DataFrame:
-    rows = [(BUILTIN_ID, r.priority, r.key, r.label, r.description, r.patterns) for r in builtin_rows()]
-    return spark.createDataFrame(rows, SCHEMA)
+    return rows_table(spark, builtin_rows(), BUILTIN_ID)
 
 
 def parse_specs(specs: DataFrame) -> DataFrame:
@@ -88,18 +93,23 @@ def top_keywords(keywords: Column, k: int = KEYWORDS_IN_DESCRIPTION) -> Column:
     )
 
 
-def compile_taxonomies(parsed: DataFrame) -> DataFrame:
-    """Parsed specs -> taxonomy rows; specs with an error give none."""
-    return parsed.filter(F.col("error").isNull()).select(
+def _compiled(parsed: DataFrame, *more: str) -> DataFrame:
+    return parsed.select(
         "taxonomy_id",
         "priority",
         F.format_string(fixed.CUSTOM_KEY_FORMAT, "priority").alias("key"),
         "label",
         F.concat(F.lit(fixed.DESCRIPTION_PREFIX), top_keywords(F.col("keywords"))).alias("description"),
         F.transform("keywords", word_pattern).alias("patterns"),
+        *more,
     )
 
 
+def compile_taxonomies(parsed: DataFrame) -> DataFrame:
+    """Parsed specs -> taxonomy rows; specs with an error give none."""
+    return _compiled(parsed.filter(F.col("priority").isNotNull()))
+
+
 def custom_rows(spark: SparkSession, topic: str, spec: str) -> list[Row]:
     """One user specification, compiled, in priority order; ValueError if it is wrong.
 
@@ -107,10 +117,11 @@ def custom_rows(spark: SparkSession, topic: str, spec: str) -> list[Row]:
     and becomes a literal expression.
     """
     parsed = parse_specs(spark.createDataFrame([("custom", topic, spec)], "taxonomy_id string, topic string, spec string"))
-    failed = parsed.filter(F.col("error").isNotNull()).first()
+    rows = _compiled(parsed, "error").collect()
+    failed = [r["error"] for r in rows if r["error"] is not None]
     if failed:
-        raise ValueError(failed["error"])
-    return sorted(compile_taxonomies(parsed).collect(), key=lambda r: r.priority)
+        raise ValueError(failed[0])
+    return sorted(rows, key=lambda r: r.priority)
 
 
 def taxonomies_by_id(taxonomies: DataFrame, max_rows: int = MAX_TAXONOMY_ROWS) -> dict[str, list[Row]]:

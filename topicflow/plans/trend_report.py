@@ -68,9 +68,7 @@ def score_papers(
     """
     spark = papers.sparkSession
     unscored = materialize(scoring.to_score(papers, cache), "unscored")
-    table = spark.createDataFrame(
-        [("active", r.priority, r.key, r.label, r.description, r.patterns) for r in setup.rows], taxonomy.SCHEMA
-    )
+    table = taxonomy.rows_table(spark, setup.rows, "active")
     definitions = taxonomy.definitions_text(table, setup.default_label).first()["definitions"]
     prompts = scoring.build_prompts(scoring.score_batches(unscored, batch_size), definitions)
     responses = materialize(scoring.apply_scorer(prompts, scorer), "responses")
