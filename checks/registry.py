@@ -2,7 +2,6 @@
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,17 +39,22 @@ def years(values: list[int]) -> str:
 # --- scans -------------------------------------------------------------------
 
 
+def _pages(spark, sf_dir) -> DataFrame:
+    """The listing pages as a stored table, which is what landed pages are."""
+    return materialize(V.landed_pages(spark, sf_dir), "pages")
+
+
 @check(f"""WITH {S.LANDED_ALL}
 SELECT conf, "year", candidate, "offset", position, note_id FROM page_notes""")
 def scan_pages(spark, sf_dir):
-    notes = landing.normalize_note(landing.scan_pages(V.landed_pages(spark, sf_dir)))
+    notes = landing.normalize_note(landing.scan_pages(_pages(spark, sf_dir)))
     return notes.select("conf", "year", "candidate", "offset", "position", "note_id")
 
 
 @check("""SELECT 'WEB' AS conf, page_id * 1000 AS "offset",
        'Non-JSON response. Head: ' || replace(left(html, 400), chr(10), ' ') AS error FROM pages""")
 def bad_payloads(spark, sf_dir):
-    pages = V.landed_pages(spark, sf_dir).unionByName(V.web_pages(spark, sf_dir))
+    pages = _pages(spark, sf_dir).unionByName(V.web_pages(spark, sf_dir))
     return landing.bad_payloads(pages).select("conf", "offset", "error")
 
 
@@ -76,11 +80,11 @@ def conf_year_cross(spark, sf_dir):
 
 @check(f"""WITH {S.LANDED_ALL} SELECT conf, "year", candidate, "offset", n FROM kept_pages""")
 def pages_until_empty(spark, sf_dir):
-    return landing.page_sizes(landing.pages_until_empty(V.landed_pages(spark, sf_dir), None))
+    return landing.page_sizes(landing.pages_until_empty(_pages(spark, sf_dir), None))
 
 
 def _kept_notes(spark, sf_dir) -> DataFrame:
-    return landing.scan_pages(landing.pages_until_empty(V.landed_pages(spark, sf_dir), None))
+    return landing.scan_pages(landing.pages_until_empty(_pages(spark, sf_dir), None))
 
 
 @check(f"""WITH {S.LANDED_ALL} SELECT * FROM counts""")
@@ -123,7 +127,7 @@ def scan_checkpoint(spark, sf_dir):
 
 
 def _fetch_log(spark, sf_dir) -> DataFrame:
-    pages = V.landed_pages(spark, sf_dir)
+    pages = _pages(spark, sf_dir)
     pairs = landing.conf_years(pages.select("conf").distinct(), V.YEARS)
     winners = materialize(first_success(spark, sf_dir), "winners")
     return landing.fetch_log(pairs, winners, landing.last_errors(V.attempts(spark, sf_dir)))
@@ -220,7 +224,7 @@ SELECT conf || '_' || "year" || '_' || coalesce(note_id, CAST(
          row_number() OVER (ORDER BY conf, "year", "offset", position) - 1 AS VARCHAR)) AS id,
        conf, "year", title, abstract FROM matched""")
 def paper_id(spark, sf_dir):
-    pages = landing.pages_until_empty(V.landed_pages(spark, sf_dir), None)
+    pages = landing.pages_until_empty(_pages(spark, sf_dir), None)
     winners = materialize(first_success(spark, sf_dir), "winners")
     chosen = landing.normalize_note(landing.accepted_notes(pages, winners)).drop("note")
     matched = materialize(topic.filter_topic(chosen, V.TOPIC), "matched")
@@ -602,7 +606,7 @@ def cache_join_hot_keys(spark, sf_dir):
     """The same join with keys split from two copies of a text on."""
     papers = scoring.with_hash(V.papers(spark, sf_dir))
     cache = V.predictions(spark, sf_dir).withColumn("from_cache", F.lit(True))
-    joined = joins.join_skewed(papers, cache, "paper_hash", "id", rows_per_split=1)
+    joined = joins.join_skewed(papers, cache, "paper_hash", "id", max_rows=0, rows_per_split=1)
     return joined.select("id", "category_key", "confidence", F.coalesce("from_cache", F.lit(False)).alias("from_cache"))
 
 
@@ -626,7 +630,8 @@ batched AS (
 
 
 def _batched(spark, sf_dir) -> DataFrame:
-    return scoring.score_batches(scoring.to_score(V.papers(spark, sf_dir), V.predictions(spark, sf_dir)))
+    unscored = scoring.to_score(V.papers(spark, sf_dir), V.predictions(spark, sf_dir))
+    return scoring.score_batches(materialize(unscored, "unscored"))
 
 
 @check(f"""WITH {S.PAPERS}, {S.PREDICTIONS}, {UNSCORED_SQL}
@@ -670,15 +675,16 @@ def build_prompts(spark, sf_dir):
     return _prompts(spark, sf_dir).select("bucket", "batch_no", F.size("ids").alias("papers"), "prompt")
 
 
-def rehearsed_scorer(batches: pd.DataFrame) -> pd.Series:
+def rehearsed_scorer() -> scoring.Scorer:
     """A scorer whose answers follow from the ids alone.
 
     Its batches fail, answer in another order, leave papers out, leave fields out
     and use unknown keys, depending on the number in the id.
     """
-    import json
 
     def respond(ids) -> str:
+        import json
+
         if int(ids[0].split("_")[2]) % 13 == 0:
             return "upstream timeout"
         answers = []
@@ -694,7 +700,8 @@ def rehearsed_scorer(batches: pd.DataFrame) -> pd.Series:
             answers.append(answer)
         return json.dumps({"classifications": answers})
 
-    return batches["ids"].map(respond)
+    # A function of its own, so that it reaches the tasks by value.
+    return lambda batches: batches["ids"].map(respond)
 
 
 _ANSWERS_SQL = f"""answered AS (
@@ -719,7 +726,7 @@ SELECT bucket, batch_no, count(*) AS papers, CAST(count(*) FILTER (WHERE NOT fai
 FROM answered GROUP BY ALL""")
 def apply_scorer(spark, sf_dir):
     answers = F.from_json("response", scoring.ANSWERS).classifications
-    return scoring.apply_scorer(_prompts(spark, sf_dir), rehearsed_scorer).select(
+    return scoring.apply_scorer(_prompts(spark, sf_dir), rehearsed_scorer()).select(
         "bucket",
         "batch_no",
         F.size("ids").cast("bigint").alias("papers"),
@@ -728,7 +735,7 @@ def apply_scorer(spark, sf_dir):
 
 
 def _scored(spark, sf_dir) -> DataFrame:
-    responses = scoring.apply_scorer(_prompts(spark, sf_dir), rehearsed_scorer)
+    responses = scoring.apply_scorer(_prompts(spark, sf_dir), rehearsed_scorer())
     return scoring.parse_responses(responses, V.custom_rows(spark), fixed.CUSTOM_DEFAULT_LABEL)
 
 

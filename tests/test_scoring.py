@@ -52,7 +52,7 @@ def test_hot_keys_are_split_without_changing_the_result(spark, how):
     )
     right = spark.createDataFrame([("hot", 1), ("1", 2), ("2", 3), ("7", 4), ("none", 5)], "k string, v int")
     want = sorted(map(tuple, left.join(right, "k", how).select(sorted(left.join(right, "k", how).columns)).na.fill("").na.fill(0).collect()))
-    split = joins.join_skewed(left, right, "k", "id", how, rows_per_split=100)
+    split = joins.join_skewed(left, right, "k", "id", how, max_rows=2, rows_per_split=100)
     assert sorted(map(tuple, split.select(sorted(split.columns)).na.fill("").na.fill(0).collect())) == want
 
 

@@ -27,23 +27,25 @@ def join_skewed(
     on: str,
     spread: str,
     how: str = "left",
+    max_rows: int = MAX_BROADCAST_ROWS,
     rows_per_split: int = ROWS_PER_SPLIT,
 ) -> DataFrame:
     """Equi join on `on`, where one key may hold a large part of `left`.
 
-    Keys with more than `rows_per_split` left rows are cut into as many parts as
-    they need: the left rows go to a part by the hash of `spread`, and only the
-    right rows of those keys are repeated, once per part.  `how` must keep left
-    rows independent of each other: inner, left, left_semi or left_anti.
+    A right side counted to be small is broadcast and `left` stays where it is.
+    Otherwise keys with more than `rows_per_split` left rows are cut into as many
+    parts as they need: the left rows go to a part by the hash of `spread`, and
+    only the right rows of those keys are repeated, once per part.  `how` must
+    keep left rows independent of each other: inner, left, left_semi or left_anti.
 
     The hot keys come from one pre-aggregated count.  There are at most
     rows / rows_per_split of them; the split size doubles until they fit the
     broadcast bound, so the broadcasts below are always small.
     """
-    counts = (
-        left.groupBy(on).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows_per_split).filter(F.col(on).isNotNull())
-    )
-    hot = materialize(counts, "hot-keys")
+    if right.limit(max_rows + 1).count() <= max_rows:
+        return left.join(F.broadcast(right), on, how)
+    counts = left.filter(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("_n"))
+    hot = materialize(counts.filter(F.col("_n") > rows_per_split), "hot-keys")
     while (found := hot.count()) > MAX_BROADCAST_ROWS:
         rows_per_split *= 2
         hot = hot.filter(F.col("_n") > rows_per_split)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from topicflow.functions import fixed
 from topicflow.functions.text import match_text, paper_hash, truncate
 from topicflow.operators.classify import category_key, category_label, rule_priority
-from topicflow.operators.joins import join_skewed
+from topicflow.operators.joins import join_bounded, join_skewed
+from topicflow.session import materialize
 
 SCORE_COLUMNS = ["category_key", "category_label", "confidence", "reasoning"]
 ROWS_PER_BUCKET = 10_000
@@ -38,16 +39,15 @@ def cache_join(papers: DataFrame, cache: DataFrame) -> DataFrame:
 def to_score(papers: DataFrame, cache: DataFrame) -> DataFrame:
     """Distinct texts the cache does not know: (paper_hash, id, title, abstract).
 
-    Copies are reduced before the shuffle, so each text is scored once, and the
-    anti join meets every hash once.
+    Copies of a text are reduced to their lowest id before the shuffle, and the
+    anti join meets every hash once.  Only hashes and ids are shuffled; the texts
+    are fetched afterwards, by a broadcast of the ids when they are few.
     """
-    distinct = (
-        with_hash(papers)
-        .groupBy("paper_hash")
-        .agg(F.min(F.struct("id", "title", "abstract")).alias("paper"))
-        .select("paper_hash", "paper.*")
+    first = with_hash(papers).groupBy("paper_hash").agg(F.min("id").alias("id"))
+    unknown = materialize(first.join(cache.select("paper_hash"), "paper_hash", "left_anti"), "to-score")
+    return join_bounded(papers.select("id", "title", "abstract"), unknown, "id", "inner").select(
+        "paper_hash", "id", "title", "abstract"
     )
-    return distinct.join(cache.select("paper_hash"), "paper_hash", "left_anti")
 
 
 def score_batches(
@@ -165,15 +165,6 @@ def low_confidence(scores: DataFrame, threshold: float = fixed.CONFIDENCE_THRESH
     return scores.filter(F.col("confidence") < threshold)
 
 
-def scores_to_cache(scored: DataFrame, unscored: DataFrame) -> DataFrame:
-    """Cache rows of newly scored papers; failed batches are left out so that a later run tries them again."""
-    return (
-        unscored.select("id", "paper_hash")
-        .join(scored.filter(~F.col("failed")), "id")
-        .select("paper_hash", *SCORE_COLUMNS)
-    )
-
-
 def hybrid_classify(
     papers: DataFrame,
     predictions: DataFrame | None,

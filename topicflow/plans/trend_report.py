@@ -97,9 +97,7 @@ def classify_papers(
     if results_path is None:
         return scoring.hybrid_classify(papers, predictions, setup.rows, setup.default_label, threshold)
     path = f"{results_path}/{setup.fingerprint}"
-    # A fixed copy: the table below it grows when this run's results are added.
-    earlier = materialize(tables.read_results(papers.sparkSession, path), "earlier")
-    todo = resume.filter_unprocessed(papers, earlier)
+    todo = resume.filter_unprocessed(papers, tables.read_results(papers.sparkSession, path))
     tables.write_checkpoint(
         scoring.hybrid_classify(todo, predictions, setup.rows, setup.default_label, threshold), path
     )

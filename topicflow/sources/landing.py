@@ -97,15 +97,10 @@ def pages_until_empty(pages: DataFrame, last_offset: int | None = fixed.LAST_OFF
     pre-aggregated minimum, so payloads are never shuffled or sorted by it.
     """
     listed = pages if last_offset is None else pages.filter(F.col("offset") <= last_offset)
-    ends = materialize(
-        page_sizes(listed)
-        .filter(F.col("n") == 0)
-        .groupBy(CANDIDATE)
-        .agg(F.min("offset").alias("first_empty")),
-        "first-empty",
-    )
+    first_empty = F.min(F.when(F.col("n") == 0, F.col("offset"))).alias("first_empty")
+    ends = page_sizes(listed).groupBy(CANDIDATE).agg(first_empty).filter(F.col("first_empty").isNotNull())
     return (
-        join_bounded(listed, ends, CANDIDATE)
+        join_bounded(listed, materialize(ends, "first-empty"), CANDIDATE)
         .filter(F.col("first_empty").isNull() | (F.col("offset") < F.col("first_empty")))
         .drop("first_empty")
     )
@@ -188,11 +183,11 @@ def candidate_counts(notes: DataFrame, strict: bool = False) -> DataFrame:
     """
     filtered = strategy_of(F.col("candidate")) == "venueid"
     accepted = filtered | is_accepted(F.col("note"), F.col("conf"), F.col("year"), strict)
-    return notes.groupBy(CANDIDATE).agg(
-        F.when(F.first(filtered), F.lit(fixed.UNKNOWN_SUBMISSIONS).cast("bigint"))
-        .otherwise(F.count("*"))
-        .alias("submissions"),
-        F.count_if(accepted).alias("accepted"),
+    unknown = F.lit(fixed.UNKNOWN_SUBMISSIONS).cast("bigint")
+    return (
+        notes.groupBy(CANDIDATE)
+        .agg(F.count("*").alias("submissions"), F.count_if(accepted).alias("accepted"))
+        .withColumn("submissions", F.when(filtered, unknown).otherwise(F.col("submissions")))
     )
 
 

@@ -27,12 +27,13 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
     Quoted line breaks mean a file cannot be split, so large tables belong in
     Parquet; a folder of many CSV files still spreads over all tasks.  Columns
-    are matched by the header's names, whatever their order in the file.
+    are taken by the header's names, whatever their order; files of one folder
+    must agree on it.
     """
     reader = spark.read.options(**CSV_OPTIONS, multiLine=True)
     names = reader.csv(path).columns
     types = {f.name: f.dataType for f in spark.createDataFrame([], schema).schema}
-    raw = reader.csv(path, schema=", ".join(f"`{n}` string" for n in names), enforceSchema=True)
+    raw = reader.csv(path, schema=", ".join(f"`{n}` string" for n in names), enforceSchema=False)
     typed = raw.select(*[F.col(f"`{n}`").cast(types.get(n, "string")).alias(n) for n in names])
     return typed.na.fill("", [n for n in names if n in BLANK_COLUMNS])
 
