@@ -60,6 +60,7 @@ def test_join_bounded_broadcasts_only_below_the_bound(spark):
     left, right = spark.range(50).withColumnRenamed("id", "k"), spark.range(20).withColumnRenamed("id", "k")
     hinted = joins.join_bounded(left, right, "k", "inner")
     plain = joins.join_bounded(left, right, "k", "inner", max_rows=10)
+    assert joins.is_small(right) and not joins.is_small(right, max_bytes=50) and joins.is_small(right.limit(0))
     assert "ResolvedHint" in hinted._jdf.queryExecution().analyzed().toString()
     assert "ResolvedHint" not in plain._jdf.queryExecution().analyzed().toString()
     assert hinted.count() == plain.count() == 20

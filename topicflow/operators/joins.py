@@ -6,19 +6,26 @@ from pyspark.sql import functions as F
 from topicflow.session import materialize
 
 MAX_BROADCAST_ROWS = 100_000
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 ROWS_PER_SPLIT = 1_000_000
 
 
+def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """Whether `df` has few enough rows and bytes to be sent to every executor.
+
+    Rows are measured by their length as JSON.  Only these lengths are moved, and
+    the count stops one row past the bound.
+    """
+    lengths = df.select(F.octet_length(F.to_json(F.struct("*"))).alias("bytes")).limit(max_rows + 1)
+    rows, size = lengths.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    return rows <= max_rows and size <= max_bytes
+
+
 def join_bounded(
     left: DataFrame, right: DataFrame, on: str | list[str], how: str = "left", max_rows: int = MAX_BROADCAST_ROWS
 ) -> DataFrame:
-    """Join that broadcasts `right` when it is counted to be small enough.
-
-    Above the bound it is an ordinary shuffle join.  The count stops one row
-    past the bound.
-    """
-    small = right.limit(max_rows + 1).count() <= max_rows
-    return left.join(F.broadcast(right) if small else right, on, how)
+    """Join that broadcasts `right` when it is measured to be small, otherwise a shuffle join."""
+    return left.join(F.broadcast(right) if is_small(right, max_rows) else right, on, how)
 
 
 def join_skewed(
@@ -32,7 +39,7 @@ def join_skewed(
 ) -> DataFrame:
     """Equi join on `on`, where one key may hold a large part of `left`.
 
-    A right side counted to be small is broadcast and `left` stays where it is.
+    A right side measured to be small is broadcast and `left` stays where it is.
     Otherwise keys with more than `rows_per_split` left rows are cut into as many
     parts as they need: the left rows go to a part by the hash of `spread`, and
     only the right rows of those keys are repeated, once per part.  `how` must
@@ -42,7 +49,7 @@ def join_skewed(
     rows / rows_per_split of them; the split size doubles until they fit the
     broadcast bound, so the broadcasts below are always small.
     """
-    if right.limit(max_rows + 1).count() <= max_rows:
+    if is_small(right, max_rows):
         return left.join(F.broadcast(right), on, how)
     counts = left.filter(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("_n"))
     hot = materialize(counts.filter(F.col("_n") > rows_per_split), "hot-keys")

@@ -1,8 +1,10 @@
 """Readers and writers of stored tables: papers, results, fetch log, score cache."""
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 PAPERS = "id string, conf string, year int, title string, abstract string"
 SIMPLE = "conf string, year int, title string, abstract string, category string"
@@ -22,6 +24,16 @@ CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
 # --- readers --------------------------------------------------------------
 
 
+def _or_empty(read: Callable[[], DataFrame], spark: SparkSession, schema: str) -> DataFrame:
+    """What `read` finds, or no rows where nothing has been written yet."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """CSV with a header, quoted line breaks, and an optional byte order mark.
 
@@ -65,18 +77,12 @@ def read_cache_json(spark: SparkSession, path: str, lines: bool = False) -> Data
 
     One object per file, or with `lines` one object per line, which also splits.
     """
-    try:
-        return _cache_rows(spark.read.text(path, wholetext=not lines))
-    except AnalysisException:
-        return spark.createDataFrame([], CACHE)
+    return _or_empty(lambda: _cache_rows(spark.read.text(path, wholetext=not lines)), spark, CACHE)
 
 
 def read_results(spark: SparkSession, path: str, schema: str = DETAILED) -> DataFrame:
     """Results of earlier runs; none when there is no such table yet."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    return _or_empty(lambda: spark.read.parquet(path), spark, schema)
 
 
 def read_checkpoint_json(
@@ -84,12 +90,13 @@ def read_checkpoint_json(
 ) -> DataFrame:
     """Earlier results kept as JSON {"results": [...], "timestamp": seconds}, per file or per line."""
     fields = spark.createDataFrame([], schema).schema.simpleString()
-    try:
-        texts = spark.read.text(path, wholetext=not lines)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
     parsed = F.from_json("value", f"struct<results: array<{fields}>, timestamp: double>")
-    return texts.select(F.explode(parsed.results).alias("r")).select("r.*")
+
+    def read() -> DataFrame:
+        texts = spark.read.text(path, wholetext=not lines)
+        return texts.select(F.explode(parsed.results).alias("r")).select("r.*")
+
+    return _or_empty(read, spark, schema)
 
 
 # --- writers --------------------------------------------------------------
