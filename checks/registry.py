@@ -83,18 +83,18 @@ def pages_until_empty(spark, sf_dir):
     return landing.page_sizes(landing.pages_until_empty(_pages(spark, sf_dir), None))
 
 
-def _kept_notes(spark, sf_dir) -> DataFrame:
-    return landing.scan_pages(landing.pages_until_empty(_pages(spark, sf_dir), None))
+def _candidate_counts(pages: DataFrame) -> DataFrame:
+    return landing.candidate_counts(landing.page_summary(pages), None)
 
 
 @check(f"""WITH {S.LANDED_ALL} SELECT * FROM counts""")
 def fetch_counts(spark, sf_dir):
-    return landing.candidate_counts(_kept_notes(spark, sf_dir))
+    return _candidate_counts(_pages(spark, sf_dir)).drop("first_empty")
 
 
 @check(f"""WITH {S.LANDED_ALL} SELECT * FROM winners""")
 def first_success(spark, sf_dir):
-    return landing.first_success(landing.candidate_counts(_kept_notes(spark, sf_dir)))
+    return landing.first_success(_candidate_counts(_pages(spark, sf_dir))).drop("first_empty")
 
 
 @check(f"""WITH {S.PAPERS} SELECT conf, "year", title, abstract, source AS category
@@ -129,7 +129,7 @@ def scan_checkpoint(spark, sf_dir):
 def _fetch_log(spark, sf_dir) -> DataFrame:
     pages = _pages(spark, sf_dir)
     pairs = landing.conf_years(pages.select("conf").distinct(), V.YEARS)
-    winners = materialize(first_success(spark, sf_dir), "winners")
+    winners = materialize(landing.first_success(_candidate_counts(pages)), "winners")
     return landing.fetch_log(pairs, winners, landing.last_errors(V.attempts(spark, sf_dir)))
 
 
@@ -224,9 +224,9 @@ SELECT conf || '_' || "year" || '_' || coalesce(note_id, CAST(
          row_number() OVER (ORDER BY conf, "year", "offset", position) - 1 AS VARCHAR)) AS id,
        conf, "year", title, abstract FROM matched""")
 def paper_id(spark, sf_dir):
-    pages = landing.pages_until_empty(_pages(spark, sf_dir), None)
-    winners = materialize(first_success(spark, sf_dir), "winners")
-    chosen = landing.normalize_note(landing.accepted_notes(pages, winners)).drop("note")
+    pages = _pages(spark, sf_dir)
+    winners = materialize(landing.first_success(_candidate_counts(pages)), "winners")
+    chosen = landing.normalize_note(landing.accepted_notes(pages, winners, last_offset=None)).drop("note")
     matched = materialize(topic.filter_topic(chosen, V.TOPIC), "matched")
     return landing.paper_ids(matched).select("id", "conf", "year", "title", "abstract")
 

@@ -101,11 +101,20 @@ def test_first_success(spark):
         ("A", 2024, 3, 0, listing(2, venue="A 2024 poster")),  # the winner
         ("A", 2024, 4, 0, listing(5)),  # later, through the filter
         ("B", 2024, 2, 0, listing(4)),  # filtered by venue id: all accepted, total unknown
+        ("B", 2024, 2, 1000, listing(3)),
+        ("B", 2024, 2, 2000, listing(0)),
+        ("B", 2024, 2, 3000, listing(9)),  # past the end of the listing
         ("C", 2024, 1, 0, listing(1, venue="rejected")),
+        ("D", 2024, 0, 0, listing(0)),
+        ("D", 2024, 0, 1000, listing(2)),
+        ("D", 2024, 1, 0, listing(1, venue="Accept")),
     ]
-    counts = landing.candidate_counts(landing.scan_pages(pages(spark, rows)))
+    counts = landing.candidate_counts(landing.page_summary(pages(spark, rows)))
     got = {r.conf: (r.candidate, r.submissions, r.accepted) for r in landing.first_success(counts).collect()}
-    assert got == {"A": (3, 2, 2), "B": (2, -1, 4)}
+    assert got == {"A": (3, 2, 2), "B": (2, -1, 7), "D": (1, 1, 1)}
+    winners = landing.first_success(counts)
+    chosen = landing.accepted_notes(pages(spark, rows), winners)
+    assert {r.conf: r["count"] for r in chosen.groupBy("conf").count().collect()} == {"A": 2, "B": 7, "D": 1}
 
 
 def test_fetch_plan_order(spark):

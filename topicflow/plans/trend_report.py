@@ -29,15 +29,13 @@ def collect_papers(
 ) -> Collected:
     """On-topic accepted papers of the requested (conf, year) pairs, and where each pair was found.
 
-    The pages are read twice: once to find each pair's candidate, keeping counts
-    only, and once to parse the notes of the chosen candidates.
+    The pages are read twice: once for one summary row per page, from which each
+    pair's candidate is chosen, and once to take apart the chosen candidates' pages.
     """
     wanted = landing.join_bounded(pages, pairs.select(landing.PAIR), landing.PAIR, "inner")
-    listed = landing.pages_until_empty(wanted, last_offset)
-    winners = materialize(
-        landing.first_success(landing.candidate_counts(landing.scan_pages(listed))), "winners"
-    )
-    accepted = landing.normalize_note(landing.accepted_notes(listed, winners)).drop("note")
+    summary = landing.page_summary(wanted)
+    winners = materialize(landing.first_success(landing.candidate_counts(summary, last_offset)), "winners")
+    accepted = landing.normalize_note(landing.accepted_notes(wanted, winners, last_offset=last_offset)).drop("note")
     text = match_text(F.col("title"), F.col("abstract"))
     matched = materialize(accepted.filter(on_topic(text, setup.topic_patterns)), "matched")
     if attempts is None:

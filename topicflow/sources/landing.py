@@ -89,20 +89,26 @@ def page_sizes(pages: DataFrame) -> DataFrame:
     return parse_payload(pages).select(*CANDIDATE, "offset", F.size(note_list(F.col("body"))).alias("n"))
 
 
+def _up_to(pages: DataFrame, last_offset: int | None) -> DataFrame:
+    return pages if last_offset is None else pages.filter(F.col("offset") <= last_offset)
+
+
+def _before_end() -> Column:
+    return F.col("first_empty").isNull() | (F.col("offset") < F.col("first_empty"))
+
+
 def pages_until_empty(pages: DataFrame, last_offset: int | None = fixed.LAST_OFFSET) -> DataFrame:
     """Pages of each candidate, in offset order, up to the first empty one.
 
     A short page does not stop the listing; pages past `last_offset` are left out,
-    None reads all.  The first empty offset is a
-    pre-aggregated minimum, so payloads are never shuffled or sorted by it.
+    None reads all.  The first empty offset is a pre-aggregated minimum, so
+    payloads are never shuffled or sorted by it.
     """
-    listed = pages if last_offset is None else pages.filter(F.col("offset") <= last_offset)
+    listed = _up_to(pages, last_offset)
     first_empty = F.min(F.when(F.col("n") == 0, F.col("offset"))).alias("first_empty")
     ends = page_sizes(listed).groupBy(CANDIDATE).agg(first_empty).filter(F.col("first_empty").isNotNull())
     return (
-        join_bounded(listed, materialize(ends, "first-empty"), CANDIDATE)
-        .filter(F.col("first_empty").isNull() | (F.col("offset") < F.col("first_empty")))
-        .drop("first_empty")
+        join_bounded(listed, materialize(ends, "first-empty"), CANDIDATE).filter(_before_end()).drop("first_empty")
     )
 
 
@@ -175,33 +181,63 @@ def filter_venueid(notes: DataFrame) -> DataFrame:
 # --- choosing a candidate -------------------------------------------------
 
 
-def candidate_counts(notes: DataFrame, strict: bool = False) -> DataFrame:
-    """(conf, year, candidate) -> submissions and accepted notes.
+def page_summary(pages: DataFrame, strict: bool = False) -> DataFrame:
+    """(conf, year, candidate, offset, n, accepted), one row per page.
+
+    Everything the choice of a candidate needs, from one narrow pass over the
+    payloads.  Notes listed through the venueid filter are all accepted.
+    """
+    notes = F.col("notes")
+    kept = F.filter(notes, lambda note: is_accepted(note, F.col("conf"), F.col("year"), strict))
+    filtered = strategy_of(F.col("candidate")) == "venueid"
+    return (
+        parse_payload(pages)
+        .select(*CANDIDATE, "offset", note_list(F.col("body")).alias("notes"))
+        .select(
+            *CANDIDATE,
+            "offset",
+            F.size(notes).alias("n"),
+            F.when(filtered, F.size(notes)).otherwise(F.size(kept)).alias("accepted"),
+        )
+    )
+
+
+def candidate_counts(summary: DataFrame, last_offset: int | None = fixed.LAST_OFFSET) -> DataFrame:
+    """(conf, year, candidate) -> submissions, accepted and first_empty, up to the first empty page.
 
-    Notes listed through the venueid filter are all accepted, and how many
-    submissions there were is unknown.
+    How many submissions there were is unknown behind the venueid filter.  A
+    candidate without notes gives no row.
     """
+    first_empty = F.min(F.when(F.col("n") == 0, F.col("offset"))).over(Window.partitionBy(CANDIDATE))
     filtered = strategy_of(F.col("candidate")) == "venueid"
-    accepted = filtered | is_accepted(F.col("note"), F.col("conf"), F.col("year"), strict)
     unknown = F.lit(fixed.UNKNOWN_SUBMISSIONS).cast("bigint")
     return (
-        notes.groupBy(CANDIDATE)
-        .agg(F.count("*").alias("submissions"), F.count_if(accepted).alias("accepted"))
+        _up_to(summary, last_offset)
+        .withColumn("first_empty", first_empty)
+        .filter(_before_end())
+        .groupBy(CANDIDATE)
+        .agg(
+            F.sum("n").alias("submissions"),
+            F.sum("accepted").alias("accepted"),
+            F.min("first_empty").alias("first_empty"),
+        )
         .withColumn("submissions", F.when(filtered, unknown).otherwise(F.col("submissions")))
     )
 
 
 def first_success(counts: DataFrame) -> DataFrame:
     """Per (conf, year) the first candidate, in order of trying, with an accepted note."""
-    best = F.min(F.struct("candidate", "submissions", "accepted")).alias("best")
+    best = F.min(F.struct("candidate", "submissions", "accepted", "first_empty")).alias("best")
     return counts.filter(F.col("accepted") > 0).groupBy(PAIR).agg(best).select(*PAIR, "best.*")
 
 
-def accepted_notes(pages: DataFrame, winners: DataFrame, strict: bool = False) -> DataFrame:
-    """Accepted notes of the winning candidates; other candidates' pages are never parsed."""
-    chosen = join_bounded(pages, winners.select(CANDIDATE), CANDIDATE, "inner")
+def accepted_notes(
+    pages: DataFrame, winners: DataFrame, strict: bool = False, last_offset: int | None = fixed.LAST_OFFSET
+) -> DataFrame:
+    """Accepted notes of the winning candidates; only their pages are taken apart into notes."""
+    chosen = join_bounded(_up_to(pages, last_offset), winners.select(*CANDIDATE, "first_empty"), CANDIDATE, "inner")
     filtered = strategy_of(F.col("candidate")) == "venueid"
-    return scan_pages(chosen).filter(
+    return scan_pages(chosen.filter(_before_end())).filter(
         filtered | is_accepted(F.col("note"), F.col("conf"), F.col("year"), strict)
     )
 
@@ -209,7 +245,7 @@ def accepted_notes(pages: DataFrame, winners: DataFrame, strict: bool = False) -
 def fetch_log(pairs: DataFrame, winners: DataFrame, errors: DataFrame) -> DataFrame:
     """One row per requested (conf, year): where it was found, or why it was not."""
     plan = fetch_plan(pairs).select(*CANDIDATE, "baseurl", "invitation")
-    found = join_bounded(plan, winners, CANDIDATE, "inner").drop("candidate")
+    found = join_bounded(plan, winners, CANDIDATE, "inner").drop("candidate", "first_empty")
     joined = pairs.select(PAIR).join(found, PAIR, "left").join(errors.select(*PAIR, "error"), PAIR, "left")
     failed = F.col("accepted").isNull()
     return joined.select(
