@@ -69,12 +69,12 @@ def match_evidence(papers: DataFrame, rows: list[Row]) -> DataFrame:
                     F.lit(row.key).alias("category_key"),
                     F.lit(number).alias("pattern_no"),
                     F.lit(pattern).alias("pattern"),
-                    F.regexp_extract(text, FLAGS + pattern, 0).alias("found"),
+                    F.when(matches_any(text, [pattern]), F.regexp_extract(text, FLAGS + pattern, 0)).alias("found"),
                 )
                 for number, pattern in enumerate(row.patterns, 1)
             ]
         )
-        hits.append(F.when(matches_any(text, row.patterns), F.filter(tried, lambda t: t.found != "")))
+        hits.append(F.when(matches_any(text, row.patterns), F.filter(tried, lambda t: t.found.isNotNull())))
     listed = F.flatten(F.array_compact(F.array(*hits)))
     return papers.select("id", F.explode(listed).alias("hit")).select("id", "hit.*")
 
