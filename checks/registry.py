@@ -2,14 +2,13 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import sqltext as S
 from checks import views as V
 from topicflow.functions import fixed, text
 from topicflow.functions.keywords import keyword_variants, label_keywords
-from topicflow.functions.regex import alternation
 from topicflow.operators import classify, compare, joins, report, resume, scoring, taxonomy, topic
 from topicflow.session import materialize, new_dir
 from topicflow.sources import landing, tables
@@ -861,30 +860,24 @@ def parse_specs(spark, sf_dir):
     return parsed.withColumn("keywords", F.array_join("keywords", "|"))
 
 
-@check(f"""WITH {S.KEYWORDS} SELECT keyword, array_to_string(list_sort({S.variants("keyword")}), '|') AS variants FROM keywords""")
-def keyword_variants_of_words(spark, sf_dir):
+@check(f"""WITH {S.KEYWORDS} SELECT keyword, array_to_string(list_sort({S.variants("keyword")}), '|') AS variants FROM keywords""",
+       name="keyword_variants")
+def _keyword_variants(spark, sf_dir):
     return V.keywords(spark, sf_dir).select(
         "keyword", F.array_join(F.array_sort(keyword_variants(F.col("keyword"))), "|").alias("variants")
     )
 
 
-QUERIES["keyword_variants"] = QUERIES.pop("keyword_variants_of_words")
-ORACLES["keyword_variants"] = ORACLES.pop("keyword_variants_of_words")
-
-
 @check(f"""WITH labels_ AS (SELECT p_partkey, p_type, p_name || {S._PART_LABEL} || '、' || p_brand AS label FROM part)
-SELECT p_partkey, array_to_string({S.label_words("label")}, '|') AS keywords FROM labels_""")
-def label_keywords_of_parts(spark, sf_dir):
+SELECT p_partkey, array_to_string({S.label_words("label")}, '|') AS keywords FROM labels_""",
+       name="label_keywords")
+def _label_keywords(spark, sf_dir):
     stem = F.create_map(*[F.lit(v) for pair in V.PART_LABELS.items() for v in pair])[F.col("p_type")]
     label = F.concat("p_name", stem, F.lit("、"), "p_brand")
     return V.table(spark, sf_dir, "part").select(
         "p_partkey", F.array_join(label_keywords(label), "|").alias("keywords")
     )
 
-
-QUERIES["label_keywords"] = QUERIES.pop("label_keywords_of_parts")
-ORACLES["label_keywords"] = ORACLES.pop("label_keywords_of_parts")
-
 _ESCAPE = r"regexp_replace(k, '([()\[\]{}?*+\-|^$\\.&~# \t\n\r\x0b\x0c])', '\\\1', 'g')"
 
 

@@ -11,6 +11,7 @@ from topicflow.plans.reclassify import reclassify
 from topicflow.plans.setup import builtin_setup, custom_setup
 from topicflow.plans.trend_report import build_report, classify_papers, collect_papers, score_papers
 from topicflow.session import new_dir
+from topicflow.sources.landing import requested_pages
 from topicflow.sources import tables
 from topicflow.streaming.incremental import PAGES, classify_new_pages, classify_pages
 
@@ -60,6 +61,20 @@ def test_collect(collected):
     assert len(log) == 4
 
 
+def test_pages_are_pruned_to_the_requested_pairs(spark, pages):
+    path = new_dir(spark, "pages")
+    pages.write.partitionBy("conf", "year").parquet(path)
+    stored = spark.read.parquet(path)
+    wanted = spark.createDataFrame([("ICML", 2024)], "conf string, year int")
+    few = requested_pages(stored, wanted)
+    assert "PartitionFilters: [isnotnull(conf" in few._jdf.queryExecution().executedPlan().toString()
+    many = requested_pages(stored, wanted, max_listed=0)
+    assert {r.conf for r in few.collect()} == {r.conf for r in many.collect()} == {"ICML"}
+    assert few.count() == many.count() == 3
+    papers = collect_papers(stored, wanted, builtin_setup()).papers
+    assert papers.count() == 4
+
+
 def test_report(spark, collected):
     classified = classify_papers(collected.papers, builtin_setup())
     made = build_report(classified, [2023, 2024, 2025], 2, builtin_setup().long_tail_label)

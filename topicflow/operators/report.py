@@ -6,12 +6,11 @@ holding most of the rows still reaches the shuffle as one row per task.
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicflow.functions import fixed
 from topicflow.functions.text import display_label, pct_label
-from topicflow.operators.joins import join_bounded
 
 
 def drop_null_keys(df: DataFrame, *keys: str) -> DataFrame:

@@ -26,16 +26,18 @@ def collect_papers(
     setup: Setup,
     attempts: DataFrame | None = None,
     last_offset: int | None = fixed.LAST_OFFSET,
+    strict: bool = False,
 ) -> Collected:
     """On-topic accepted papers of the requested (conf, year) pairs, and where each pair was found.
 
     The pages are read twice: once for one summary row per page, from which each
     pair's candidate is chosen, and once to take apart the chosen candidates' pages.
+    Pages stored by conference and year are pruned to the requested pairs at the scan.
     """
-    wanted = landing.join_bounded(pages, pairs.select(landing.PAIR), landing.PAIR, "inner")
-    summary = landing.page_summary(wanted)
+    wanted = landing.requested_pages(pages, pairs)
+    summary = landing.page_summary(wanted, strict)
     winners = materialize(landing.first_success(landing.candidate_counts(summary, last_offset)), "winners")
-    accepted = landing.normalize_note(landing.accepted_notes(wanted, winners, last_offset=last_offset)).drop("note")
+    accepted = landing.normalize_note(landing.accepted_notes(wanted, winners, strict, last_offset)).drop("note")
     text = match_text(F.col("title"), F.col("abstract"))
     matched = materialize(accepted.filter(on_topic(text, setup.topic_patterns)), "matched")
     if attempts is None:

@@ -51,6 +51,20 @@ def strategy_of(candidate: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, fixed.STRATEGIES)), (candidate % len(fixed.STRATEGIES) + 1).cast("int"))
 
 
+def requested_pages(pages: DataFrame, pairs: DataFrame, max_listed: int = 1000) -> DataFrame:
+    """Pages of the requested (conf, year) pairs.
+
+    The pairs are joined; when there are few, their conferences and years also
+    become literal filters, which reach the scan and prune its partitions.
+    """
+    listed = pairs.select(PAIR).take(max_listed + 1)
+    if len(listed) <= max_listed:
+        pages = pages.filter(
+            F.col("conf").isin({r["conf"] for r in listed}) & F.col("year").isin({r["year"] for r in listed})
+        )
+    return join_bounded(pages, pairs.select(PAIR), PAIR, "inner")
+
+
 # --- pages to notes -------------------------------------------------------
 
 
