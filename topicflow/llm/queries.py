@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from topicflow.llm import block_naming, hyperminhash
+from topicflow.llm import block_naming, hyperminhash, packing, simple8b
+from topicflow.session import new_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +21,23 @@ def op8_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_dir(spark, "token-files")
+    simple8b.write_ids(table(spark, sf_dir, "documents"), path)
+    read = simple8b.read_ids(spark, path)
+    return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 QUERIES = {
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_token_files": op7_token_files,
     "op8_exact_duplicates": op8_exact_duplicates,
+    "op10_packing": op10_packing,
 }
 
 ORACLES = {
