@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicflow.llm.common import bitmap, components, hash_words, shingle_hashes, split_by_bitmap, words
@@ -127,8 +127,8 @@ def _resembling(pairs: DataFrame, classes: DataFrame, floor: float) -> DataFrame
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union on the full sets of words."""
+def _compared(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """Pairs with the sizes of intersection and union of their full sets of shingles."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     wanted, _ = split_by_bitmap(docs.select("doc_id", "text"), "doc_id", bitmap(ids, "doc_id"))
     texts = materialize(wanted.join(ids, "doc_id", "left_semi"), "texts")
@@ -147,27 +147,31 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
             return found
 
         for batch in batches:
-            keep = []
+            common, total = [], []
             for left, right in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist()):
                 x, y = shingles(left or ""), shingles(right or "")
-                common = len(x & y)
-                keep.append(bool(x) and 100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                common.append(len(x & y))
+                total.append(len(x) + len(y) - common[-1])
+            columns = [batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(total, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "common", "total"])
 
     kind = dict(pairs.dtypes)["a"]
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    sized = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}, common long, total long")
+    # rows that share a doc_id: the closest texts count
+    return sized.filter("total > 0").groupBy("a", "b").agg(F.max(F.col("common") / F.col("total")).alias("likeness"), F.max(F.struct(F.col("common") / F.col("total"), "common", "total")).alias("best")).select("a", "b", "likeness", "best.common", "best.total")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, slack: float = 0.2) -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, component_id and kept (the smallest doc_id of a component stays).
 
-    Equal sets are one class.  Classes that share a band are candidates: first each with the smallest of its bucket, then
-    with a member that hashing picks, each time confirmed on the full texts and joined into components; only what
-    then still stands apart in a bucket is compared with each other, so a large group of copies costs few pairs per member
-    and no link between components is missed.  A candidate is confirmed if its corrected estimate is not more than
-    `slack` (over five standard deviations) below the bound.
+    Equal sets are one class.  Classes that share a band are candidates, confirmed on the full texts if their corrected
+    estimate is not more than `slack` (over five standard deviations) below the bound.  A bucket's members are first
+    compared with its centre, the member that meets most others over all bands; those of other components than the centre's
+    then with a centre of their own.  What still stands apart in a bucket is compared pair by pair, unless the distances to
+    the centres already forbid a link (Jaccard distance obeys the triangle inequality).  So a large group of copies costs a
+    few comparisons per member, and no link between components is missed.
 
     Rows without text or words have an empty set and stand alone.  Rows without doc_id take no part: component_id is null
     and they stay.  Rows that share a doc_id are one document: links of either count for both.
@@ -178,36 +182,55 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, slack: fl
     )
     classes = materialize(classes, "classes")
     shared = classes.select("id", F.col("n_shingles").alias("n"), F.posexplode("registers").alias("band", "key"))
-    crowded = shared.groupBy("band", "key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
-    buckets = materialize(shared.join(crowded, ["band", "key"]).select("band", "key", "id", "n", "low"), "buckets")
-    floor = percent / 100 - slack
+    crowded = shared.groupBy("band", "key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("met")).filter("low < high")
+    met = materialize(shared.join(crowded.drop("low", "high"), ["band", "key"]), "buckets")
+    buckets = materialize(met.drop("met").join(met.groupBy("id").agg(F.sum("met").alias("degree")), "id"), "buckets")
+
+    farthest = 1 - percent / 100 + 1e-9
     tried: list[DataFrame] = []
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.distinct()
+    def compare(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
         for earlier in tried:
             pairs = pairs.join(earlier, ["a", "b"], "left_anti")
-        likely = materialize(_resembling(pairs, classes, floor), "candidates")
-        tried.append(likely)
-        return materialize(_confirmed(likely, docs, size, percent), "links")
-
-    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    sizes = classes.select(F.col("id").alias("low"), F.col("n_shingles").alias("m"))
-    first = buckets.filter("id <> low").select("low", "id", "n").distinct().join(sizes, "low").filter(fits)
-    links = confirm(first.select(F.col("low").alias("a"), F.col("id").alias("b")))
+        tried.append(materialize(_resembling(pairs, classes, percent / 100 - slack), "candidates"))
+        return materialize(_compared(tried[-1], docs, size), "compared")
+
+    def distance(members: DataFrame, compared: DataFrame, name: str) -> DataFrame:
+        """Members with their distance to `other`, null where it is not known."""
+        pair = (F.least("id", "other") == F.col("a")) & (F.greatest("id", "other") == F.col("b"))
+        far = F.when(F.col("id") == F.col("other"), 0.0).otherwise(1 - F.col("likeness"))
+        return members.join(compared.select("a", "b", "likeness"), pair, "left").withColumn(name, far).drop("a", "b", "likeness")
+
+    def may_link(n: str, m: str, *distances: tuple[str, str]) -> Column:
+        fits = F.least(n, m) * 100 >= F.greatest(n, m) * percent
+        for x, y in distances:
+            fits &= F.coalesce(F.abs(F.col(x) - F.col(y)) <= farthest, F.lit(True))
+        return fits
+
+    centre = F.max_by(F.struct("id", "n"), F.struct("degree", -F.col("id"))).alias("c")
+    centres = buckets.groupBy("band", "key").agg(centre).select("band", "key", F.col("c.id").alias("other"), F.col("c.n").alias("m"))
+    buckets = materialize(buckets.join(centres, ["band", "key"]), "buckets")
+    near = compare(buckets.filter((F.col("id") != F.col("other")) & may_link("n", "m")))
+    links = near.filter(F.col("common") * 100 >= F.col("total") * percent).select("a", "b")
     roots = components(links)
 
-    labelled = _apart(buckets, roots)
-    picked = labelled.groupBy("band", "key").agg(F.min_by(F.struct("id", "n", "root"), F.xxhash64("id", "band", "key")).alias("p"))
-    second = labelled.join(picked, ["band", "key"]).select("id", "n", "root", F.col("p.id").alias("pid"), F.col("p.n").alias("m"), F.col("p.root").alias("proot"))
-    second = second.filter((F.col("root") != F.col("proot")) & fits)
-    links = links.unionByName(confirm(second.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b"))))
+    apart = materialize(distance(_apart(buckets.drop("m"), roots), near, "d1"), "apart")
+    first_root = roots.select(F.col("id").alias("other"), F.col("root").alias("centre_root"))
+    strangers = apart.join(first_root, "other", "left").filter(F.col("root") != F.coalesce("centre_root", "other"))
+    centre = F.max_by(F.struct("id", "n", "root", "d1"), F.struct("degree", -F.col("id"))).alias("c")
+    centres = strangers.groupBy("band", "key").agg(centre)
+    centres = centres.select("band", "key", F.col("c.id").alias("other"), F.col("c.n").alias("m"), F.col("c.root").alias("centre_root"), F.col("c.d1").alias("e1"))
+    apart = materialize(apart.drop("other").join(centres, ["band", "key"]), "apart")
+    near = compare(apart.filter((F.col("root") != F.col("centre_root")) & may_link("n", "m", ("d1", "e1"))))
+    links = links.unionByName(near.filter(F.col("common") * 100 >= F.col("total") * percent).select("a", "b"))
     roots = components(links)
 
-    labelled = materialize(_apart(buckets, roots), "apart")
-    other = labelled.select("band", "key", F.col("id").alias("pid"), F.col("n").alias("m"), F.col("root").alias("proot"))
-    rest = labelled.join(other, ["band", "key"]).filter((F.col("id") < F.col("pid")) & (F.col("root") != F.col("proot")) & fits)
-    links = links.unionByName(confirm(rest.select(F.col("id").alias("a"), F.col("pid").alias("b"))))
+    apart = materialize(distance(_apart(apart.drop("root", "centre_root", "m", "e1"), roots), near, "d2").drop("other"), "apart")
+    mates = apart.select("band", "key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("root").alias("mate_root"), F.col("d1").alias("e1"), F.col("d2").alias("e2"))
+    rest = apart.join(mates, ["band", "key"]).filter((F.col("id") < F.col("other")) & (F.col("root") != F.col("mate_root")) & may_link("n", "m", ("d1", "e1"), ("d2", "e2")))
+    near = compare(rest)
+    links = links.unionByName(near.filter(F.col("common") * 100 >= F.col("total") * percent).select("a", "b"))
     roots = components(links)
 
     members = classes.select("digest", F.col("id").alias("class_id")).join(roots.withColumnRenamed("id", "class_id"), "class_id", "left")
@@ -219,6 +242,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, slack: fl
 
 def _apart(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     """Members of the buckets that still hold more than one component, with their roots."""
-    labelled = buckets.drop("low").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    labelled = buckets.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = labelled.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
     return labelled.join(mixed.select("band", "key"), ["band", "key"], "left_semi")
