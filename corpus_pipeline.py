@@ -1,20 +1,61 @@
-"""The pipeline: near duplicates so far."""
+"""From raw documents to packed sequences: five stages, each over all that the one before has kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from topicflow.llm import hyperminhash
+from topicflow.llm import hyperminhash, language_id, line_dedup, packing, raking
 from topicflow.session import materialize
 
+LEAST_SCORE = 0.3
+"""Pooled probability below which no language is taken as recognised."""
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows whose doc_id is not among `gone`; rows without doc_id stay."""
+    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or in no language that was learned, go; `lang` stays what it was."""
+    found = language_id.identify(docs)
+    return _without(docs, found.filter((F.col("lang_pred") == language_id.UNKNOWN) | (F.col("score") < LEAST_SCORE)))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One line of each group of near-duplicate lines stays; a document that had lines and lost all of them goes.
+
+    `n_chars` is counted anew.  Rows that share a doc_id must share their text, as one decision holds for both.
+    """
+    kept = line_dedup.kept_lines(docs)
+    blank = lambda x: ~x.rlike("[^ \\t\\x0B\\f\\r]")
+    known = docs.filter("doc_id IS NOT NULL").join(materialize(kept, "kept-lines"), "doc_id", "left")
+    places = F.coalesce("kept", F.array().cast("array<int>"))
+    known = known.withColumn("_lines", F.split("text", "\n")).withColumn("_places", places)
+    left = F.array_join(F.filter("_lines", lambda x, k: blank(x) | F.array_contains(F.col("_places"), k)), "\n")
+    lost = F.exists("_lines", lambda x: ~blank(x)) & F.col("kept").isNull()
+    known = known.filter(F.coalesce(~lost, F.lit(True))).withColumn("text", left)
+    known = known.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return known.unionByName(docs.filter("doc_id IS NULL"))
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near duplicates (five words, similarity 0.8) stays."""
-    dropped = hyperminhash.near_duplicates(docs, size=5, percent=80).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    return _without(docs, hyperminhash.near_duplicates(docs, size=5, percent=80).filter("NOT kept"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample of half of the tokens, raked to flattened shares of sources and languages."""
+    return _without(docs, raking.sample(docs).filter("NOT sampled"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 1024 tokens, with their ids."""
+    return packing.pack(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [("language", language), ("lines", lines), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packed)]
 ORACLE_SQL = None
 
 

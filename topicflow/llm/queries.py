@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicflow.llm import block_naming, hyperminhash, line_dedup, packing, phrase_automata, simple8b
+from topicflow.llm import (
+    block_naming,
+    host_reputation,
+    hyperminhash,
+    language_id,
+    line_dedup,
+    packing,
+    phrase_automata,
+    raking,
+    simple8b,
+    vp_tree,
+)
 from topicflow.session import new_dir
 
 
@@ -17,11 +28,31 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vp_tree.nearest(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = phrase_automata.remove_repeats(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
 
 
+# The rules the query is judged by.
+RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op4_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels' quality and toxic flags are the outcomes of the pages of the same number."""
+    labels = table(spark, sf_dir, "labels")
+    good = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).when(F.col("quality").isNotNull() & F.col("toxic").isNotNull(), 0)
+    return host_reputation.judge(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), good.alias("good")), RULES)
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raking.sample(table(spark, sf_dir, "documents"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
@@ -37,18 +68,29 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 QUERIES = {
-    "op1_line_dedup": op1_line_dedup,
-    "op3_repeated_passages": op3_repeated_passages,
-    "op6_near_duplicates": op6_near_duplicates,
-    "op7_token_files": op7_token_files,
-    "op8_exact_duplicates": op8_exact_duplicates,
-    "op10_packing": op10_packing,
+    query.__name__: query
+    for query in (
+        op1_line_dedup,
+        op2_nearest_neighbours,
+        op3_repeated_passages,
+        op4_host_reputation,
+        op5_mixing,
+        op6_near_duplicates,
+        op7_token_files,
+        op8_exact_duplicates,
+        op9_language_id,
+        op10_packing,
+    )
 }
 
 ORACLES = {
