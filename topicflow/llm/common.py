@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -129,3 +131,76 @@ def components(links: DataFrame) -> DataFrame:
 
 def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+
+def components_of_buckets(
+    shared: DataFrame, compare: Callable[[DataFrame], tuple[DataFrame, DataFrame]], bound: float
+) -> DataFrame:
+    """Components, as from `components`, of the links between members of the same bucket.
+
+    shared: (band, key, id, n), n the size of the member's set.  compare: takes distinct pairs (a, b), a < b, and returns
+    those it will not need to see again and (a, b, likeness, linked) of those it measured.  `bound` is the Jaccard
+    similarity of a link.
+
+    Members are first compared with their bucket's centre, the member that meets most others over all bands; those in
+    another component than the centre then with a centre of their own.  What still stands apart in a bucket is compared
+    pair by pair, unless sizes or the distances to the centres already forbid a link (Jaccard distance obeys the triangle
+    inequality).  So a group of copies of one text costs a few comparisons per member, and no link between components
+    of a bucket is missed.
+    """
+    bucket, farthest = ["band", "key"], 1 - bound + 1e-9
+    counted = shared.groupBy(bucket).agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("met")).filter("low < high")
+    met = materialize(shared.join(counted.drop("low", "high"), bucket), "buckets")
+    members = met.drop("met").join(met.groupBy("id").agg(F.sum("met").alias("degree")), "id")
+    members = materialize(members, "buckets")
+    order = F.struct("degree", F.xxhash64("id"))
+    tried: list[DataFrame] = []
+
+    def measured(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+        for earlier in tried:
+            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
+        seen, found = compare(pairs)
+        tried.append(seen)
+        return found
+
+    def apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        """Members of the buckets that still hold more than one component, with their roots."""
+        labelled = rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        mixed = labelled.groupBy(bucket).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+        return labelled.join(mixed.select(bucket), bucket, "left_semi")
+
+    def distance(rows: DataFrame, found: DataFrame, name: str) -> DataFrame:
+        """Members with their distance to `other`, null where it was not measured."""
+        pair = (F.least("id", "other") == F.col("a")) & (F.greatest("id", "other") == F.col("b"))
+        far = F.when(F.col("id") == F.col("other"), 0.0).otherwise(1 - F.col("likeness"))
+        return rows.join(found.select("a", "b", "likeness"), pair, "left").withColumn(name, far).drop("a", "b", "likeness")
+
+    def may_link(*distances: tuple[str, str]) -> Column:
+        possible = F.least("n", "m") >= F.greatest("n", "m") * (bound - 1e-9)
+        for x, y in distances:
+            possible &= F.coalesce(F.abs(F.col(x) - F.col(y)) <= farthest, F.lit(True))
+        return possible
+
+    centres = members.groupBy(bucket).agg(F.max_by(F.struct("id", "n"), order).alias("c"))
+    members = materialize(members.join(centres.select(*bucket, F.col("c.id").alias("other"), F.col("c.n").alias("m")), bucket), "buckets")
+    found = measured(members.filter((F.col("id") != F.col("other")) & may_link()))
+    links = found.filter("linked").select("a", "b")
+    roots = components(links)
+
+    rest = materialize(distance(apart(members.drop("m"), roots), found, "d1"), "apart")
+    centre_root = roots.select(F.col("id").alias("other"), F.col("root").alias("centre_root"))
+    strangers = rest.join(centre_root, "other", "left").filter(F.col("root") != F.coalesce("centre_root", "other"))
+    centres = strangers.groupBy(bucket).agg(F.max_by(F.struct("id", "n", "root", "d1"), order).alias("c"))
+    centres = centres.select(*bucket, F.col("c.id").alias("other"), F.col("c.n").alias("m"), F.col("c.root").alias("other_root"), F.col("c.d1").alias("e1"))
+    rest = materialize(rest.drop("other").join(centres, bucket), "apart")
+    found = measured(rest.filter((F.col("root") != F.col("other_root")) & may_link(("d1", "e1"))))
+    links = links.unionByName(found.filter("linked").select("a", "b"))
+    roots = components(links)
+
+    rest = distance(apart(rest.drop("root", "other_root", "m", "e1"), roots), found, "d2").drop("other")
+    rest = materialize(rest, "apart")
+    mates = rest.select(*bucket, F.col("id").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"), F.col("d1").alias("e1"), F.col("d2").alias("e2"))
+    pairs = rest.join(mates, bucket).filter((F.col("id") < F.col("other")) & (F.col("root") != F.col("other_root")) & may_link(("d1", "e1"), ("d2", "e2")))
+    links = links.unionByName(measured(pairs).filter("linked").select("a", "b"))
+    return components(links)

@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicflow.llm.common import bitmap, components, hash_words, shingle_hashes, split_by_bitmap, words
+from topicflow.llm.common import bitmap, components_of_buckets, hash_words, shingle_hashes, split_by_bitmap, words
 from topicflow.session import materialize
 
 BANDS, ROWS = 32, 4
@@ -167,11 +167,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, slack: fl
     """Per row of `docs`: doc_id, n_shingles, component_id and kept (the smallest doc_id of a component stays).
 
     Equal sets are one class.  Classes that share a band are candidates, confirmed on the full texts if their corrected
-    estimate is not more than `slack` (over five standard deviations) below the bound.  A bucket's members are first
-    compared with its centre, the member that meets most others over all bands; those of other components than the centre's
-    then with a centre of their own.  What still stands apart in a bucket is compared pair by pair, unless the distances to
-    the centres already forbid a link (Jaccard distance obeys the triangle inequality).  So a large group of copies costs a
-    few comparisons per member, and no link between components is missed.
+    estimate is not more than `slack` (over five standard deviations) below the bound; see `components_of_buckets` for how
+    a large group of copies gets by with a few comparisons per member and no link between components is missed.
 
     Rows without text or words have an empty set and stand alone.  Rows without doc_id take no part: component_id is null
     and they stay.  Rows that share a doc_id are one document: links of either count for both.
@@ -182,66 +179,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, slack: fl
     )
     classes = materialize(classes, "classes")
     shared = classes.select("id", F.col("n_shingles").alias("n"), F.posexplode("registers").alias("band", "key"))
-    crowded = shared.groupBy("band", "key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("met")).filter("low < high")
-    met = materialize(shared.join(crowded.drop("low", "high"), ["band", "key"]), "buckets")
-    buckets = materialize(met.drop("met").join(met.groupBy("id").agg(F.sum("met").alias("degree")), "id"), "buckets")
-
-    farthest = 1 - percent / 100 + 1e-9
-    tried: list[DataFrame] = []
-
-    def compare(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-        for earlier in tried:
-            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
-        tried.append(materialize(_resembling(pairs, classes, percent / 100 - slack), "candidates"))
-        return materialize(_compared(tried[-1], docs, size), "compared")
-
-    def distance(members: DataFrame, compared: DataFrame, name: str) -> DataFrame:
-        """Members with their distance to `other`, null where it is not known."""
-        pair = (F.least("id", "other") == F.col("a")) & (F.greatest("id", "other") == F.col("b"))
-        far = F.when(F.col("id") == F.col("other"), 0.0).otherwise(1 - F.col("likeness"))
-        return members.join(compared.select("a", "b", "likeness"), pair, "left").withColumn(name, far).drop("a", "b", "likeness")
-
-    def may_link(n: str, m: str, *distances: tuple[str, str]) -> Column:
-        fits = F.least(n, m) * 100 >= F.greatest(n, m) * percent
-        for x, y in distances:
-            fits &= F.coalesce(F.abs(F.col(x) - F.col(y)) <= farthest, F.lit(True))
-        return fits
-
-    centre = F.max_by(F.struct("id", "n"), F.struct("degree", -F.col("id"))).alias("c")
-    centres = buckets.groupBy("band", "key").agg(centre).select("band", "key", F.col("c.id").alias("other"), F.col("c.n").alias("m"))
-    buckets = materialize(buckets.join(centres, ["band", "key"]), "buckets")
-    near = compare(buckets.filter((F.col("id") != F.col("other")) & may_link("n", "m")))
-    links = near.filter(F.col("common") * 100 >= F.col("total") * percent).select("a", "b")
-    roots = components(links)
-
-    apart = materialize(distance(_apart(buckets.drop("m"), roots), near, "d1"), "apart")
-    first_root = roots.select(F.col("id").alias("other"), F.col("root").alias("centre_root"))
-    strangers = apart.join(first_root, "other", "left").filter(F.col("root") != F.coalesce("centre_root", "other"))
-    centre = F.max_by(F.struct("id", "n", "root", "d1"), F.struct("degree", -F.col("id"))).alias("c")
-    centres = strangers.groupBy("band", "key").agg(centre)
-    centres = centres.select("band", "key", F.col("c.id").alias("other"), F.col("c.n").alias("m"), F.col("c.root").alias("centre_root"), F.col("c.d1").alias("e1"))
-    apart = materialize(apart.drop("other").join(centres, ["band", "key"]), "apart")
-    near = compare(apart.filter((F.col("root") != F.col("centre_root")) & may_link("n", "m", ("d1", "e1"))))
-    links = links.unionByName(near.filter(F.col("common") * 100 >= F.col("total") * percent).select("a", "b"))
-    roots = components(links)
-
-    apart = materialize(distance(_apart(apart.drop("root", "centre_root", "m", "e1"), roots), near, "d2").drop("other"), "apart")
-    mates = apart.select("band", "key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("root").alias("mate_root"), F.col("d1").alias("e1"), F.col("d2").alias("e2"))
-    rest = apart.join(mates, ["band", "key"]).filter((F.col("id") < F.col("other")) & (F.col("root") != F.col("mate_root")) & may_link("n", "m", ("d1", "e1"), ("d2", "e2")))
-    near = compare(rest)
-    links = links.unionByName(near.filter(F.col("common") * 100 >= F.col("total") * percent).select("a", "b"))
-    roots = components(links)
+
+    def compare(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        likely = materialize(_resembling(pairs, classes, percent / 100 - slack), "candidates")
+        found = materialize(_compared(likely, docs, size), "compared")
+        return likely, found.withColumn("linked", F.col("common") * 100 >= F.col("total") * percent).select("a", "b", "likeness", "linked")
+
+    roots = components_of_buckets(shared, compare, percent / 100)
 
     members = classes.select("digest", F.col("id").alias("class_id")).join(roots.withColumnRenamed("id", "class_id"), "class_id", "left")
     found = signed.join(members.select("digest", F.coalesce("root", "class_id").alias("found")), "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("found")).otherwise(F.col("doc_id")))
     result = found.select("doc_id", "n_shingles", component.alias("component_id"))
     return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def _apart(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of the buckets that still hold more than one component, with their roots."""
-    labelled = buckets.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = labelled.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    return labelled.join(mixed.select("band", "key"), ["band", "key"], "left_semi")

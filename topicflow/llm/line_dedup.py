@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicflow.llm.common import bitmap, components, mix64, split_by_bitmap
+from topicflow.llm.common import bitmap, components_of_buckets, mix64, split_by_bitmap
 from topicflow.session import materialize
 
 SHINGLE = 7
@@ -107,16 +107,19 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return lines.select(F.struct("doc_id", "pos").alias("id"), F.get("lines", F.col("pos")).alias("line"))
 
 
-def _links(pairs: DataFrame, texts: DataFrame, bound: float) -> DataFrame:
+def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, likeness) of the lines of each pair."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [likeness(x or "", y or "") >= bound for x, y in zip(batch.column("la").to_pylist(), batch.column("lb").to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            found = [likeness(x or "", y or "") for x, y in zip(batch.column("la").to_pylist(), batch.column("lb").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], ["a", "b", "likeness"])
 
     kind = "struct<doc_id:bigint,pos:int>"
     left = texts.select(F.col("id").alias("a"), F.col("line").alias("la"))
     right = texts.select(F.col("id").alias("b"), F.col("line").alias("lb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    sized = pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb").mapInArrow(run, f"a {kind}, b {kind}, likeness double")
+    return sized.groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
 
 
 def kept_lines(docs: DataFrame, bound: float = 0.8) -> DataFrame:
@@ -125,24 +128,16 @@ def kept_lines(docs: DataFrame, bound: float = 0.8) -> DataFrame:
     distinct = materialize(
         _occurrences(docs).groupBy("h", "g").agg(F.min(F.struct("doc_id", "pos")).alias("id"), F.first("keys").alias("keys")).select("id", "keys"), "lines"
     )
-    shared = distinct.select("id", F.posexplode("keys").alias("band", "key"))
-    buckets = shared.groupBy("band", "key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).filter("low < high")
-    members = materialize(shared.join(buckets.select("band", "key", "low", "n"), ["band", "key"]), "buckets")
+    shared = distinct.select("id", F.lit(1).alias("n"), F.posexplode("keys").alias("band", "key"))  # sizes are not compared
+    crowded = shared.groupBy("band", "key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
+    members = materialize(shared.join(crowded.select("band", "key"), ["band", "key"]), "members")
     texts = materialize(_texts(docs, members.select("id").distinct()), "candidates")
 
-    first = members.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    links = materialize(_links(first, texts, bound), "links")
-    roots = components(links)
-
-    # what the first line of its bucket did not reach is compared with every member of another component
-    labelled = members.filter("n > 2").drop("low", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = labelled.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    apart = materialize(labelled.join(mixed.select("band", "key"), ["band", "key"], "left_semi"), "apart")
-    mates = apart.select("band", "key", F.col("id").alias("mate"), F.col("root").alias("mate_root"))
-    rest = apart.join(mates, ["band", "key"]).filter((F.col("id") < F.col("mate")) & (F.col("root") != F.col("mate_root")))
-    rest = rest.select(F.col("id").alias("a"), F.col("mate").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(materialize(_links(rest, texts, bound), "links"))
-    roots = components(links)
+    def compare(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        found = materialize(_compared(pairs, texts), "compared")
+        return found.select("a", "b"), found.withColumn("linked", F.col("likeness") >= bound - 1e-12)
+
+    roots = components_of_buckets(members, compare, bound)
 
     stays = distinct.select("id").join(roots, "id", "left_anti")
     return stays.select("id.doc_id", "id.pos").groupBy("doc_id").agg(F.collect_set("pos").alias("kept"))
