@@ -79,11 +79,11 @@ def conf_year_cross(spark, sf_dir):
 
 @check(f"""WITH {S.LANDED_ALL} SELECT conf, "year", candidate, "offset", n FROM kept_pages""")
 def pages_until_empty(spark, sf_dir):
-    return landing.page_sizes(landing.pages_until_empty(_pages(spark, sf_dir), None))
+    return landing.page_sizes(landing.pages_until_empty(_pages(spark, sf_dir)))
 
 
 def _candidate_counts(pages: DataFrame) -> DataFrame:
-    return landing.candidate_counts(landing.page_summary(pages), None)
+    return landing.candidate_counts(landing.page_summary(pages))
 
 
 @check(f"""WITH {S.LANDED_ALL} SELECT * FROM counts""")
@@ -225,7 +225,7 @@ SELECT conf || '_' || "year" || '_' || coalesce(note_id, CAST(
 def paper_id(spark, sf_dir):
     pages = _pages(spark, sf_dir)
     winners = materialize(landing.first_success(_candidate_counts(pages)), "winners")
-    chosen = landing.normalize_note(landing.accepted_notes(pages, winners, last_offset=None)).drop("note")
+    chosen = landing.normalize_note(landing.accepted_notes(pages, winners)).drop("note")
     matched = materialize(topic.filter_topic(chosen, V.TOPIC), "matched")
     return landing.paper_ids(matched).select("id", "conf", "year", "title", "abstract")
 
@@ -667,7 +667,7 @@ _DEFINITIONS_SQL = f"""1. **Licensing** (key: custom_1)
 @check(f"""WITH {S.PAPERS}, {S.PREDICTIONS}, {UNSCORED_SQL}
 SELECT bucket, batch_no, CAST(count(*) AS INTEGER) AS papers,
   '{fixed.PROMPT_HEAD}{_DEFINITIONS_SQL}{fixed.PROMPT_PAPERS}' ||
-  string_agg('Paper ID: ' || id || chr(10) || 'Title: ' || title || chr(10) || 'Abstract: ' || left(abstract, 500) || '...',
+  string_agg('Paper ID: ' || id || chr(10) || 'Title: ' || title || chr(10) || 'Abstract: ' || abstract,
              chr(10) || chr(10) ORDER BY position) || '{fixed.PROMPT_TAIL}' AS prompt
 FROM batched GROUP BY ALL""")
 def build_prompts(spark, sf_dir):
@@ -883,7 +883,7 @@ _ESCAPE = r"regexp_replace(k, '([()\[\]{}?*+\-|^$\\.&~# \t\n\r\x0b\x0c])', '\\\1
 
 @check(rf"""WITH {S.SPECS}
 SELECT taxonomy_id, priority, 'custom_' || priority AS key, label,
-       '包含关键词：' || array_to_string(keywords[1:10], ', ') || CASE WHEN len(keywords) > 10 THEN '...' ELSE '' END AS description,
+       '包含关键词：' || array_to_string(keywords, ', ') AS description,
        array_to_string(list_transform(keywords, lambda k: '\b' || {_ESCAPE} || '\b'), ' ') AS patterns
 FROM keyworded""")
 def compile_taxonomy(spark, sf_dir):
@@ -914,7 +914,7 @@ def distinct_keywords(spark, sf_dir):
 
 @check(rf"""WITH {S.SPECS}, shown AS (
   SELECT taxonomy_id, priority, label,
-         '包含关键词：' || array_to_string(keywords[1:10], ', ') || CASE WHEN len(keywords) > 10 THEN '...' ELSE '' END AS description
+         '包含关键词：' || array_to_string(keywords, ', ') AS description
   FROM keyworded)
 SELECT taxonomy_id, string_agg(priority || '. **' || label || '** (key: custom_' || priority || ')' || chr(10) || '   ' ||
          description || chr(10), chr(10) ORDER BY priority) || chr(10) || (count(*) + 1) || '. **' || {S.OTHER} ||
@@ -927,7 +927,7 @@ def taxonomy_text(spark, sf_dir):
 
 @check(rf"""WITH {S.SPECS}, shown AS (
   SELECT taxonomy_id, priority, 'custom_' || priority AS key, label,
-         '包含关键词：' || array_to_string(keywords[1:10], ', ') || CASE WHEN len(keywords) > 10 THEN '...' ELSE '' END AS description
+         '包含关键词：' || array_to_string(keywords, ', ') AS description
   FROM keyworded)
 SELECT taxonomy_id, '[' || string_agg('{{"key":"' || key || '","label":"' || label || '","description":"' || description || '"}}',
          ',' ORDER BY priority) || ',{{"key":"other","label":"' || {S.OTHER} || '","description":"{fixed.DEFAULT_DESCRIPTION}"}}]'

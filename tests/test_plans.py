@@ -13,7 +13,6 @@ from topicflow.plans.trend_report import build_report, classify_papers, collect_
 from topicflow.session import new_dir
 from topicflow.sources.landing import requested_pages
 from topicflow.sources import tables
-from topicflow.streaming.incremental import PAGES, classify_new_pages, classify_pages
 
 TITLES = [
     "A survey of in-context learning",
@@ -28,6 +27,9 @@ def note(conf, year, i):
     return {"id": f"n{i}", "content": {"title": {"value": TITLES[i % 5]}, "abstract": f"Abstract {i}", "venue": f"{conf} {year} poster"}}
 
 
+PAGES = "conf string, year int, candidate int, offset int, payload string"
+
+
 @pytest.fixture(scope="module")
 def pages(spark):
     rows = []
@@ -156,14 +158,28 @@ def test_reclassify(spark, collected):
     assert reclassify(stored, none, setup.rows, setup.default_label, n=5).results.count() == 5
 
 
-def test_new_pages_are_classified_once(spark, pages, tmp_path):
-    landing, out, marks = (str(tmp_path / n) for n in ("pages", "out", "marks"))
-    parts = [pages.filter("conf = 'ICLR' AND candidate = 3"), pages.filter("conf = 'ICML' AND candidate = 3")]
-    counts = []
-    for part in parts:
-        part.write.mode("append").parquet(landing)
-        classify_new_pages(spark, landing, out, marks, builtin_setup()).awaitTermination()
-        counts.append(spark.read.parquet(out).count())
-    assert counts == [28, 32]
-    want = classify_pages(pages.filter("candidate = 3"), builtin_setup())
-    assert {tuple(r) for r in spark.read.parquet(out).collect()} == {tuple(r) for r in want.collect()}
+def test_reclassify_the_simple_table(spark, collected):
+    setup = builtin_setup()
+    simple = classify_papers(collected.papers, setup).select("conf", "year", "title", "abstract", F.col("category_label").alias("category"))
+    outcome = reclassify(simple.unionByName(simple.limit(3)), spark.createDataFrame([], tables.CACHE), setup.rows, setup.default_label)
+    assert outcome.results.count() == 35 and tuple(outcome.stats.first())[:2] == (35, 0)
+
+
+def test_bad_pages_repeated_pages_and_repeated_pairs(spark):
+    def page(candidate, offset, ids):
+        notes = [{"id": i, "content": {"title": "In-context learning", "abstract": None, "venue": "ICLR 2024 poster"}} for i in ids]
+        return ("ICLR", 2024, candidate, offset, json.dumps(notes))
+
+    rows = [page(1, 0, ["a"]), ("ICLR", 2024, 1, 1000, "<html>"), page(1, 2000, ["b"]), page(3, 0, ["c", "d"]), page(3, 0, ["c", "d"]), page(3, 201_000, ["e"])]
+    twice = spark.createDataFrame([("ICLR", 2024), ("ICLR", 2024), ("ICML", 2024)], "conf string, year int")
+    found = collect_papers(spark.createDataFrame(rows, PAGES), twice, builtin_setup())
+    assert sorted(r.id for r in found.papers.collect()) == ["ICLR_2024_c", "ICLR_2024_d", "ICLR_2024_e"]
+    log = {r.conf: (r.submissions, r.accepted, r.error) for r in found.fetch_log.collect()}
+    assert log == {"ICLR": (3, 3, None), "ICML": (0, 0, "Nothing listed")}
+    failed = collect_papers(spark.createDataFrame(rows[:3], PAGES), twice, builtin_setup()).fetch_log.filter("conf = 'ICLR'").first()
+    assert (failed.accepted, failed.error) == (0, "Non-JSON response. Head: <html>")
+
+
+def test_own_predicate(spark, pages, pairs):
+    found = collect_papers(pages, pairs, builtin_setup(), keep=lambda title, abstract: abstract == "Abstract 3")
+    assert found.papers.count() == 3

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from topicflow.operators import joins, scoring, taxonomy
+from topicflow.sources import tables
 
 CACHE = "paper_hash string, category_key string, category_label string, confidence double, reasoning string"
 
@@ -84,8 +85,8 @@ def test_prompt(spark):
     df = scoring.with_hash(papers(spark, [("1", "First", "x" * 600), ("2", "Second", "")]))
     row = scoring.build_prompts(scoring.score_batches(df, 10, 1), "1. **Red**").first()
     assert sorted(row.ids) == ["1", "2"]
-    assert f"Paper ID: 1\nTitle: First\nAbstract: {'x' * 500}..." in row.prompt
-    assert "Paper ID: 2\nTitle: Second\nAbstract: ..." in row.prompt
+    assert f"Paper ID: 1\nTitle: First\nAbstract: {'x' * 600}\n" in row.prompt + "\n"
+    assert "Paper ID: 2\nTitle: Second\nAbstract: " in row.prompt
     assert "分类标准：\n1. **Red**\n\n待分类论文：\nPaper ID: " in row.prompt
     assert row.prompt.startswith("你是") and row.prompt.endswith("（0-1之间）\n")
 
@@ -115,15 +116,18 @@ def test_responses(spark, rows):
 
 @pytest.mark.parametrize(
     "response, reason",
-    [("oops " * 40, "API Error: " + ("oops " * 40)[:100]), (None, "API Error: no response"), ('{"classifications": [', 'API Error: {"classifications": [')],
+    [("oops " * 40, "API Error: " + "oops " * 40), (None, "API Error: no response"), ('{"classifications": [', 'API Error: {"classifications": [')],
 )
 def test_failed_batch(spark, rows, response, reason):
     got = parse(spark, rows, ["1", "2"], response)
     assert {tuple(r)[1:] for r in got.values()} == {("other", "Other", 0.0, reason, True)}
 
 
-def test_response_without_answers_is_no_failure(spark, rows):
-    got = parse(spark, rows, ["1"], "{}")
+def test_response_without_a_list_of_answers_is_a_failure(spark, rows):
+    for response in ("{}", "[]"):
+        got = parse(spark, rows, ["1"], response)
+        assert tuple(got["1"])[1:] == ("other", "Other", 0.0, f"API Error: {response}", True)
+    got = parse(spark, rows, ["1"], '{"classifications": []}')
     assert tuple(got["1"])[1:] == ("other", "Other", 0.0, "No classification returned", False)
 
 
@@ -153,3 +157,22 @@ def test_scorer_runs_once_per_batch_frame(spark):
     df = scoring.with_hash(papers(spark, [(str(i), f"t{i}", "a") for i in range(25)]))
     responses = scoring.apply_scorer(scoring.build_prompts(scoring.score_batches(df, 10, 1), "d"), scorer).collect()
     assert sorted(r.response for r in responses) == ["10", "10", "5"]
+
+
+def test_repeated_papers_and_ids_are_scored_once_per_text(spark):
+    cache = spark.createDataFrame([], tables.CACHE)
+    rows = papers(spark, [("1", "a", None), ("1", "a", ""), ("2", "b", ""), ("2", "c", "")])
+    todo = {r.id: r.title for r in scoring.to_score(rows, cache).collect()}
+    assert sorted(todo.values()) == ["a", "b", "c"] and len(todo) == 3 and todo["1"] == "a"
+
+
+def test_a_scorer_that_raises_fails_its_own_batch(spark):
+    def scorer(frame):
+        if (frame["batch_no"] == 1).any():
+            raise RuntimeError("no route")
+        return frame["prompt"].map(lambda p: '{"classifications": []}' if p == "x" else "[]")
+
+    prompts = spark.createDataFrame([(0, k, [str(k)], p) for k, p in enumerate("xyz")], "bucket int, batch_no int, ids array<string>, prompt string").coalesce(1)
+    parsed = scoring.parse_responses(scoring.apply_scorer(prompts, lambda f: scorer(f)), [], "Other").withColumn("cached", scoring.was_answered())
+    got = {r.id: (r.failed, r.reasoning, r.cached) for r in parsed.collect()}
+    assert got == {"0": (False, "No classification returned", False), "1": (True, "API Error: RuntimeError: no route", False), "2": (True, "API Error: []", False)}

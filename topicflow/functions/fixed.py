@@ -221,7 +221,6 @@ INVITATION_FORMATS = (
 STRATEGIES = ("venueid", "all")  # server-side filter first, then filter here
 UNKNOWN_SUBMISSIONS = -1  # the server-side filter hides the total
 PAGE_STEP = 1000
-LAST_OFFSET = 200_000
 NOTE_LIST_KEYS = ("notes", "data", "results")
 ERROR_LINES_KEPT = 12
 
@@ -232,11 +231,9 @@ CONFIDENCE_THRESHOLD = 0.6
 FALLBACK_CONFIDENCE = 0.5
 MISSING_CONFIDENCE = 0.5
 BATCH_SIZE = 10
-PROMPT_ABSTRACT_CHARS = 500
 RULE_REASON = "Rule-based classification"
 MISSING_ANSWER_REASON = "No classification returned"
 FAILURE_REASON_PREFIX = "API Error: "
-FAILURE_REASON_CHARS = 100
 PROMPT_HEAD = """你是一个专业的AI论文分类助手。请根据论文的标题和摘要，将其分类到最合适的类别中。
 
 分类标准：

@@ -26,13 +26,18 @@ def is_blank(s: Column) -> Column:
     return strip(s) == ""
 
 
+def _given(s: Column) -> Column:
+    """A missing title or abstract is empty."""
+    return F.coalesce(s, F.lit(""))
+
+
 def match_text(title: Column, abstract: Column) -> Column:
     """The text patterns are searched in; the line feed stops "." at the title's end."""
-    return F.concat(title, F.lit("\n"), abstract)
+    return F.concat(_given(title), F.lit("\n"), _given(abstract))
 
 
 def paper_hash(title: Column, abstract: Column) -> Column:
-    return F.md5(F.concat(title, F.lit(HASH_SEPARATOR), abstract))
+    return F.md5(F.concat(_given(title), F.lit(HASH_SEPARATOR), _given(abstract)))
 
 
 def display_label(label: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from topicflow.functions import fixed
-from topicflow.functions.text import match_text, paper_hash, truncate
+from topicflow.functions.text import match_text, paper_hash
 from topicflow.operators.classify import category_key, category_label, rule_priority
 from topicflow.operators.joins import join_bounded, join_skewed
 from topicflow.session import materialize
@@ -41,13 +41,18 @@ def to_score(papers: DataFrame, cache: DataFrame) -> DataFrame:
 
     Copies of a text are reduced to their lowest id before the shuffle, and the
     anti join meets every hash once.  Only hashes and ids are shuffled; the texts
-    are fetched afterwards, by a broadcast of the ids when they are few.
+    are fetched afterwards, by a broadcast of the ids when they are few.  Repeated
+    papers give one row, an id with several texts one row per text.
     """
     first = with_hash(papers).groupBy("paper_hash").agg(F.min("id").alias("id"))
-    unknown = materialize(first.join(cache.select("paper_hash"), "paper_hash", "left_anti"), "to-score")
-    return join_bounded(papers.select("id", "title", "abstract"), unknown, "id", "inner").select(
-        "paper_hash", "id", "title", "abstract"
-    )
+    unknown = first.join(cache.select("paper_hash"), "paper_hash", "left_anti")
+    # answers come back by id, so an id with several texts is told apart by their hashes
+    shared = unknown.groupBy("id").agg(F.count("*").alias("_texts"))
+    sent_as = F.when(F.col("_texts") > 1, F.concat_ws("#", "id", "paper_hash")).otherwise(F.col("id"))
+    unknown = materialize(unknown.join(shared, "id").select("paper_hash", "id", sent_as.alias("_sent_as")), "to-score")
+    texts = with_hash(papers.select("id", "title", "abstract"))
+    found = join_bounded(texts, unknown, ["id", "paper_hash"], "inner")
+    return found.select("paper_hash", F.col("_sent_as").alias("id"), "title", "abstract").dropDuplicates(["paper_hash"])
 
 
 def score_batches(
@@ -72,11 +77,12 @@ def score_batches(
     )
 
 
-def prompt_entry(abstract_chars: int = fixed.PROMPT_ABSTRACT_CHARS) -> Column:
+def prompt_entry() -> Column:
+    """A paper in the prompt, with its whole abstract."""
     return F.concat(
         F.lit("Paper ID: "), F.col("id"),
-        F.lit("\nTitle: "), F.col("title"),
-        F.lit("\nAbstract: "), truncate(F.col("abstract"), abstract_chars, "..."),
+        F.lit("\nTitle: "), F.coalesce("title", F.lit("")),
+        F.lit("\nAbstract: "), F.coalesce("abstract", F.lit("")),
     )
 
 
@@ -103,13 +109,29 @@ def build_prompts(batched: DataFrame, definitions: str) -> DataFrame:
 def apply_scorer(prompts: DataFrame, scorer: Scorer) -> DataFrame:
     """(bucket, batch_no, ids, response): the scorer is called in the tasks, once per Arrow batch of prompts.
 
-    An exception fails the task, which Spark runs again; a scorer that wants a
-    batch to count as failed returns None or a text that is no JSON for it.
+    A scorer that wants a batch to count as failed returns None or a text without a
+    list of classifications for it.  If it raises, the batches of the call are tried
+    one by one, and those that raise again fail with the error as their response.
     """
 
+    def one_by_one(frame: pd.DataFrame) -> list[str | None]:
+        responses: list[str | None] = []
+        for k in range(len(frame)):
+            try:
+                responses.append(list(scorer(frame.iloc[[k]]))[0])
+            except Exception as error:  # any error of a user's scorer fails this batch only
+                responses.append(f"{type(error).__name__}: {error}")
+        return responses
+
+    def answered(frame: pd.DataFrame) -> list[str | None]:
+        try:
+            return list(scorer(frame))
+        except Exception:  # see above
+            return one_by_one(frame)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame[["bucket", "batch_no", "ids"]].assign(response=scorer(frame))
+            yield frame[["bucket", "batch_no", "ids"]].assign(response=answered(frame))
 
     return prompts.mapInPandas(run, "bucket int, batch_no int, ids array<string>, response string")
 
@@ -122,18 +144,18 @@ def parse_responses(responses: DataFrame, rows: list[Row], default_label: str) -
     category with confidence 0.
     """
     answers = F.from_json("response", ANSWERS).classifications
-    readable = F.try_parse_json("response").isNotNull()
+    readable = F.try_parse_json("response").isNotNull() & answers.isNotNull()
     label_of = F.create_map(*[F.lit(v) for r in rows for v in (r.key, r.label)])
     reason = F.concat(
         F.lit(fixed.FAILURE_REASON_PREFIX),
-        truncate(F.coalesce("response", F.lit("no response")), fixed.FAILURE_REASON_CHARS),
+        F.coalesce("response", F.lit("no response")),
     )
     answer = F.col("answer")
     key = F.when(answer.isNotNull(), F.coalesce(answer.category_key, F.lit(fixed.DEFAULT_KEY))).otherwise(
         fixed.DEFAULT_KEY
     )
     return (
-        responses.withColumn("failed", ~readable)
+        responses.withColumn("failed", F.coalesce(~readable, F.lit(True)))
         .withColumn("answers", F.coalesce(answers, F.array().cast(ANSWERS.split("classifications: ")[1][:-1])))
         .withColumn("id", F.explode("ids"))
         .withColumn(
@@ -155,6 +177,12 @@ def parse_responses(responses: DataFrame, rows: list[Row], default_label: str) -
     )
 
 
+def was_answered() -> Column:
+    """Whether a parsed row is the scorer's own answer, not a default for a missing one."""
+    missing = (F.col("confidence") == 0.0) & (F.col("reasoning") == fixed.MISSING_ANSWER_REASON)
+    return ~F.col("failed") & ~missing
+
+
 def scored_join(papers: DataFrame, scores: DataFrame) -> DataFrame:
     """Papers with their own score, by id; papers without one are kept."""
     return papers.join(scores, "id", "left")

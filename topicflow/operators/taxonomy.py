@@ -99,7 +99,7 @@ def _compiled(parsed: DataFrame, *more: str) -> DataFrame:
         "priority",
         F.format_string(fixed.CUSTOM_KEY_FORMAT, "priority").alias("key"),
         "label",
-        F.concat(F.lit(fixed.DESCRIPTION_PREFIX), top_keywords(F.col("keywords"))).alias("description"),
+        F.concat(F.lit(fixed.DESCRIPTION_PREFIX), F.array_join("keywords", ", ")).alias("description"),
         F.transform("keywords", word_pattern).alias("patterns"),
         *more,
     )

@@ -3,8 +3,10 @@
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
 from topicflow.functions import fixed
+from topicflow.functions.text import paper_hash
 from topicflow.operators import compare
 from topicflow.operators.scoring import hybrid_classify
 from topicflow.session import materialize
@@ -27,18 +29,22 @@ def reclassify(
     n: int | None = None,
     threshold: float = fixed.CONFIDENCE_THRESHOLD,
 ) -> Reclassified:
-    """Classify a stored table (id, title, abstract, category) again; n limits it to the first rows.
+    """Classify a stored table (title, abstract, category) again; n limits it to the first rows.
+
+    Without an id, as in the simple table, rows are named by conference, year and text; rows that repeat share the name,
+    and as every row carries its old label none is joined or lost.
 
     The new results are written once and compared from there, so the reports do
     not classify again.
     """
-    sample = compare.sample_head(stored, n).na.fill("", ["title", "abstract"])
-    results = materialize(
-        hybrid_classify(sample.drop("category"), predictions, rows, default_label, threshold), "reclassified"
-    )
-    compared = compare.compare_join(sample, results)
+    if "id" not in stored.columns:
+        known = [c for c in ("conf", "year") if c in stored.columns]
+        stored = stored.withColumn("id", F.concat_ws("_", *known, paper_hash(F.col("title"), F.col("abstract"))))
+    sample = compare.sample_head(stored, n).na.fill("", ["title", "abstract"]).withColumnRenamed("category", "old_label")
+    results = materialize(hybrid_classify(sample, predictions, rows, default_label, threshold), "reclassified")
+    compared = results.withColumnRenamed("category_label", "new_label")
     return Reclassified(
-        results=results,
+        results=results.drop("old_label"),
         compared=compared,
         stats=compare.reclass_stats(compared),
         transitions=compare.label_transitions(compared),

@@ -1,8 +1,9 @@
 """Landed pages -> papers -> classified papers -> share and trend."""
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicflow.functions import fixed
@@ -25,23 +26,29 @@ def collect_papers(
     pairs: DataFrame,
     setup: Setup,
     attempts: DataFrame | None = None,
-    last_offset: int | None = fixed.LAST_OFFSET,
+    last_offset: int | None = None,
     strict: bool = False,
+    keep: Callable[[Column, Column], Column] | None = None,
 ) -> Collected:
     """On-topic accepted papers of the requested (conf, year) pairs, and where each pair was found.
 
     The pages are read twice: once for one summary row per page, from which each
     pair's candidate is chosen, and once to take apart the chosen candidates' pages.
     Pages stored by conference and year are pruned to the requested pairs at the scan.
+    A pair that is requested twice counts once.  Without `attempts` the errors of
+    the log are derived from the pages.  `keep` is a predicate over title and
+    abstract that takes the place of the topic's words.
     """
+    pairs = pairs.select(landing.PAIR).distinct()
     wanted = landing.requested_pages(pages, pairs)
     summary = landing.page_summary(wanted, strict)
     winners = materialize(landing.first_success(landing.candidate_counts(summary, last_offset)), "winners")
     accepted = landing.normalize_note(landing.accepted_notes(wanted, winners, strict, last_offset)).drop("note")
-    text = match_text(F.col("title"), F.col("abstract"))
-    matched = materialize(accepted.filter(on_topic(text, setup.topic_patterns)), "matched")
+    title, abstract = F.col("title"), F.col("abstract")
+    wanted_text = keep(title, abstract) if keep else on_topic(match_text(title, abstract), setup.topic_patterns)
+    matched = materialize(accepted.filter(wanted_text), "matched")
     if attempts is None:
-        attempts = pages.sparkSession.createDataFrame([], "conf string, year int, attempt bigint, error string")
+        attempts = landing.derived_attempts(wanted, summary)
     return Collected(
         papers=landing.paper_ids(matched).select("id", "conf", "year", "title", "abstract"),
         fetch_log=landing.fetch_log(pairs, winners, landing.last_errors(attempts)),
@@ -77,7 +84,7 @@ def score_papers(
     fresh = answered.select("paper_hash", *scoring.SCORE_COLUMNS)
     return Scored(
         predictions=tables.upsert_cache(cache, fresh),
-        cache=tables.upsert_cache(cache, answered.filter(~F.col("failed")).select(fresh.columns)),
+        cache=tables.upsert_cache(cache, answered.filter(scoring.was_answered()).select(fresh.columns)),
     )
 
 

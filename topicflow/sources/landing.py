@@ -99,8 +99,9 @@ def scan_pages(pages: DataFrame) -> DataFrame:
 
 
 def page_sizes(pages: DataFrame) -> DataFrame:
-    """(conf, year, candidate, offset, n): how many notes each page holds."""
-    return parse_payload(pages).select(*CANDIDATE, "offset", F.size(note_list(F.col("body"))).alias("n"))
+    """(conf, year, candidate, offset, n): how many notes each page holds; null when it is not JSON."""
+    n = F.when(F.col("body").isNotNull(), F.size(note_list(F.col("body"))))
+    return parse_payload(pages).select(*CANDIDATE, "offset", n.alias("n"))
 
 
 def _up_to(pages: DataFrame, last_offset: int | None) -> DataFrame:
@@ -111,11 +112,11 @@ def _before_end() -> Column:
     return F.col("first_empty").isNull() | (F.col("offset") < F.col("first_empty"))
 
 
-def pages_until_empty(pages: DataFrame, last_offset: int | None = fixed.LAST_OFFSET) -> DataFrame:
+def pages_until_empty(pages: DataFrame, last_offset: int | None = None) -> DataFrame:
     """Pages of each candidate, in offset order, up to the first empty one.
 
-    A short page does not stop the listing; pages past `last_offset` are left out,
-    None reads all.  The first empty offset is a pre-aggregated minimum, so
+    Neither a short page nor one that is not JSON stops the listing; a given `last_offset`
+    leaves out the pages past it.  The first empty offset is a pre-aggregated minimum, so
     payloads are never shuffled or sorted by it.
     """
     listed = _up_to(pages, last_offset)
@@ -195,32 +196,67 @@ def filter_venueid(notes: DataFrame) -> DataFrame:
 # --- choosing a candidate -------------------------------------------------
 
 
+def landing_order() -> Column:
+    return F.xxhash64("payload")
+
+
+def one_landing(pages: DataFrame) -> DataFrame:
+    """One row per page (conf, year, candidate, offset), the landing whose payload has the greatest hash.
+
+    A page that landed twice with different payloads says nothing about which came later, so the choice is only the same
+    everywhere.
+    """
+    return pages.groupBy(*CANDIDATE, "offset").agg(F.max_by("payload", landing_order()).alias("payload"))
+
+
+def derived_attempts(pages: DataFrame, summary: DataFrame) -> DataFrame:
+    """(conf, year, attempt, error): pages that are not JSON, and candidates with submissions of which none was accepted.
+
+    attempt is the candidate's number; a candidate's errors are told by their page.
+    """
+    bad = bad_payloads(pages).select(*PAIR, F.col("candidate").cast("bigint").alias("attempt"), "error")
+    counts = candidate_counts(summary).filter("accepted = 0 AND submissions > 0")
+    plan = fetch_plan(counts.select(PAIR).distinct()).select(*CANDIDATE, "baseurl", "invitation")
+    said = F.format_string("%s %s: has submissions=%d but no accepted papers found", "baseurl", "invitation", "submissions")
+    none = counts.join(plan, CANDIDATE).select(*PAIR, F.col("candidate").cast("bigint").alias("attempt"), said.alias("error"))
+    return bad.unionByName(none)
+
+
 def page_summary(pages: DataFrame, strict: bool = False) -> DataFrame:
     """(conf, year, candidate, offset, n, accepted), one row per page.
 
     Everything the choice of a candidate needs, from one narrow pass over the
-    payloads.  Notes listed through the venueid filter are all accepted.
+    payloads.  Notes listed through the venueid filter are all accepted; n is null
+    for a page that is not JSON.  Of several landings of a page the one counts whose
+    payload has the greatest hash, as in `one_landing`.
     """
     notes = F.col("notes")
     kept = F.filter(notes, lambda note: is_accepted(note, F.col("conf"), F.col("year"), strict))
     filtered = strategy_of(F.col("candidate")) == "venueid"
     return (
         parse_payload(pages)
-        .select(*CANDIDATE, "offset", note_list(F.col("body")).alias("notes"))
+        .select(*CANDIDATE, "offset", landing_order().alias("landing"), F.col("body").isNull().alias("bad"), note_list(F.col("body")).alias("notes"))
         .select(
             *CANDIDATE,
             "offset",
-            F.size(notes).alias("n"),
-            F.when(filtered, F.size(notes)).otherwise(F.size(kept)).alias("accepted"),
+            F.struct(
+                "landing",
+                F.when(~F.col("bad"), F.size(notes)).alias("n"),
+                F.when(filtered, F.size(notes)).otherwise(F.size(kept)).alias("accepted"),
+            ).alias("page"),
         )
+        .groupBy(*CANDIDATE, "offset")
+        .agg(F.max("page").alias("page"))
+        .select(*CANDIDATE, "offset", "page.n", "page.accepted")
     )
 
 
-def candidate_counts(summary: DataFrame, last_offset: int | None = fixed.LAST_OFFSET) -> DataFrame:
+def candidate_counts(summary: DataFrame, last_offset: int | None = None) -> DataFrame:
     """(conf, year, candidate) -> submissions, accepted and first_empty, up to the first empty page.
 
     How many submissions there were is unknown behind the venueid filter.  A
-    candidate without notes gives no row.
+    candidate without notes gives no row, nor does one with a page before its end
+    that is not JSON: its listing failed.
     """
     first_empty = F.min(F.when(F.col("n") == 0, F.col("offset"))).over(Window.partitionBy(CANDIDATE))
     filtered = strategy_of(F.col("candidate")) == "venueid"
@@ -234,7 +270,10 @@ def candidate_counts(summary: DataFrame, last_offset: int | None = fixed.LAST_OF
             F.sum("n").alias("submissions"),
             F.sum("accepted").alias("accepted"),
             F.min("first_empty").alias("first_empty"),
+            F.bool_or(F.col("n").isNull()).alias("failed"),
         )
+        .filter(~F.col("failed"))
+        .drop("failed")
         .withColumn("submissions", F.when(filtered, unknown).otherwise(F.col("submissions")))
     )
 
@@ -246,12 +285,12 @@ def first_success(counts: DataFrame) -> DataFrame:
 
 
 def accepted_notes(
-    pages: DataFrame, winners: DataFrame, strict: bool = False, last_offset: int | None = fixed.LAST_OFFSET
+    pages: DataFrame, winners: DataFrame, strict: bool = False, last_offset: int | None = None
 ) -> DataFrame:
     """Accepted notes of the winning candidates; only their pages are taken apart into notes."""
     chosen = join_bounded(_up_to(pages, last_offset), winners.select(*CANDIDATE, "first_empty"), CANDIDATE, "inner")
     filtered = strategy_of(F.col("candidate")) == "venueid"
-    return scan_pages(chosen.filter(_before_end())).filter(
+    return scan_pages(one_landing(chosen.filter(_before_end()))).filter(
         filtered | is_accepted(F.col("note"), F.col("conf"), F.col("year"), strict)
     )
 
@@ -268,7 +307,7 @@ def fetch_log(pairs: DataFrame, winners: DataFrame, errors: DataFrame) -> DataFr
         F.coalesce("invitation", F.lit("")).alias("invitation"),
         F.coalesce("submissions", F.lit(0)).cast("int").alias("submissions"),
         F.coalesce("accepted", F.lit(0)).cast("int").alias("accepted"),
-        F.when(failed, F.substring(F.coalesce("error", F.lit("Nothing listed")), 1, 400)).alias("error"),
+        F.when(failed, F.coalesce("error", F.lit("Nothing listed"))).alias("error"),
     )
 
 
