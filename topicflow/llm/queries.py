@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,9 +96,56 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_nearest_neighbours": """
+        WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        d AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.e, c.e) AS score
+              FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d) WHERE rank <= 10""",
+    "op3_repeated_passages": """
+        WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+        s AS (SELECT doc_id, start, array_to_string(words[start:start + 49], ' ') AS win
+              FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS start FROM w WHERE len(words) >= 50)),
+        f AS (SELECT doc_id, start, min(doc_id) OVER (PARTITION BY win) AS first FROM s),
+        c AS (SELECT DISTINCT doc_id, start + k AS pos FROM f, range(0, 50) r(k) WHERE first < doc_id),
+        g AS (SELECT doc_id, list(pos) AS gone FROM c GROUP BY 1),
+        k AS (SELECT doc_id, words, gone, list_filter(words, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)) AS kept FROM w LEFT JOIN g USING (doc_id))
+        SELECT doc_id, len(words) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k""",
+    "op4_host_reputation": """
+        WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                          regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages),
+        l AS (SELECT doc_id, min(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS good FROM labels
+              WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY 1),
+        h AS (SELECT host, count(good) AS n, coalesce(sum(good), 0) AS good FROM p LEFT JOIN l ON doc_id = page_id GROUP BY 1),
+        u AS (SELECT *, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS parts FROM h),
+        u2 AS (SELECT host, n, good, array_to_string(parts[-3:], '.') AS l3, array_to_string(parts[-2:], '.') AS l2, parts[-1] AS l1 FROM u),
+        u3 AS (SELECT host, n, good, CASE WHEN l2 IN (TWO) THEN l3 ELSE l2 END AS domain, CASE WHEN l2 IN (TWO) THEN l2 ELSE l1 END AS suffix FROM u2),
+        s AS (SELECT suffix, sum(n) AS n, sum(good) AS good, (SELECT (sum(good) + 1.0) / (sum(n) + 2) FROM u3) AS prior FROM u3 GROUP BY 1),
+        s2 AS (SELECT suffix, (good + c * prior) / (n + c) AS mean FROM s, (STRENGTH s)),
+        d AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good, any_value(mean) AS prior FROM u3 JOIN s2 USING (suffix) GROUP BY 1, 2),
+        d2 AS (SELECT domain, (good + c * prior) / (n + c) AS mean FROM d, (STRENGTH d)),
+        h2 AS (SELECT host, u3.n, u3.good, mean AS prior FROM u3 JOIN d2 USING (domain)),
+        h3 AS (SELECT host, n + c AS size, (good + c * prior) / (n + c) AS mean FROM h2, (STRENGTH h2)),
+        b AS (SELECT host, mean + 1.645 * sqrt(mean * (1 - mean) / (size + 1)) < 0.5 AS bad FROM h3),
+        r AS (SELECT page_id, host, path, CASE
+                WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+                WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+                WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+                WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM p)
+        SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') OR (rule IS NULL AND bad) THEN 'block' ELSE 'allow' END AS verdict
+        FROM r LEFT JOIN b USING (host)""",
     "op8_exact_duplicates": """
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(text) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY text)""",
 }
+
+_STRENGTH = """SELECT 1 / least(greatest(coalesce((sum(n * (good / n - prior) ** 2) - sum(prior * (1 - prior)))
+                 / nullif(sum(prior * (1 - prior) * (n - 1)), 0), 0.5), 0.001), 0.5) - 1 AS c FROM """
+_TWO = ", ".join(f"'{suffix}'" for suffix in host_reputation.TWO_LABEL_SUFFIXES)
+ORACLES["op4_host_reputation"] = re.sub(r"STRENGTH (\w+)", lambda m: f"{_STRENGTH}{m[1]} WHERE n > 0", ORACLES["op4_host_reputation"]).replace("(TWO)", f"({_TWO})")
