@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 CACHED_CHUNKS = 1_000_000
-"""Chunks a worker process remembers (about 200 MB); it starts over when they are reached."""
+"""Chunks of each kind, with and without a space before, that a worker process remembers (about 200 MB)."""
 LONG_CHUNK = 200
 """Characters from which a chunk is encoded but not remembered."""
 # White space as the tokenizer's own pattern understands it (Unicode property White_Space): fixed values.
@@ -47,23 +48,34 @@ class Encoder:
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
         self._visible = {b: chr(256 + k) for k, b in enumerate(hidden)}
+        self._marks = {m: array("I", self._tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in ".,!?;:"}
 
     def _learn(self, missing: dict[str, set[str]]) -> dict[str, dict[str, bytes]]:
-        """Encode chunks that are not remembered, by the text before them; what is too long to remember is returned."""
-        rest: dict[str, dict[str, bytes]] = {}
+        """Ids of chunks that are not remembered, by the text before them; they are remembered while there is room.
+
+        The chunks met first stay, and those are the frequent ones.
+        """
+        learned: dict[str, dict[str, bytes]] = {}
+        tokenize = self._tokenizer.model.tokenize
         for lead, chunks in missing.items():
+            found, other = {}, []
+            for chunk in chunks:
+                # letters alone are one word, which goes to the merges directly, and one mark after them is another
+                mark = self._marks.get(chunk[-1:])
+                core = chunk if mark is None else chunk[:-1]
+                if core.isalpha() and len(core) <= LONG_CHUNK:
+                    written = (lead + core).encode("utf-8", "surrogatepass").decode("latin-1").translate(self._visible)
+                    ids = array("I", [t.id for t in tokenize(written)]).tobytes()
+                    found[chunk] = ids if mark is None else ids + mark
+                else:
+                    other.append(chunk)
+            for chunk, encoded in zip(other, self._tokenizer.encode_batch_fast([lead + c for c in other], add_special_tokens=False)):
+                found[chunk] = array("I", encoded.ids).tobytes()
             cache = self._caches[lead]
-            if len(cache) + len(chunks) > CACHED_CHUNKS:
-                cache.clear()
-            rest[lead] = {}
-            plain = [c for c in chunks if c.isalpha() and len(c) <= LONG_CHUNK]
-            for chunk in plain:  # letters alone are one word, which goes to the merges directly
-                mapped = (lead + chunk).encode("utf-8", "surrogatepass").decode("latin-1").translate(self._visible)
-                cache[chunk] = np.array([t.id for t in self._tokenizer.model.tokenize(mapped)], "<u4").tobytes()
-            other = list(chunks.difference(plain))
-            for chunk, found in zip(other, self._tokenizer.encode_batch_fast([lead + c for c in other], add_special_tokens=False)):
-                (cache if len(chunk) <= LONG_CHUNK else rest[lead])[chunk] = np.array(found.ids, "<u4").tobytes()
-        return rest
+            if len(cache) + len(found) <= CACHED_CHUNKS:
+                cache.update((c, i) for c, i in found.items() if len(c) <= LONG_CHUNK)
+            learned[lead] = found
+        return learned
 
     def ends_sentence(self) -> np.ndarray:
         """By id, whether its characters end a sentence or a line."""
@@ -88,22 +100,27 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of the whole texts (none for null), four bytes each."""
         caches = self._caches
-        found = [[(lead, chunks, list(map(caches[lead].get, chunks))) for lead, chunks in self._chunked(t)] if t else [] for t in texts]
         missing: dict[str, set[str]] = {}
-        for parts in found:
-            for lead, chunks, ids in parts:
-                if None in ids:
-                    missing.setdefault(lead, set()).update(c for c, i in zip(chunks, ids) if i is None)
-        rest = self._learn(missing)
+        found: list[list] = []
+        for text in texts:
+            parts: list = []
+            for lead, chunks in self._chunked(text) if text else ():
+                ids = list(map(caches[lead].get, chunks))
+                try:
+                    parts.append(b"".join(ids))
+                except TypeError:  # a chunk that is not known
+                    parts.append((lead, chunks, ids))
+                    missing.setdefault(lead, set()).update([c for c, i in zip(chunks, ids) if i is None])
+            found.append(parts)
+        learned = self._learn(missing)
         out = []
         for parts in found:
-            joined = []
-            for lead, chunks, ids in parts:
-                if None in ids:
-                    cache, long = caches[lead], rest[lead]
-                    ids = [i if i is not None else cache[c] if c in cache else long[c] for c, i in zip(chunks, ids)]
-                joined += ids
-            out.append(b"".join(joined))
+            for k, part in enumerate(parts):
+                if type(part) is tuple:
+                    lead, chunks, ids = part
+                    own = learned[lead]
+                    parts[k] = b"".join([own[c] if i is None else i for c, i in zip(chunks, ids)])
+            out.append(b"".join(parts))
         return out
 
 
