@@ -46,8 +46,8 @@ def _parents(host: str) -> tuple[Column, Column]:
     return F.when(double, last(3)).otherwise(last(2)), F.when(double, last(2)).otherwise(last(1))
 
 
-def _spread(units: DataFrame) -> DataFrame:
-    """One row (strength): how many outcomes the parent's mean is worth, from the spread of the units about it.
+def _strength(units: DataFrame) -> float:
+    """How many outcomes the parent's mean is worth, from the spread of the units about it.
 
     Of n outcomes with mean m, the share has variance m (1 - m) (1 / n + r (1 - 1 / n)) if r is their correlation within
     the unit; r is solved from the sums over all units, and the strength is 1 / r - 1.
@@ -55,7 +55,7 @@ def _spread(units: DataFrame) -> DataFrame:
     variance = F.col("prior") * (1 - F.col("prior"))
     ratio = (F.sum(F.col("n") * (F.col("good") / F.col("n") - F.col("prior")) ** 2) - F.sum(variance)) / F.nullif(F.sum(variance * (F.col("n") - 1)), F.lit(0.0))
     bounded = F.least(F.greatest(F.coalesce(ratio, F.lit(MOST_SPREAD)), F.lit(LEAST_SPREAD)), F.lit(MOST_SPREAD))
-    return units.filter("n > 0").agg((1 / bounded - 1).alias("strength"))
+    return units.filter("n > 0").agg(1 / bounded - 1).first()[0]
 
 
 def reputations(hosts: DataFrame) -> DataFrame:
@@ -67,19 +67,19 @@ def reputations(hosts: DataFrame) -> DataFrame:
     domain, suffix = _parents("host")
     units = materialize(hosts.select("host", "n", "good", domain.alias("domain"), suffix.alias("suffix")), "hosts")
 
-    def level(key: str, parent: DataFrame, parent_key: str | None) -> DataFrame:
-        keys = [key] if parent_key in (None, key) else [key, parent_key]
+    def level(key: str, parent: DataFrame | float, parent_key: str | None = None) -> DataFrame:
+        keys = [key] if parent_key is None else [key, parent_key]
         counted = units.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-        counted = counted.crossJoin(F.broadcast(parent)) if parent_key is None else counted.join(parent, parent_key)
+        counted = counted.withColumn("prior", F.lit(parent)) if parent_key is None else counted.join(parent, parent_key)
         counted = materialize(counted, key)
-        worth = counted.crossJoin(F.broadcast(_spread(counted)))
-        mean = (F.col("good") + F.col("strength") * F.col("prior")) / (F.col("n") + F.col("strength"))
-        return worth.select(*keys, (F.col("n") + F.col("strength")).alias("size"), mean.alias("mean"))
+        strength = _strength(counted)
+        mean = (F.col("good") + strength * F.col("prior")) / (F.col("n") + strength)
+        return counted.select(*keys, (F.col("n") + strength).alias("size"), mean.alias("mean"))
 
     prior = lambda df, key: df.select(key, F.col("mean").alias("prior"))
-    # one row: the whole, with one good and one bad outcome more so that it is never 0 or 1
-    whole = units.agg(((F.coalesce(F.sum("good"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("prior"))
-    suffixes = level("suffix", whole, None)
+    # one good and one bad outcome more, so that the whole is never 0 or 1
+    n, good = units.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
+    suffixes = level("suffix", (good + 1) / (n + 2))
     domains = level("domain", prior(suffixes, "suffix"), "suffix")
     found = level("host", prior(domains, "domain"), "domain")
     deviation = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("size") + 1))

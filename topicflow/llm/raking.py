@@ -28,8 +28,8 @@ def topic_of(text: str = "text") -> Column:
 def smoothed(cells: DataFrame, margin: str, power: float) -> DataFrame:
     """Target shares of a margin's values: natural token shares to `power`, scaled to sum to one."""
     shares = cells.groupBy(margin).agg(F.pow(F.sum("tokens").cast("double"), power).alias("raw"))
-    total = shares.agg(F.sum("raw").alias("total"))
-    return shares.crossJoin(F.broadcast(total)).select(margin, (F.col("raw") / F.col("total")).alias("target"))
+    total = shares.agg(F.sum("raw")).first()[0] or 1.0
+    return shares.select(margin, (F.col("raw") / total).alias("target"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
@@ -49,8 +49,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
         off = []
         for margin in targets:
             sums = current.groupBy(F.col(margin).alias("_value")).agg(F.sum("weight").alias("_sum"), F.first(f"_t_{margin}").alias("_target"))
-            reach = sums.agg(F.sum(F.when(F.col("_sum") > 0, F.col("_target"))).alias("_reach"))
-            scale = sums.crossJoin(F.broadcast(reach)).select("_value", F.coalesce(F.col("_target") / F.nullif("_reach", F.lit(0.0)) / F.nullif("_sum", F.lit(0.0)), F.lit(0.0)).alias("_scale"))
+            reach = sums.agg(F.sum(F.when(F.col("_sum") > 0, F.col("_target")))).first()[0] or 1.0
+            scale = sums.select("_value", F.coalesce(F.col("_target") / reach / F.nullif("_sum", F.lit(0.0)), F.lit(0.0)).alias("_scale"))
             current = current.join(scale, current[margin].eqNullSafe(scale["_value"])).withColumn(f"_off_{margin}", F.abs(F.col("_scale") - 1) * F.col("weight"))
             current = current.withColumn("weight", F.col("weight") * F.col("_scale")).drop("_value", "_scale")
             off.append(f"_off_{margin}")
