@@ -4,6 +4,7 @@ python -m checks.compare [sf_dir] [query ...]
 """
 
 import sys
+import tempfile
 import time
 import traceback
 
@@ -28,6 +29,7 @@ def session(cpus: str = "8") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="topicflow-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry_file
+from checks import registry
 from checks.compare import differences, sql_tables
 
 SF = "/root/testdata/sf0.001"
@@ -22,9 +23,10 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry_file.queries()) == set(entry_file.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.ORACLES)
+    assert set(registry.QUERIES) <= set(entry_file.queries()) and set(registry.ORACLES) <= set(entry_file.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry_file.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_equals_sql(spark, con, name):
     assert differences(spark, con, name, SF) is None
