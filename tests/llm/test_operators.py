@@ -162,6 +162,27 @@ def test_repeated_passages_of_nothing(none):
     assert phrase_automata.remove_repeats(none).collect() == []
 
 
+def test_sketches_never_differ_in_more_bits_than_their_sets():
+    for size in (0, 1, 50, 900, 6000):
+        a, b = (np.unique(rng.integers(0, 3 * size + 1, size).astype(np.uint64)) for _ in range(2))
+        x, y = (common.odd_sketch(common.mix64(s), hyperminhash.SKETCH_LONGS).view(np.uint64) for s in (a, b))
+        ones = int(np.bitwise_count(x ^ y).sum())
+        assert ones <= len(np.setxor1d(a, b)) and (size != 50 or ones > 0.8 * len(np.setxor1d(a, b)))
+
+
+def test_links_inside_a_group_that_stays_apart(spark):
+    base = [f"word{k}" for k in range(220)]
+    family = [[w if rng.random() > 0.055 else f"x{rng.integers(10**9)}" for w in base] for _ in range(40)]
+    family += [changed(f, 0.03) for f in family[:25]]
+    data = list(enumerate(" ".join(f) for f in family))
+    sets = {d: s[0] for d, s in sets_of(data, 2).items()}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = joined(pairs, sets)
+    assert 20 < len(set(want.values())) < 64
+    got = hyperminhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), size=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_line_dedup(docs, rows):
     place: dict[str, tuple[int, int]] = {}
     for d, t in sorted(((d, t) for d, t in rows if d is not None), key=lambda r: r[0]):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 import numpy as np
 import xxhash
@@ -83,6 +85,21 @@ def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return np.unique(RangeHashes(hashes).of(starts, np.minimum(starts + size, n)))
 
 
+def odd_sketch(hashes: np.ndarray, longs: int) -> np.ndarray:
+    """Parities, as 64 * `longs` bits, of how many of the distinct hashes fall on each bit.
+
+    The exclusive or of two sketches is the sketch of the sets' symmetric difference, so it has at most as many ones as
+    the difference has elements.
+    """
+    bits = 64 * longs
+    return np.packbits((np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).view(np.int64)
+
+
+def differing_bits(a: str, b: str, longs: int) -> Column:
+    """Ones in the exclusive or of the sketches in columns `a` and `b`."""
+    return reduce(add, [F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(longs)])
+
+
 def bitmap(keys: DataFrame, key: str, bits: int = 1 << 25) -> DataFrame:
     """A bitmap of the hashed values of `key`: at most bits / 32768 rows of 4 kB whatever the number of keys.
 
@@ -134,18 +151,18 @@ def _fingerprint(edges: DataFrame) -> tuple:
 
 
 def components_of_buckets(
-    shared: DataFrame, compare: Callable[[DataFrame], tuple[DataFrame, DataFrame]], bound: float
+    shared: DataFrame, compare: Callable[[DataFrame], tuple[DataFrame, DataFrame]], bound: float, sketches: DataFrame, longs: int
 ) -> DataFrame:
     """Components, as from `components`, of the links between members of the same bucket.
 
     shared: (band, key, id, n), n the size of the member's set.  compare: takes distinct pairs (a, b), a < b, and returns
     those it will not need to see again and (a, b, likeness, linked) of those it measured.  `bound` is the Jaccard
-    similarity of a link.
+    similarity of a link.  sketches: (id, n, sketch) with the true size of the set and its `odd_sketch` of `longs` longs.
 
     Members are first compared with their bucket's centre, the member that meets most others over all bands; those in
     another component than the centre then with a centre of their own.  What still stands apart in a bucket is compared
-    pair by pair, unless sizes or the distances to the centres already forbid a link (Jaccard distance obeys the triangle
-    inequality).  So a group of copies of one text costs a few comparisons per member, and no link between components
+    pair by pair, unless sizes, the distances to the centres (Jaccard distance obeys the triangle inequality) or more
+    differing bits of their sketches than linked sets can have differing elements already forbid a link.  So a group of copies of one text costs a few comparisons per member, and no link between components
     of a bucket is missed.
     """
     bucket, farthest = ["band", "key"], 1 - bound + 1e-9
@@ -198,9 +215,13 @@ def components_of_buckets(
     links = links.unionByName(found.filter("linked").select("a", "b"))
     roots = components(links)
 
-    rest = distance(apart(rest.drop("root", "other_root", "m", "e1"), roots), found, "d2").drop("other")
-    rest = materialize(rest, "apart")
-    mates = rest.select(*bucket, F.col("id").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"), F.col("d1").alias("e1"), F.col("d2").alias("e2"))
-    pairs = rest.join(mates, bucket).filter((F.col("id") < F.col("other")) & (F.col("root") != F.col("other_root")) & may_link(("d1", "e1"), ("d2", "e2")))
+    rest = distance(apart(rest.drop("root", "other_root", "m", "e1"), roots), found, "d2").drop("other", "n")
+    rest = materialize(rest.join(sketches.select("id", "n", "sketch"), "id"), "apart")
+    renamed = {"id": "other", "n": "m", "root": "other_root", "d1": "e1", "d2": "e2", "sketch": "other_sketch"}
+    mates = rest.select(*bucket, *(F.col(x).alias(y) for x, y in renamed.items()))
+    # linked sets differ in at most this share of their sizes' sum
+    few = differing_bits("sketch", "other_sketch", longs) <= (F.col("n") + F.col("m")) * ((1 - bound) / (1 + bound)) + 1e-6
+    different = (F.col("id") < F.col("other")) & (F.col("root") != F.col("other_root"))
+    pairs = rest.join(mates, bucket).filter(different & may_link(("d1", "e1"), ("d2", "e2")) & few)
     links = links.unionByName(measured(pairs).filter("linked").select("a", "b"))
     return components(links)

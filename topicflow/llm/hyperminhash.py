@@ -11,13 +11,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicflow.llm.common import bitmap, components_of_buckets, hash_words, shingle_hashes, split_by_bitmap, words
+from topicflow.llm.common import bitmap, components_of_buckets, hash_words, odd_sketch, shingle_hashes, split_by_bitmap, words
 from topicflow.session import materialize
 
 BANDS, ROWS = 32, 4
 """Bands of a signature and registers in a band: of two sets at similarity 0.8, 5 in 10**8 share no band."""
 MANTISSA_BITS = 10
 """Bits that a register keeps after the first one bit."""
+SKETCH_LONGS = 32
+"""64-bit words of an odd sketch; it tells texts of up to some 3,000 words well apart, longer ones are compared instead."""
 CACHED_SETS = 64
 _ZERO_LEVELS = 32
 
@@ -91,24 +93,25 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """Per row: doc_id, number of distinct shingles, a 128-bit digest of the set, its registers (null for an empty set).
+    """Per row: doc_id, number of distinct shingles, a 128-bit digest of the set, its registers (null for an empty set), its odd sketch.
 
     The registers of a band are the four 16-bit parts of one element of `registers`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, digests, bands = [], [], []
+            counts, digests, bands, sketches = [], [], [], []
             for text in batch.column("text").to_pylist():
                 shingles = shingle_hashes(hash_words(words(text, fold=True)), size)
                 counts.append(len(shingles))
                 digests.append(xxhash.xxh3_128_digest(shingles.tobytes()))
                 bands.append(registers(shingles).view(np.int64) if len(shingles) else None)
-            columns = [pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_shingles", "digest", "registers"])
+                sketches.append(odd_sketch(shingles, SKETCH_LONGS))
+            columns = [pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_shingles", "digest", "registers", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, registers array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, registers array<long>, sketch array<long>")
 
 
 def _resembling(pairs: DataFrame, classes: DataFrame, floor: float) -> DataFrame:
@@ -175,7 +178,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, slack: fl
     """
     signed = materialize(signatures(docs, size), "signatures")
     classes = signed.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("digest").agg(
-        F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")
+        F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n_shingles", "registers", "sketch"))
     )
     classes = materialize(classes, "classes")
     shared = classes.select("id", F.col("n_shingles").alias("n"), F.posexplode("registers").alias("band", "key"))
@@ -185,7 +188,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, slack: fl
         found = materialize(_compared(likely, docs, size), "compared")
         return likely, found.withColumn("linked", F.col("common") * 100 >= F.col("total") * percent).select("a", "b", "likeness", "linked")
 
-    roots = components_of_buckets(shared, compare, percent / 100)
+    roots = components_of_buckets(shared, compare, percent / 100, classes.withColumnRenamed("n_shingles", "n"), SKETCH_LONGS)
 
     members = classes.select("digest", F.col("id").alias("class_id")).join(roots.withColumnRenamed("id", "class_id"), "class_id", "left")
     found = signed.join(members.select("digest", F.coalesce("root", "class_id").alias("found")), "digest", "left")

@@ -10,13 +10,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicflow.llm.common import bitmap, components_of_buckets, mix64, split_by_bitmap
+from topicflow.llm.common import bitmap, components_of_buckets, mix64, odd_sketch, split_by_bitmap
 from topicflow.session import materialize
 
 SHINGLE = 7
 """Characters of a shingle: unrelated lines of prose share nearly none of this length."""
 BANDS, ROWS = 10, 4
 """Of two lines at similarity 0.8, 1 in 190 pairs share no band; at 0.9, 1 in 40,000."""
+SKETCH_LONGS = 8
+"""64-bit words of an odd sketch; it tells lines of up to some 700 characters well apart, longer ones are compared instead."""
 _STEP = 1 << 15
 _BLANK = " \t\x0b\x0c\r"
 """A line of these alone is blank."""
@@ -26,6 +28,14 @@ _FACTORS = (_random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | 1).ast
 _MASKS = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
 
 
+def _hashes(codes: np.ndarray) -> np.ndarray:
+    """Hash of every run of SHINGLE characters."""
+    hashes = np.zeros(len(codes) - SHINGLE + 1, np.uint64)
+    for k in range(SHINGLE):
+        hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + codes[k : len(hashes) + k]
+    return mix64(hashes)
+
+
 def band_keys(lines: list[str]) -> np.ndarray:
     """One row of band keys (64-bit hashes of the band's minima) per line; a shorter line is one shingle."""
     least = np.full((len(lines), BANDS * ROWS), 0xFFFFFFFF, np.uint32)
@@ -38,14 +48,12 @@ def band_keys(lines: list[str]) -> np.ndarray:
         part = [line.ljust(SHINGLE, "\0") for line in lines[first:last]]
         codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)
         lengths = np.fromiter(map(len, part), np.int64, len(part))
-        hashes = np.zeros(len(codes) - SHINGLE + 1, np.uint64)
-        for k in range(SHINGLE):
-            hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + codes[k : len(hashes) + k]
+        hashes = _hashes(codes)
         inside = np.ones(len(codes), bool)
         ends = np.cumsum(lengths)
         for k in range(1, SHINGLE):
             inside[ends - k] = False
-        base = (mix64(hashes) >> np.uint64(32)).astype(np.uint32)[inside[: len(hashes)]]
+        base = (hashes >> np.uint64(32)).astype(np.uint32)[inside[: len(hashes)]]
         starts = np.cumsum(lengths - SHINGLE + 1) - (lengths - SHINGLE + 1)
         buffer = np.empty_like(base)
         for k, (factor, mask) in enumerate(zip(_FACTORS, _MASKS)):
@@ -107,6 +115,23 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return lines.select(F.struct("doc_id", "pos").alias("id"), F.get("lines", F.col("pos")).alias("line"))
 
 
+def _sketches(texts: DataFrame) -> DataFrame:
+    """(id, n, sketch) of the lines: number of distinct shingles and odd sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, sketches = [], []
+            for line in batch.column("line").to_pylist():
+                codes = np.frombuffer((line or "").ljust(SHINGLE, "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
+                distinct = np.unique(_hashes(codes))
+                counts.append(len(distinct))
+                sketches.append(odd_sketch(distinct, SKETCH_LONGS))
+            columns = [batch.column("id"), pa.array(counts, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "sketch"])
+
+    return texts.mapInArrow(run, "id struct<doc_id:bigint,pos:int>, n long, sketch array<long>")
+
+
 def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, likeness) of the lines of each pair."""
 
@@ -137,7 +162,7 @@ def kept_lines(docs: DataFrame, bound: float = 0.8) -> DataFrame:
         found = materialize(_compared(pairs, texts), "compared")
         return found.select("a", "b"), found.withColumn("linked", F.col("likeness") >= bound - 1e-12)
 
-    roots = components_of_buckets(members, compare, bound)
+    roots = components_of_buckets(members, compare, bound, _sketches(texts), SKETCH_LONGS)
 
     stays = distinct.select("id").join(roots, "id", "left_anti")
     return stays.select("id.doc_id", "id.pos").groupBy("doc_id").agg(F.collect_set("pos").alias("kept"))
