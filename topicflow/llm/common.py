@@ -175,8 +175,8 @@ def components_of_buckets(
 
     def measured(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-        for earlier in tried:
-            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
+        if tried:
+            pairs = pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti")
         seen, found = compare(pairs)
         tried.append(seen)
         return found
