@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer
 
 from topicflow.llm import (
     block_naming,
@@ -21,6 +21,7 @@ from topicflow.llm import (
     queries,
     raking,
     simple8b,
+    tokens,
     vp_tree,
 )
 
@@ -230,6 +231,45 @@ def encoded(text):
     return np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
 
 
+def texts_with_added_tokens() -> list[str]:
+    mark = "<|endoftext|>"
+    texts = [mark, mark + mark, f"a {mark} b", f"a  {mark}  b", f"x{mark}y", f"\n{mark}\n\nhi {mark}", f"it'{mark}s \t{mark} 12{mark}34", f"{mark[:-1]}{mark}{mark[1:]}", f"É {mark.upper()} ß{mark}\u3000{mark}!"]
+    own = np.random.default_rng(5)
+    pieces = [mark, mark[:5], " ", "  ", "\n", "\t", "word", "É", "1", ".", "'s", "\u3000"]
+    return texts + ["".join(own.choice(pieces, 12)) for _ in range(300)]
+
+
+def test_added_tokens_are_encoded_as_the_tokenizer_does(tmp_path):
+    texts, path = texts_with_added_tokens(), public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    assert tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert tokens.Encoder(path).encode(texts) == want
+    tokenizer.add_special_tokens(["<|end", AddedToken("word", lstrip=True, single_word=True)])
+    tokenizer.save(str(tmp_path / "more.json"))
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert tokens.Encoder(str(tmp_path / "more.json")).encode(texts) == want
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.add_special_tokens(["<|end", "<|e"])
+    tokenizer.save(str(tmp_path / "plain.json"))
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert tokens.Encoder(str(tmp_path / "plain.json")).encode(texts) == want
+
+
+def test_token_files_and_packing_with_added_tokens(spark, tmp_path):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    data = list(enumerate(texts_with_added_tokens()[:20]))
+    want = {k: np.array(tokenizer.encode(t, add_special_tokens=False).ids + [0], "<u4").tobytes() for k, t in data}
+    docs = spark.createDataFrame(data, "doc_id long, text string").coalesce(1)
+    simple8b.write_ids(docs, str(tmp_path / "ids"))
+    assert {r.doc_id: bytes(r.ids) for r in simple8b.read_ids(spark, str(tmp_path / "ids")).collect()} == want
+    found: dict[int, bytes] = {}
+    for r in sorted(packing.pack(docs).collect(), key=lambda r: (r.doc_id, r.start)):
+        assert r.doc_tokens == len(want[r.doc_id]) // 4
+        found[r.doc_id] = found.get(r.doc_id, b"") + bytes(r.ids)
+    assert found == want
+
+
 @pytest.mark.parametrize("n, width", [(0, 1), (1, 32), (241, 0), (5000, 16), (9000, 3), (4096, 31), (8192, 1)])
 def test_words_round_trip(n, width):
     ids = rng.integers(0, 1 << width, n).astype(np.uint64) >> rng.integers(0, width + 1, n).astype(np.uint64)

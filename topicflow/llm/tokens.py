@@ -36,12 +36,18 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers, the same as encoding each text as a whole.
 
     A byte-level vocabulary splits text into words before it merges bytes, and never merges across these splits, so
-    the ids of a text are the ids of its chunks in a row.  Strings of special tokens are ordinary text here.
+    the ids of a text are the ids of its chunks in a row.  Strings of added tokens, special ones too, are taken out first, as the tokenizer does.
     """
 
     def __init__(self, vocabulary: str):
         self._tokenizer = Tokenizer.from_file(vocabulary)
-        self._tokenizer.encode_special_tokens = True
+        added = self._tokenizer.get_added_tokens_decoder()
+        self._added = {t.content: array("I", [number]).tobytes() for number, t in added.items()}
+        # the longest first, as the tokenizer takes the longest that begins at a place
+        longest = sorted(self._added, key=len, reverse=True)
+        self._split = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if added else None
+        # tokens that take in spaces around them or look at what is next to them: only the tokenizer can tell where they are
+        self._plain = not any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added.values())
         self._caches: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
         # byte-level vocabularies write every byte as a visible character: the printable ones as they are, the others
         # in order from 256 on
@@ -97,6 +103,20 @@ class Encoder:
             parts += [("", ["\n", first] if parts else [first]), (" ", others)]
         return parts
 
+    def _pieces(self, text: str) -> list[tuple[str | None, list[str] | bytes]]:
+        """The chunks of a text as from `_chunked`; where an added token is, None and ids."""
+        if self._split is None or not self._split.search(text):
+            return self._chunked(text)
+        if not self._plain:
+            return [(None, array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes())]
+        pieces: list[tuple[str | None, list[str] | bytes]] = []
+        for k, part in enumerate(self._split.split(text)):
+            if k % 2:
+                pieces.append((None, self._added[part]))
+            elif part:
+                pieces += self._chunked(part)
+        return pieces
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of the whole texts (none for null), four bytes each."""
         caches = self._caches
@@ -104,7 +124,10 @@ class Encoder:
         found: list[list] = []
         for text in texts:
             parts: list = []
-            for lead, chunks in self._chunked(text) if text else ():
+            for lead, chunks in self._pieces(text) if text else ():
+                if lead is None:
+                    parts.append(chunks)
+                    continue
                 ids = list(map(caches[lead].get, chunks))
                 try:
                     parts.append(b"".join(ids))
