@@ -227,7 +227,6 @@ def test_line_dedup_of_nothing(none):
 
 def encoded(text):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
 
 

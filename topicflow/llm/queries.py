@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from topicflow.llm import (
     block_naming,
+    divergence,
     host_reputation,
     hyperminhash,
     language_id,
     line_dedup,
     packing,
     phrase_automata,
+    prefix_trie,
     raking,
     simple8b,
+    tree_concatenation,
     vp_tree,
 )
 from topicflow.session import new_dir
@@ -79,6 +82,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_tree_concatenation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = tree_concatenation.decode(tree_concatenation.encode(table(spark, sf_dir, "documents")))
+    n_tokens = (F.octet_length("ids") / 4).cast("long")
+    return decoded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -92,6 +109,9 @@ QUERIES = {
         op8_exact_duplicates,
         op9_language_id,
         op10_packing,
+        op11_prefix_trie,
+        op12_tree_concatenation,
+        op13_source_divergence,
     )
 }
 
@@ -143,6 +163,43 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(text) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY text)""",
+    # the CRC-32 of a string of digits, bit by bit: each byte is followed by eight shifts, for which -1 stands
+    "op11_prefix_trie": """
+        WITH t AS (SELECT conv_id, md5(concat(length(r), ':', r, ':', x)) AS key, strlen(x) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(concat(length(r), ':', r, ':', x))) AS n
+              FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+        c AS (SELECT conv_id, list({'k': key, 's': size} ORDER BY n) AS turns,
+                     xor(list_reduce(flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: [ascii(d)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+                                     lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) ELSE xor(a >> 1, 3988292384::BIGINT * (a & 1)) END, 4294967295::BIGINT), 4294967295::BIGINT) % 9 AS h
+              FROM t GROUP BY 1),
+        b AS (SELECT c.conv_id, list_concat(coalesce(d.turns[:c.h], []), c.turns[c.h + 1:]) AS turns FROM c LEFT JOIN c d ON d.conv_id = c.conv_id - c.conv_id % 5),
+        m AS (SELECT conv_id, len(turns) AS len, unnest(range(0, len(turns) + 1)) AS depth, list_transform(turns, lambda x: x.k) AS keys, turns FROM b),
+        n AS (SELECT depth, keys[:depth] AS path, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(any_value(turns[depth].s), 0) AS size,
+                     string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len = depth) AS ends FROM m GROUP BY 1, 2),
+        k AS (SELECT path[:depth - 1] AS up, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+        o AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k ON k.up = n.path),
+        s AS (SELECT path[:d] AS path, sum(CAST(n_children = 0 AS BIGINT)) AS n_leaves, sum((n_convs - 1) * size) AS saved_tokens
+              FROM (SELECT path, n_children, n_convs, size, unnest(range(0, depth + 1)) AS d FROM o) GROUP BY 1)
+        SELECT o.conv_id, o.depth, p.conv_id AS parent_conv_id, o.n_convs, o.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+               CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(o.ends, '')) AS ends_sha256
+        FROM o JOIN s ON s.path = o.path LEFT JOIN o p ON o.depth > 0 AND p.path = o.path[:o.depth - 1]""",
+    "op13_source_divergence": """
+        WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+        t AS (SELECT id, lang, source, unnest(terms) AS term FROM d),
+        k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY 1, 2 HAVING count(DISTINCT id) >= 3),
+        v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY 1),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        o AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+        w AS (SELECT g.lang, g.source, coalesce(v, 0) AS v, coalesce((SELECT sum(n) FROM o WHERE o.lang = g.lang AND o.source = g.source), 0) AS total FROM g LEFT JOIN v USING (lang)),
+        c AS (SELECT w.lang, w.source, k.term, coalesce(o.n, 0) AS n, CAST(1 + (1000000000::HUGEINT * (coalesce(o.n, 0) + 1)) // (total + v) AS HUGEINT) AS p
+              FROM w JOIN k USING (lang) LEFT JOIN o USING (lang, source, term)),
+        q AS (SELECT lang, term, CAST(1 + (1000000000::HUGEINT * (n + 1)) // (total + v) AS HUGEINT) AS q FROM k JOIN v USING (lang)),
+        f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM c a JOIN c b USING (lang, term) WHERE a.source <> b.source GROUP BY 1, 2, 3),
+        r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+              FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+              UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM c JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+        x AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+        SELECT * FROM x WHERE part = 'pair' OR rank <= 200""",
 }
 
 _STRENGTH = """SELECT 1 / least(greatest(coalesce((sum(n * (good / n - prior) ** 2) - sum(prior * (1 - prior)))
