@@ -9,7 +9,9 @@ from checks import sqltext as S
 from checks import views as V
 from topicflow.functions import fixed, text
 from topicflow.functions.keywords import keyword_variants, label_keywords
-from topicflow.operators import classify, compare, joins, report, resume, scoring, taxonomy, topic
+from topicflow.operators import classify, compare, joins, pattern_index, report, resume, scoring, taxonomy, topic
+from topicflow.plans import reclassify as reclassify_plan
+from topicflow.plans.setup import custom_setup
 from topicflow.session import materialize, new_dir
 from topicflow.sources import landing, tables
 
@@ -182,15 +184,10 @@ def write_checkpoint(spark, sf_dir):
     return tables.read_results(spark, path).select("id", "category_key")
 
 
-@check(f"""WITH {S.PAPERS}, {S.PREDICTIONS}, fresh AS (
-  SELECT {S.HASH} AS paper_hash, 'other' AS category_key, {S.OTHER} AS category_label,
-         CAST(0.75 AS DOUBLE) AS confidence, max(source) AS reasoning
-  FROM papers JOIN documents d USING (doc_id) WHERE contains(d.text, 'license') GROUP BY ALL)
-SELECT * FROM fresh UNION ALL
-SELECT * FROM predictions WHERE paper_hash NOT IN (SELECT paper_hash FROM fresh)""")
-def upsert_cache(spark, sf_dir):
+def _licensed(spark, sf_dir) -> DataFrame:
+    """New results for the texts that mention a license."""
     documents = V.table(spark, sf_dir, "documents").filter(F.contains("text", F.lit("license")))
-    fresh = (
+    return (
         scoring.with_hash(V.papers(spark, sf_dir).join(documents.select("doc_id", "source"), "doc_id"))
         .groupBy("paper_hash")
         .agg(F.max("source").alias("reasoning"))
@@ -202,11 +199,39 @@ def upsert_cache(spark, sf_dir):
             "reasoning",
         )
     )
+
+
+@check(f"""WITH {S.PAPERS}, {S.PREDICTIONS}, fresh AS (
+  SELECT {S.HASH} AS paper_hash, 'other' AS category_key, {S.OTHER} AS category_label,
+         CAST(0.75 AS DOUBLE) AS confidence, max(source) AS reasoning
+  FROM papers JOIN documents d USING (doc_id) WHERE contains(d.text, 'license') GROUP BY ALL)
+SELECT * FROM fresh UNION ALL
+SELECT * FROM predictions WHERE paper_hash NOT IN (SELECT paper_hash FROM fresh)""")
+def upsert_cache(spark, sf_dir):
     path = new_dir(spark, "cache")
-    tables.write_cache(tables.upsert_cache(V.predictions(spark, sf_dir), fresh), path)
+    tables.write_cache(tables.upsert_cache(V.predictions(spark, sf_dir), _licensed(spark, sf_dir)), path)
     return tables.read_results(spark, path, tables.CACHE)
 
 
+@check(ORACLES["write_checkpoint"])
+def write_checkpoint_chunks(spark, sf_dir):
+    """The same in chunks: labelled papers first, then all papers, of which the labelled ones are done."""
+    path, papers = new_dir(spark, "checkpoint"), V.on_topic(spark, sf_dir)
+    rows = V.custom_rows(spark)
+    for part, chunks in ((_labelled(spark, sf_dir, papers), 2), (papers, 3)):
+        resume.in_chunks(part, path, chunks, lambda todo: classify.classify_rules(todo, rows, fixed.CUSTOM_DEFAULT_LABEL))
+    return tables.read_committed(spark, path).select("id", "category_key")
+
+
+@check(ORACLES["upsert_cache"])
+def update_stored_cache(spark, sf_dir):
+    """The same by buckets: the predictions are stored first, then the new results rewrite the buckets they fall in."""
+    path = new_dir(spark, "stored-cache")
+    tables.update_stored_cache(V.predictions(spark, sf_dir), path)
+    tables.update_stored_cache(_licensed(spark, sf_dir), path)
+    return tables.read_stored_cache(spark, path)
+
+
 # --- projections -------------------------------------------------------------
 
 
@@ -399,9 +424,36 @@ _MANY = {
 def classify_many(spark, sf_dir):
     specs = spark.createDataFrame([(n, "any", s) for n, s in V.MORE_SPECS.items()], "taxonomy_id string, topic string, spec string")
     compiled = taxonomy.compile_taxonomies(taxonomy.parse_specs(specs))
-    return classify.classify_many(
-        V.papers(spark, sf_dir), taxonomy.taxonomies_by_id(compiled), fixed.CUSTOM_DEFAULT_LABEL
-    )
+    return pattern_index.classify_many(V.papers(spark, sf_dir), compiled, fixed.DEFAULT_KEY, fixed.CUSTOM_DEFAULT_LABEL)
+
+
+_ESCAPE = r"regexp_replace(k, '([()\[\]{}?*+\-|^$\\.&~# \t\n\r\x0b\x0c])', '\\\1', 'g')"
+# A keyword is searched for only in the texts that hold it as they stand, which settles nearly all of them.
+_KEYWORD_HITS = rf"""spec_words AS MATERIALIZED (SELECT DISTINCT unnest(keywords) AS k FROM keyworded),
+lowered AS MATERIALIZED (SELECT id, {S.TXT} AS txt, lower({S.TXT}) AS low FROM research_papers),
+held AS MATERIALIZED (SELECT id, txt, k FROM lowered, spec_words WHERE contains(low, lower(k))),
+hits AS MATERIALIZED (SELECT id, k FROM held WHERE regexp_matches(txt, '(?i)(?:^|{S.W})' || {_ESCAPE} || '(?:{S.W}|$)'))"""
+
+
+def _spec_taxonomies(spark, sf_dir) -> DataFrame:
+    """A taxonomy for every part."""
+    return taxonomy.compile_taxonomies(taxonomy.parse_specs(V.specs(spark, sf_dir)))
+
+
+@check(rf"""WITH {S.RESEARCH}, {S.SPECS}, {_KEYWORD_HITS} SELECT id, '\b' || {_ESCAPE} || '\b' AS pattern FROM hits""")
+def regex_join(spark, sf_dir):
+    """Papers with all patterns of all parts' taxonomies."""
+    patterns = _spec_taxonomies(spark, sf_dir).select(F.explode("patterns").alias("pattern"))
+    return pattern_index.regex_join(V.research_papers(spark, sf_dir), patterns)
+
+
+@check(f"""WITH {S.RESEARCH}, {S.SPECS}, {_KEYWORD_HITS},
+named_words AS (SELECT taxonomy_id, priority, label, unnest(keywords) AS k FROM keyworded)
+SELECT id, taxonomy_id, 'custom_' || min(priority) AS category_key, arg_min(label, priority) AS category_label
+FROM hits JOIN named_words USING (k) GROUP BY id, taxonomy_id""")
+def classify_table(spark, sf_dir):
+    """Papers in the taxonomies of all parts, matches only."""
+    return pattern_index.classify_table(V.research_papers(spark, sf_dir), _spec_taxonomies(spark, sf_dir))
 
 
 @check(
@@ -617,20 +669,29 @@ def scored_join(spark, sf_dir):
     return scoring.scored_join(papers, scores).select("id", "category_key")
 
 
-UNSCORED_SQL = f"""unscored AS (
-  SELECT {S.HASH} AS paper_hash, min(id) AS id, any_value(title) AS title, any_value(abstract) AS abstract
-  FROM papers GROUP BY 1 HAVING {S.HASH} NOT IN (SELECT paper_hash FROM predictions)),
-batched AS (
-  SELECT *, CAST(num // 10 AS INTEGER) AS batch_no, CAST(num % 10 AS INTEGER) AS position
+def _batched_sql(size: int = 10) -> str:
+    return f"""batched AS (
+  SELECT *, CAST(num // {size} AS INTEGER) AS batch_no, CAST(num % {size} AS INTEGER) AS position
   FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY paper_hash, id) - 1 AS num
         FROM (SELECT *, CAST(CAST('0x' || substr(paper_hash, 1, 8) AS BIGINT)
                 % greatest(1, (SELECT CAST(ceil(count(*) / 10000) AS BIGINT) FROM unscored)) AS INTEGER) AS bucket
               FROM unscored)))"""
 
 
-def _batched(spark, sf_dir) -> DataFrame:
-    unscored = scoring.to_score(V.papers(spark, sf_dir), V.predictions(spark, sf_dir))
-    return scoring.score_batches(materialize(unscored, "unscored"))
+def _unscored_sql(known: str) -> str:
+    return f"""unscored AS (
+  SELECT {S.HASH} AS paper_hash, min(id) AS id, any_value(title) AS title, any_value(abstract) AS abstract
+  FROM papers GROUP BY 1 HAVING {S.HASH} NOT IN (SELECT paper_hash FROM predictions WHERE {known})),
+{_batched_sql()}"""
+
+
+UNSCORED_SQL = _unscored_sql("true")
+
+
+def _batched(spark, sf_dir, cache: DataFrame | None = None) -> DataFrame:
+    papers = V.papers(spark, sf_dir)
+    keys = scoring.keys_to_score(papers, V.predictions(spark, sf_dir) if cache is None else cache)
+    return scoring.score_batches(materialize(keys, "unscored"))
 
 
 @check(f"""WITH {S.PAPERS}, {S.PREDICTIONS}, {UNSCORED_SQL}
@@ -644,8 +705,9 @@ def _definitions(spark) -> str:
     return taxonomy.definitions_text(table, fixed.CUSTOM_DEFAULT_LABEL).first()["definitions"]
 
 
-def _prompts(spark, sf_dir) -> DataFrame:
-    return scoring.build_prompts(_batched(spark, sf_dir), _definitions(spark))
+def _prompts(spark, sf_dir, cache: DataFrame | None = None) -> DataFrame:
+    keys = materialize(_batched(spark, sf_dir, cache), "batched")
+    return scoring.build_prompts(scoring.attach_texts(keys, V.papers(spark, sf_dir)), _definitions(spark))
 
 
 _DEFINITIONS_SQL = f"""1. **Licensing** (key: custom_1)
@@ -674,58 +736,42 @@ def build_prompts(spark, sf_dir):
     return _prompts(spark, sf_dir).select("bucket", "batch_no", F.size("ids").alias("papers"), "prompt")
 
 
-def rehearsed_scorer() -> scoring.Scorer:
-    """A scorer whose answers follow from the ids alone.
-
-    Its batches fail, answer in another order, leave papers out, leave fields out
-    and use unknown keys, depending on the number in the id.
-    """
-
-    def respond(ids) -> str:
-        import json
-
-        if int(ids[0].split("_")[2]) % 13 == 0:
-            return "upstream timeout"
-        answers = []
-        for paper in reversed(ids):
-            n = int(paper.split("_")[2])
-            if n % 11 == 5:
-                continue
-            answer = {"id": paper, "reasoning": f"read {n}"}
-            if n % 7:
-                answer["category_key"] = f"custom_{n % 6}"
-            if n % 5:
-                answer["confidence"] = n % 10 / 10
-            answers.append(answer)
-        return json.dumps({"classifications": answers})
-
-    # A function of its own, so that it reaches the tasks by value.
-    return lambda batches: batches["ids"].map(respond)
-
-
-_ANSWERS_SQL = f"""answered AS (
-  SELECT id, bucket, batch_no, n, first_n % 13 = 0 AS failed, n % 11 = 5 AS missing
-  FROM (SELECT id, bucket, batch_no, CAST(split_part(id, '_', 3) AS BIGINT) AS n,
-               first_value(CAST(split_part(id, '_', 3) AS BIGINT)) OVER (PARTITION BY bucket, batch_no ORDER BY position) AS first_n
-        FROM batched)),
+def _answers_sql(texts: str) -> str:
+    """Answers of the shipped scorer to the batches, and what is made of them."""
+    return f"""stored AS (
+  SELECT t.id, CASE WHEN tenth <> 7 THEN category_key END AS category_key, CASE WHEN tenth <> 8 THEN confidence END AS confidence, reasoning,
+         CASE WHEN tenth = 10 AND category_key <> 'custom_1' THEN 'refused, ' || reasoning END AS error
+  FROM (SELECT *, CAST(round(confidence * 10) AS INTEGER) AS tenth FROM predictions) JOIN ({texts}) t USING (paper_hash)),
+answered AS (
+  SELECT b.id, bucket, batch_no, s.id IS NULL AS missing, s.category_key, s.confidence, s.reasoning,
+         first_value(s.error IGNORE NULLS) OVER (PARTITION BY bucket, batch_no ORDER BY position
+           ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS error
+  FROM batched b LEFT JOIN stored s USING (id)),
 scored AS (
-  SELECT id, CASE WHEN failed OR missing OR n % 7 = 0 THEN 'other' ELSE 'custom_' || n % 6 END AS category_key,
-         CASE WHEN failed OR missing OR n % 7 = 0 THEN {S.OTHER}
-              ELSE CASE n % 6 WHEN 1 THEN 'Licensing' WHEN 2 THEN 'Credentials' WHEN 3 THEN 'Deixis' WHEN 4 THEN 'Prose'
-                   ELSE {S.OTHER} END END AS category_label,
-         CASE WHEN failed OR missing THEN CAST(0 AS DOUBLE) WHEN n % 5 = 0 THEN CAST(0.5 AS DOUBLE)
-              ELSE CAST(n % 10 AS DOUBLE) / 10 END AS confidence,
-         CASE WHEN failed THEN 'API Error: upstream timeout' WHEN missing THEN 'No classification returned'
-              ELSE 'read ' || n END AS reasoning, failed
-  FROM answered)"""
-
-
-@check(f"""WITH {S.PAPERS}, {S.PREDICTIONS}, {UNSCORED_SQL}, {_ANSWERS_SQL}
-SELECT bucket, batch_no, count(*) AS papers, CAST(count(*) FILTER (WHERE NOT failed AND NOT missing) AS INTEGER) AS answers
+  SELECT id, CASE WHEN given THEN key ELSE 'other' END AS category_key,
+         CASE WHEN given THEN CASE key WHEN 'custom_1' THEN 'Licensing' WHEN 'custom_2' THEN 'Credentials' WHEN 'custom_3' THEN 'Deixis'
+              ELSE {S.OTHER} END ELSE {S.OTHER} END AS category_label,
+         CASE WHEN given THEN coalesce(confidence, CAST(0.5 AS DOUBLE)) ELSE CAST(0 AS DOUBLE) END AS confidence,
+         CASE WHEN error IS NOT NULL THEN 'API Error: ' || error WHEN missing THEN 'No classification returned' ELSE reasoning END AS reasoning,
+         error IS NOT NULL AS failed
+  FROM (SELECT *, coalesce(category_key, 'other') AS key, error IS NULL AND NOT missing AS given FROM answered))"""
+
+
+_TEXT_IDS = f"SELECT {S.HASH} AS paper_hash, min(id) AS id FROM papers GROUP BY 1"
+_SCORED_SQL = f"{S.PAPERS}, {S.PREDICTIONS}, {_unscored_sql('confidence < 0.3')}, {_answers_sql(_TEXT_IDS)}"
+
+
+def _responses(spark, sf_dir) -> DataFrame:
+    scorer = scoring.predictions_scorer(V.stored_answers(spark, sf_dir, V.papers(spark, sf_dir)))
+    return scoring.apply_scorer(_prompts(spark, sf_dir, V.known_predictions(spark, sf_dir)), scorer)
+
+
+@check(f"""WITH {_SCORED_SQL}
+SELECT bucket, batch_no, count(*) AS papers, CAST(count(*) FILTER (WHERE error IS NULL AND NOT missing) AS INTEGER) AS answers
 FROM answered GROUP BY ALL""")
 def apply_scorer(spark, sf_dir):
     answers = F.from_json("response", scoring.ANSWERS).classifications
-    return scoring.apply_scorer(_prompts(spark, sf_dir), rehearsed_scorer()).select(
+    return _responses(spark, sf_dir).select(
         "bucket",
         "batch_no",
         F.size("ids").cast("bigint").alias("papers"),
@@ -734,17 +780,16 @@ def apply_scorer(spark, sf_dir):
 
 
 def _scored(spark, sf_dir) -> DataFrame:
-    responses = scoring.apply_scorer(_prompts(spark, sf_dir), rehearsed_scorer())
+    responses = materialize(_responses(spark, sf_dir), "responses")
     return scoring.parse_responses(responses, V.custom_rows(spark), fixed.CUSTOM_DEFAULT_LABEL)
 
 
-@check(f"""WITH {S.PAPERS}, {S.PREDICTIONS}, {UNSCORED_SQL}, {_ANSWERS_SQL} SELECT * FROM scored""")
+@check(f"""WITH {_SCORED_SQL} SELECT * FROM scored""")
 def parse_responses(spark, sf_dir):
     return _scored(spark, sf_dir)
 
 
-@check(f"""WITH {S.PAPERS}, {S.PREDICTIONS}, {UNSCORED_SQL}, {_ANSWERS_SQL}
-SELECT id, category_key, confidence, reasoning FROM scored WHERE failed""")
+@check(f"""WITH {_SCORED_SQL} SELECT id, category_key, confidence, reasoning FROM scored WHERE failed""")
 def failed_batches(spark, sf_dir):
     return _scored(spark, sf_dir).filter("failed").select("id", "category_key", "confidence", "reasoning")
 
@@ -839,6 +884,29 @@ def reclassify(spark, sf_dir):
     return outcome.results
 
 
+_SIMPLE_ID = f"""conf || '_' || "year" || '_' || {S.HASH}"""
+
+
+@check(f"""WITH {S.CLASSIFIED_ALL}, {S.PREDICTIONS},
+simple AS (SELECT {_SIMPLE_ID} AS id, {S.HASH} AS paper_hash, category AS old_label FROM classified),
+texts AS (SELECT paper_hash, min(id) AS id FROM simple GROUP BY 1),
+unscored AS (SELECT * FROM texts), {_batched_sql(5)}, {_answers_sql("SELECT paper_hash, id FROM texts")},
+known AS (SELECT paper_hash, s.* FROM scored s JOIN texts USING (id))
+SELECT x.id, old_label, CASE WHEN k.confidence < 0.6 THEN old_label ELSE k.category_label END AS new_label,
+       CASE WHEN k.confidence < 0.6 THEN CAST(0.5 AS DOUBLE) ELSE k.confidence END AS confidence,
+       CASE WHEN k.confidence < 0.6 THEN 'rule_fallback' ELSE 'llm' END AS method
+FROM simple x JOIN known k USING (paper_hash)""")
+def reclassify_scored(spark, sf_dir):
+    """The stored simple table, classified again with the shipped scorer in batches of five; low answers go to the rules."""
+    path = new_dir(spark, "simple")
+    tables.write_simple(V.classified(spark, sf_dir), path)
+    stored = materialize(tables.read_csv(spark, path, tables.SIMPLE), "stored")
+    ids = stored.withColumn("id", F.concat_ws("_", "conf", "year", text.paper_hash(F.col("title"), F.col("abstract"))))
+    scorer = scoring.predictions_scorer(V.stored_answers(spark, sf_dir, ids))
+    done = reclassify_plan.reclassify_scored(stored, scorer, custom_setup(spark, V.TOPIC, V.SPEC), new_dir(spark, "score-cache"))
+    return done.compared.select("id", "old_label", "new_label", "confidence", "method")
+
+
 @check("""SELECT conf, "year", string_agg(error, chr(10) ORDER BY attempt) AS error FROM (
   SELECT upper(event_type) AS conf, CAST(2021 + user_id % 5 AS INTEGER) AS "year", event_id AS attempt,
          'attempt failed: ' || props AS error,
@@ -878,9 +946,6 @@ def _label_keywords(spark, sf_dir):
         "p_partkey", F.array_join(label_keywords(label), "|").alias("keywords")
     )
 
-_ESCAPE = r"regexp_replace(k, '([()\[\]{}?*+\-|^$\\.&~# \t\n\r\x0b\x0c])', '\\\1', 'g')"
-
-
 @check(rf"""WITH {S.SPECS}
 SELECT taxonomy_id, priority, 'custom_' || priority AS key, label,
        '包含关键词：' || array_to_string(keywords, ', ') AS description,

@@ -161,6 +161,27 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def known_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predictions a cache holds already; the others are the shipped scorer's."""
+    return predictions(spark, sf_dir).filter("confidence < 0.3")
+
+
+def stored_answers(spark: SparkSession, sf_dir: str, ids: DataFrame) -> DataFrame:
+    """What the shipped scorer answers with: the predictions of the texts of `ids` (id, title, abstract).
+
+    A text goes by its lowest id.  Some answers lack a category, some a confidence, and some texts are refused.
+    """
+    named = ids.groupBy(paper_hash(F.col("title"), F.col("abstract")).alias("paper_hash")).agg(F.min("id").alias("id"))
+    tenth = F.round(F.col("confidence") * 10).cast("int")
+    return predictions(spark, sf_dir).join(named, "paper_hash").select(
+        "id",
+        F.when(tenth != 7, F.col("category_key")).alias("category_key"),
+        F.when(tenth != 8, F.col("confidence")).alias("confidence"),
+        "reasoning",
+        F.when((tenth == 10) & (F.col("category_key") != "custom_1"), F.concat(F.lit("refused, "), "reasoning")).alias("error"),
+    )
+
+
 def orders_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("category")

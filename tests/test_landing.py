@@ -147,3 +147,47 @@ def test_running_number_replaces_a_missing_note_id(spark):
     got = {r.id for r in landing.paper_ids(shuffled).collect()}
     assert got == {f"{c}_{y}_{i if note is None else note}" for i, (c, y, _, _, note, _, _) in enumerate(rows)}
     assert landing.paper_ids(shuffled).count() == len(rows)
+
+
+def test_running_numbers_follow_the_order_of_the_request(spark, monkeypatch):
+    """As the papers of one pair after the other would be counted; blocks of any size give the same."""
+    asked = [("B", 2024), ("A", 2024), ("B", 2023), ("A", 2023), ("B", 2024)]
+    rows = [(conf, year, offset, k, None, "t", "a") for conf, year in dict.fromkeys(asked) for offset in (0, 1000) for k in range(3)]
+    df = spark.createDataFrame(rows[::-1], "conf string, year int, offset bigint, position int, note_id string, title string, abstract string")
+    pairs = spark.createDataFrame([(c, y, k) for k, (c, y) in enumerate(asked)], "conf string, year int, ordinal long")
+    want = {f"{c}_{y}_{k}" for k, (c, y, *_) in enumerate(rows)}
+    for block in (1, 2, 1000):
+        monkeypatch.setattr(landing, "PAIRS_PER_BLOCK", block)
+        ids = landing.paper_ids(df, pairs)
+        assert {r.id for r in ids.collect()} == want
+
+
+def plan_of(df):
+    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
+def exchanged(df):
+    return [part for part in plan_of(df).split("\n\n") if ") Exchange" in part or ") Sort" in part]
+
+
+def test_payloads_neither_move_nor_are_sorted(spark):
+    rows = [("A", 2024, 1, 1000 * k, listing(2, venue="Accept")) for k in range(5)] + [("A", 2024, 1, 5000, listing(0))]
+    df = pages(spark, rows)
+    summary = landing.page_summary(df)
+    winners = landing.first_success(landing.candidate_counts(summary))
+    for result in (landing.accepted_notes(df, winners, summary=summary), landing.pages_until_empty(df), summary):
+        assert not any("payload" in part or "body" in part for part in exchanged(result))
+    assert landing.pages_until_empty(df).count() == 5
+
+
+def test_one_landing_of_each_page_counts(spark):
+    first, second = listing(2, venue="Accept"), listing(3, venue="Accept")
+    rows = [("A", 2024, 1, 0, first), ("A", 2024, 1, 0, first), ("A", 2024, 1, 0, second), ("A", 2024, 1, 1000, first), ("A", 2024, 1, 2000, listing(0))]
+    df = pages(spark, rows)
+    kept = landing.pages_until_empty(df)
+    assert sorted(r.offset for r in kept.collect()) == [0, 1000]
+    sizes = {r.offset: r.n for r in landing.page_sizes(kept).collect()}
+    summary = {r.offset: (r.n, r.landings) for r in landing.page_summary(df).collect()}
+    assert summary[0] == (sizes[0], 3) and summary[1000] == (2, 1)
+    winners = landing.first_success(landing.candidate_counts(landing.page_summary(df)))
+    assert landing.accepted_notes(df, winners).count() == sizes[0] + 2 == winners.first().accepted

@@ -71,3 +71,83 @@ def test_results_of_both_runs(spark):
 def test_shared_dir_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert new_dir(spark, "x") != new_dir(spark, "x")
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Files of a few hundred bytes are read by many tasks."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    for n, v in zip(names, ("64", "1")):
+        spark.conf.set(n, v)
+    yield
+    for n, v in zip(names, before):
+        spark.conf.set(n, v)
+
+
+def odd_csv(rows):
+    import csv
+    import io
+
+    out = io.StringIO()
+    writer = csv.writer(out, lineterminator="\r\n")
+    writer.writerow(["abstract", "year", "conf", "title", "category"])
+    writer.writerows(rows)
+    return "\ufeff" + out.getvalue()
+
+
+def test_csv_is_the_same_in_many_splits(spark, tmp_path, small_splits):
+    import random
+
+    own = random.Random(1)
+    pieces = ['"', ",", "\n", "a", "bc ", "é", "\n\n", '""', "\r\n", "x" * 90]
+    rows = [("".join(own.choices(pieces, k=own.randrange(1, 9))) + ".", 2000 + k, "C", f"t{k}", "K") for k in range(120)]
+    rows.append(("\n".join(["a long field"] * 40), 3000, "C", "long", "K"))  # over many splits
+    (tmp_path / "a.csv").write_bytes(odd_csv(rows[:70]).encode())
+    (tmp_path / "b.csv").write_bytes(odd_csv(rows[70:]).encode())
+    got = tables.read_csv(spark, str(tmp_path), tables.SIMPLE)
+    assert {r.title: (r.abstract, r.year) for r in got.collect()} == {t: (a, y) for a, y, _, t, _ in rows} and got.count() == len(rows)
+    assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() >= 8
+
+
+def test_bad_values_are_null_and_headers_must_agree(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("year,conf,title\n20x4,C,a\n2024,C,b\n,C,c\n2023\n")
+    got = tables.read_csv(spark, str(tmp_path), tables.SIMPLE).collect()
+    assert [(r.year, r.title) for r in sorted(got, key=lambda r: r.title)] == [(2023, ""), (None, "a"), (2024, "b"), (None, "c")]
+    (tmp_path / "b.csv").write_text("conf,year,title\nC,2024,d\n")
+    with pytest.raises(ValueError, match="headers"):
+        tables.read_csv(spark, str(tmp_path), tables.SIMPLE)
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "c.csv").write_text("")
+    assert tables.read_csv(spark, str(tmp_path / "empty"), tables.SIMPLE).collect() == []
+
+
+def test_json_in_many_splits_with_broken_entries(spark, tmp_path, small_splits):
+    entries = {f"h{k}": {"category_key": "k{[", "category_label": 'L"}' * (k % 4), "confidence": k / 100, "reasoning": "\\ \"{" * (k % 3)} for k in range(90)}
+    text = json.dumps(entries, ensure_ascii=False, indent=2)
+    (tmp_path / "a.json").write_text(text)
+    got = {r.paper_hash: r.asDict() for r in tables.read_cache_json(spark, str(tmp_path / "a.json")).collect()}
+    assert got == {h: {"paper_hash": h, **e} for h, e in entries.items()}
+    assert tables.broken_cache_entries(spark, str(tmp_path / "a.json")).count() == 0
+    (tmp_path / "b.json").write_text(text.replace('"h7": {', '"h7": nonsense, {', 1))
+    assert tables.read_cache_json(spark, str(tmp_path / "b.json")).count() == 89
+    assert [("nonsense" in r.text) for r in tables.broken_cache_entries(spark, str(tmp_path / "b.json")).collect()] == [True]
+    (tmp_path / "c.json").write_text(text[: len(text) // 2])  # cut off: no cache, all of it reported
+    assert tables.read_cache_json(spark, str(tmp_path / "c.json")).count() == 0
+    assert tables.broken_cache_entries(spark, str(tmp_path / "c.json")).count() > 40
+    (tmp_path / "d.json").write_text(json.dumps(entries))  # in one line
+    assert tables.read_cache_json(spark, str(tmp_path / "d.json")).count() == 90
+    results = [{"id": str(k), "title": "a]}\n" * (k % 3), "year": k} for k in range(60)]
+    (tmp_path / "e.json").write_text(json.dumps({"results": results, "timestamp": 1.0}, indent=2))
+    (tmp_path / "f.json").write_text(json.dumps({"results": results, "timestamp": 1.0}))
+    for name in ("e.json", "f.json"):
+        back = tables.read_checkpoint_json(spark, str(tmp_path / name), "id string, title string, year int")
+        assert sorted((r.asDict() for r in back.collect()), key=lambda r: r["year"]) == results
+
+
+def test_broken_lines_of_a_cache_are_counted(spark, tmp_path):
+    entry = {"category_key": "k", "category_label": "L", "confidence": 0.5, "reasoning": ""}
+    (tmp_path / "a.txt").write_text("\n".join([json.dumps({"h1": entry}), "{broken", "", json.dumps({"h2": None}), json.dumps({"h3": entry})]))
+    path = str(tmp_path / "a.txt")
+    assert sorted(r.paper_hash for r in tables.read_cache_json(spark, path, lines=True).collect()) == ["h1", "h3"]
+    assert sorted(r.text for r in tables.broken_cache_entries(spark, path, lines=True).collect()) == ['{"h2": null}', "{broken"]

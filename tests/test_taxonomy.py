@@ -112,5 +112,8 @@ def test_setup_needs_topic_and_categories(spark):
 
 
 def test_fingerprint_follows_topic_and_taxonomy(spark):
-    prints = {choose_setup(spark, *s).fingerprint for s in [(None, None), ("t", "A:x"), ("t", "A:y"), ("u", "A:x")]}
+    prints = {choose_setup(spark, *s).fingerprint() for s in [(None, None), ("t", "A:x"), ("t", "A:y"), ("u", "A:x")]}
     assert len(prints) == 4
+    one = choose_setup(spark, "t", "A:x")
+    assert len({one.fingerprint(), one.fingerprint(0.6), one.fingerprint(0.7), one.fingerprint(0.6, "a"), one.fingerprint(0.6, "b"), one.fingerprint(0.6, "a", "c")}) == 6
+    assert one.fingerprint(0.6, "a") == one.fingerprint(0.6, "a")

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from topicflow.functions import fixed
-from topicflow.operators import classify, taxonomy, topic
+from topicflow.operators import classify, pattern_index, taxonomy, topic
 
 TOPIC_TEXTS = [
     ("In-context learning enables few-shot learning", True),
@@ -78,15 +78,14 @@ def test_several_taxonomies_give_a_row_each_also_without_a_match(spark):
         [("a", "t", "X:red;Y:blue"), ("b", "t", "Z:blue"), ("c", "t", "W:green")],
         "taxonomy_id string, topic string, spec string",
     )
-    compiled = taxonomy.taxonomies_by_id(taxonomy.compile_taxonomies(taxonomy.parse_specs(specs)))
+    compiled = taxonomy.compile_taxonomies(taxonomy.parse_specs(specs))
     df = papers(spark, [("red and blue", ""), ("blue", ""), ("none", "")])
-    for per_pass in (50, 1):
-        got = classify.classify_many(df, compiled, "Other", per_pass).collect()
-        assert {(r.id, r.taxonomy_id, r.category_label) for r in got} == {
-            ("0", "a", "X"), ("0", "b", "Z"), ("0", "c", "Other"), ("1", "a", "Y"), ("1", "b", "Z"), ("1", "c", "Other"),
-            ("2", "a", "Other"), ("2", "b", "Other"), ("2", "c", "Other"),
-        }
-        assert len(got) == 9
+    got = pattern_index.classify_many(df, compiled, "other", "Other").collect()
+    assert {(r.id, r.taxonomy_id, r.category_label) for r in got} == {
+        ("0", "a", "X"), ("0", "b", "Z"), ("0", "c", "Other"), ("1", "a", "Y"), ("1", "b", "Z"), ("1", "c", "Other"),
+        ("2", "a", "Other"), ("2", "b", "Other"), ("2", "c", "Other"),
+    }
+    assert len(got) == 9
 
 
 def test_rules_search_a_text_once_per_category(spark):

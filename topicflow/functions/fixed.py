@@ -231,6 +231,7 @@ CONFIDENCE_THRESHOLD = 0.6
 FALLBACK_CONFIDENCE = 0.5
 MISSING_CONFIDENCE = 0.5
 BATCH_SIZE = 10
+RECLASSIFY_BATCH_SIZE = 5
 RULE_REASON = "Rule-based classification"
 MISSING_ANSWER_REASON = "No classification returned"
 FAILURE_REASON_PREFIX = "API Error: "

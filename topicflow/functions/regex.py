@@ -49,6 +49,17 @@ def alternation(patterns: list[str]) -> str:
     return f"{FLAGS}(?:{'|'.join(parts)})"
 
 
+def branches(pattern: str) -> list[str]:
+    r"""Patterns without a top-level choice, one of which matches wherever `pattern` does: \b(a|b)c gives \bac, \bbc."""
+    found = []
+    for branch in _split(pattern):
+        if branch.startswith(r"\b"):
+            found += [r"\b" + rest for rest in _without_leading_group(branch[2:])]
+        else:
+            found.append(branch)
+    return list(dict.fromkeys(found))
+
+
 def _split(pattern: str) -> list[str]:
     """Pieces between the "|" outside every group and character class."""
     pieces, level, in_class, i = [""], 0, False, 0

@@ -1,8 +1,5 @@
 """Rule classification: the first category, by priority, with a matching pattern."""
 
-from collections.abc import Callable
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -11,8 +8,6 @@ from topicflow.functions.regex import FLAGS, matches_any
 from topicflow.functions.text import match_text
 from topicflow.operators.joins import join_bounded
 
-TAXONOMIES_PER_PASS = 50
-
 
 def rule_priority(text: Column, rows: list[Row]) -> Column:
     """Priority of the winning category, null when none matches.
@@ -85,37 +80,3 @@ def lookup_category(keys: DataFrame, taxonomy: DataFrame, default_label: str) ->
     return join_bounded(keys, names, "category_key", "left").withColumn(
         "category_label", F.coalesce("category_label", F.lit(default_label))
     )
-
-
-def _named_result(name: str, rows: list[Row], default_label: str) -> Callable[[Column], Column]:
-    def result(number: Column) -> Column:
-        return F.struct(
-            F.lit(name).alias("taxonomy_id"),
-            category_key(number, rows).alias("category_key"),
-            category_label(number, rows, default_label).alias("category_label"),
-        )
-
-    return result
-
-
-def classify_many(
-    papers: DataFrame, taxonomies: dict[str, list[Row]], default_label: str, per_pass: int = TAXONOMIES_PER_PASS
-) -> DataFrame:
-    """(id, taxonomy_id, category_key, category_label) for every paper and taxonomy.
-
-    Each taxonomy is a literal CASE over the paper's own row, so there is neither
-    a shuffle nor a join of papers with patterns.  More taxonomies than fit one
-    expression are done in several passes.
-    """
-    text = match_text(F.col("title"), F.col("abstract"))
-    names = sorted(taxonomies)
-    passes = []
-    for start in range(0, len(names), per_pass):
-        results = []
-        for name in names[start : start + per_pass]:
-            rows = taxonomies[name]
-            number = rule_priority(text, rows)
-            # The one-element array keeps the winner from being searched for twice.
-            results.append(F.transform(F.array(number), _named_result(name, rows, default_label)))
-        passes.append(papers.select("id", F.explode(F.concat(*results)).alias("result")).select("id", "result.*"))
-    return reduce(DataFrame.unionByName, passes)

@@ -46,22 +46,16 @@ def join_skewed(
     keep left rows independent of each other: inner, left, left_semi or left_anti.
 
     The hot keys come from one pre-aggregated count.  There are at most
-    rows / rows_per_split of them; the split size doubles until they fit the
-    broadcast bound, so the broadcasts below are always small.
+    rows / rows_per_split of them, and they are broadcast if that is few.
     """
     if is_small(right, max_rows):
         return left.join(F.broadcast(right), on, how)
     counts = left.filter(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("_n"))
     hot = materialize(counts.filter(F.col("_n") > rows_per_split), "hot-keys")
-    while (found := hot.count()) > MAX_BROADCAST_ROWS:
-        rows_per_split *= 2
-        hot = hot.filter(F.col("_n") > rows_per_split)
-    if not found:
+    if hot.isEmpty():
         return left.join(right, on, how)
-    hot = F.broadcast(hot.select(on, F.ceil(F.col("_n") / rows_per_split).cast("int").alias("_parts")))
+    hot = hot.select(on, F.ceil(F.col("_n") / rows_per_split).cast("int").alias("_parts"))
     parts = F.coalesce("_parts", F.lit(1))
-    salted_left = left.join(hot, on, "left").withColumn(
-        "_part", F.pmod(F.xxhash64(spread), parts).cast("int")
-    )
-    salted_right = right.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    salted_left = join_bounded(left, hot, on).withColumn("_part", F.pmod(F.xxhash64(spread), parts).cast("int"))
+    salted_right = join_bounded(right, hot, on).withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
     return salted_left.drop("_parts").join(salted_right.drop("_parts"), [on, "_part"], how).drop("_part")

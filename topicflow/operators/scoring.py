@@ -1,6 +1,7 @@
 """Scoring by an external scorer, in batches, with a cache and a rule fallback."""
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, Window
@@ -19,10 +20,57 @@ ANSWERS = (
     "id: string, category_key: string, confidence: double, reasoning: string>>>"
 )
 
-# A scorer gets one row per batch (bucket, batch_no, prompt) and returns the
+# A scorer gets one row per batch (bucket, batch_no, ids, prompt) and returns the
 # response text of each; None stands for a batch that failed.
 Scorer = Callable[[pd.DataFrame], "pd.Series"]
 
+# Rules of the user's own: the text of a paper -> struct (category_key, category_label).
+Classifier = Callable[[Column], Column]
+
+
+@dataclass(frozen=True)
+class TableScorer:
+    """A scorer that is a job: `respond` takes the batches (bucket, batch_no, ids, prompt) as a table.
+
+    It returns (bucket, batch_no, response); a batch it leaves out has failed.  `name` tells its
+    results apart from those of other scorers.
+    """
+
+    name: str
+    respond: Callable[[DataFrame], DataFrame]
+
+
+def scorer_name(scorer: "Scorer | TableScorer | None") -> str:
+    """What results of the scorer are kept under."""
+    if scorer is None:
+        return ""
+    return scorer.name if isinstance(scorer, TableScorer) else getattr(scorer, "__qualname__", type(scorer).__qualname__)
+
+
+def predictions_scorer(predictions: DataFrame, name: str = "predictions") -> TableScorer:
+    """The shipped scorer: answers with stored predictions (id, category_key, confidence, reasoning, error).
+
+    The ids of all batches meet the predictions in one join by id.  A paper without a prediction gets no
+    answer, null fields are left out of the answer, and a batch with a paper whose `error` is not null fails
+    with that text (the first one by position).  Of repeated ids the greatest prediction counts.
+    """
+    fields = ("category_key", "confidence", "reasoning", "error")
+    known = predictions.groupBy("id").agg(F.max(F.struct(*fields)).alias("stored"))
+
+    def respond(prompts: DataFrame) -> DataFrame:
+        asked = prompts.select("bucket", "batch_no", F.posexplode("ids").alias("position", "id"))
+        joined = join_skewed(asked, known, "id", "position")
+        answer = F.struct("id", "stored.category_key", "stored.confidence", "stored.reasoning")
+        found = F.struct("position", F.when(F.col("stored").isNotNull(), answer).alias("answer"), F.col("stored.error").alias("error"))
+        # a group is one batch
+        batches = joined.groupBy("bucket", "batch_no").agg(F.array_sort(F.collect_list(found)).alias("found"))
+        errors = F.filter(F.transform("found", lambda x: x.error), lambda e: e.isNotNull())
+        answers = F.filter(F.transform("found", lambda x: x.answer), lambda a: a.isNotNull())
+        response = F.coalesce(F.try_element_at(errors, F.lit(1)), F.to_json(F.struct(answers.alias("classifications"))))
+        return batches.select("bucket", "batch_no", response.alias("response"))
+
+    return TableScorer(name, respond)
+
 
 def with_hash(papers: DataFrame) -> DataFrame:
     return papers.withColumn("paper_hash", paper_hash(F.col("title"), F.col("abstract")))
@@ -36,23 +84,33 @@ def cache_join(papers: DataFrame, cache: DataFrame) -> DataFrame:
     )
 
 
-def to_score(papers: DataFrame, cache: DataFrame) -> DataFrame:
-    """Distinct texts the cache does not know: (paper_hash, id, title, abstract).
+def keys_to_score(papers: DataFrame, cache: DataFrame) -> DataFrame:
+    """(paper_hash, paper_id, id) of the distinct texts the cache does not know; `id` is what a batch sends.
 
-    Copies of a text are reduced to their lowest id before the shuffle, and the
-    anti join meets every hash once.  Only hashes and ids are shuffled; the texts
-    are fetched afterwards, by a broadcast of the ids when they are few.  Repeated
-    papers give one row, an id with several texts one row per text.
+    Copies of a text are reduced to their lowest id before the shuffle, and the anti join meets every hash once.
+    Only hashes and ids move.
     """
-    first = with_hash(papers).groupBy("paper_hash").agg(F.min("id").alias("id"))
+    first = with_hash(papers).groupBy("paper_hash").agg(F.min("id").alias("paper_id"))
     unknown = first.join(cache.select("paper_hash"), "paper_hash", "left_anti")
     # answers come back by id, so an id with several texts is told apart by their hashes
-    shared = unknown.groupBy("id").agg(F.count("*").alias("_texts"))
-    sent_as = F.when(F.col("_texts") > 1, F.concat_ws("#", "id", "paper_hash")).otherwise(F.col("id"))
-    unknown = materialize(unknown.join(shared, "id").select("paper_hash", "id", sent_as.alias("_sent_as")), "to-score")
-    texts = with_hash(papers.select("id", "title", "abstract"))
-    found = join_bounded(texts, unknown, ["id", "paper_hash"], "inner")
-    return found.select("paper_hash", F.col("_sent_as").alias("id"), "title", "abstract").dropDuplicates(["paper_hash"])
+    shared = unknown.groupBy("paper_id").agg(F.count("*").alias("_texts"))
+    sent_as = F.when(F.col("_texts") > 1, F.concat_ws("#", "paper_id", "paper_hash")).otherwise(F.col("paper_id"))
+    return unknown.join(shared, "paper_id").select("paper_hash", "paper_id", sent_as.alias("id"))
+
+
+def attach_texts(keys: DataFrame, papers: DataFrame) -> DataFrame:
+    """`keys` with title and abstract: the one step in which texts meet them, by a broadcast when the keys are few.
+
+    A paper that is listed several times gives as many equal rows.
+    """
+    texts = with_hash(papers.select(F.col("id").alias("paper_id"), "title", "abstract"))
+    return join_bounded(texts, keys, ["paper_id", "paper_hash"], "inner").select(*keys.columns, "title", "abstract")
+
+
+def to_score(papers: DataFrame, cache: DataFrame) -> DataFrame:
+    """Distinct texts the cache does not know: (paper_hash, id, title, abstract), one row per text."""
+    keys = materialize(keys_to_score(papers, cache), "to-score")
+    return attach_texts(keys, papers).select("paper_hash", "id", "title", "abstract").dropDuplicates(["paper_hash"])
 
 
 def score_batches(
@@ -60,7 +118,7 @@ def score_batches(
 ) -> DataFrame:
     """Adds bucket, batch_no and position: batches of at most `batch_size` papers.
 
-    Papers are spread evenly over buckets by their hash and numbered inside one,
+    All it needs is paper_hash and id, so number the keys and attach the texts afterwards.  Papers are spread evenly over buckets by their hash and numbered inside one,
     so no window holds more than a bucket.  The numbering depends only on the
     data; a task that is run again gives the same batches.
     """
@@ -87,9 +145,9 @@ def prompt_entry() -> Column:
 
 
 def build_prompts(batched: DataFrame, definitions: str) -> DataFrame:
-    """One row per batch: (bucket, batch_no, ids, prompt).  A batch is at most batch_size papers."""
+    """One row per batch: (bucket, batch_no, ids, prompt).  A batch is at most batch_size papers, equal rows are one."""
     entry = F.struct("position", F.col("id"), prompt_entry().alias("entry"))
-    papers = F.array_sort(F.collect_list(entry))
+    papers = F.array_sort(F.collect_set(entry))
     return (
         batched.groupBy("bucket", "batch_no")
         .agg(papers.alias("papers"))
@@ -106,26 +164,37 @@ def build_prompts(batched: DataFrame, definitions: str) -> DataFrame:
     )
 
 
-def apply_scorer(prompts: DataFrame, scorer: Scorer) -> DataFrame:
+def apply_scorer(prompts: DataFrame, scorer: Scorer | TableScorer) -> DataFrame:
     """(bucket, batch_no, ids, response): the scorer is called in the tasks, once per Arrow batch of prompts.
 
     A scorer that wants a batch to count as failed returns None or a text without a
-    list of classifications for it.  If it raises, the batches of the call are tried
-    one by one, and those that raise again fail with the error as their response.
+    list of classifications for it.  If it raises, or returns more or fewer responses
+    than it got batches, the batches of the call are tried one by one, and those for
+    which that happens again fail with the error as their response.  A `TableScorer`
+    is a job over all batches instead.
     """
+    if isinstance(scorer, TableScorer):
+        responses = scorer.respond(prompts).select("bucket", "batch_no", "response")
+        return prompts.select("bucket", "batch_no", "ids").join(responses, ["bucket", "batch_no"], "left")
+
+    def called(frame: pd.DataFrame) -> list[str | None]:
+        responses = list(scorer(frame))
+        if len(responses) != len(frame):
+            raise ValueError(f"{len(responses)} responses for {len(frame)} batches")
+        return responses
 
     def one_by_one(frame: pd.DataFrame) -> list[str | None]:
         responses: list[str | None] = []
         for k in range(len(frame)):
             try:
-                responses.append(list(scorer(frame.iloc[[k]]))[0])
+                responses += called(frame.iloc[[k]])
             except Exception as error:  # any error of a user's scorer fails this batch only
                 responses.append(f"{type(error).__name__}: {error}")
         return responses
 
     def answered(frame: pd.DataFrame) -> list[str | None]:
         try:
-            return list(scorer(frame))
+            return called(frame)
         except Exception:  # see above
             return one_by_one(frame)
 
@@ -196,24 +265,33 @@ def low_confidence(scores: DataFrame, threshold: float = fixed.CONFIDENCE_THRESH
 def hybrid_classify(
     papers: DataFrame,
     predictions: DataFrame | None,
-    rows: list[Row],
+    rows: list[Row] | Classifier,
     default_label: str,
     threshold: float = fixed.CONFIDENCE_THRESHOLD,
 ) -> DataFrame:
     """Prediction where its confidence reaches the threshold, rules elsewhere.
 
+    The rules are those of a taxonomy's rows, or a classifier of the user's own, which makes a struct
+    (category_key, category_label) of a paper's text; a null key or label of it is the default.
+
     predictions: (paper_hash, category_key, category_label, confidence, reasoning),
     one row per hash; None means there is no scorer.  A paper without a
     prediction counts as one the scorer gave no answer for.  The rules run only
     on rows that need them.
     """
     text = match_text(F.col("title"), F.col("abstract"))
+    if callable(rows):
+        rule, result = rows(text), F.col("_rule")
+        key = F.coalesce(result.category_key, F.lit(fixed.DEFAULT_KEY))
+        label = F.coalesce(result.category_label, F.lit(default_label))
+    else:
+        rule, result = rule_priority(text, rows), F.col("_rule")
+        key, label = category_key(result, rows), category_label(result, rows, default_label)
     if predictions is None:
-        number = F.col("_priority")
-        return papers.withColumn("_priority", rule_priority(text, rows)).select(
+        return papers.withColumn("_rule", rule).select(
             *papers.columns,
-            category_key(number, rows).alias("category_key"),
-            category_label(number, rows, default_label).alias("category_label"),
+            key.alias("category_key"),
+            label.alias("category_label"),
             F.lit(1.0).alias("confidence"),
             F.lit(fixed.RULE_REASON).alias("reasoning"),
             F.lit("rule").alias("method"),
@@ -222,14 +300,13 @@ def hybrid_classify(
     joined = join_skewed(with_hash(papers), scored, "paper_hash", "id")
     confidence = F.coalesce("_confidence", F.lit(0.0))
     low = confidence < threshold
-    number = F.col("_priority")
     fallback_reason = F.concat(
         F.lit("LLM low confidence ("), F.format_number(confidence, 2), F.lit("), used rule")
     )
-    return joined.withColumn("_priority", F.when(low, rule_priority(text, rows))).select(
+    return joined.withColumn("_rule", F.when(low, rule)).select(
         *papers.columns,
-        F.when(low, category_key(number, rows)).otherwise(F.col("_category_key")).alias("category_key"),
-        F.when(low, category_label(number, rows, default_label))
+        F.when(low, key).otherwise(F.col("_category_key")).alias("category_key"),
+        F.when(low, label)
         .otherwise(F.col("_category_label"))
         .alias("category_label"),
         F.when(low, fixed.FALLBACK_CONFIDENCE).otherwise(confidence).alias("confidence"),

@@ -19,7 +19,6 @@ SCHEMA = (
     "patterns array<string>"
 )
 KEYWORDS_IN_DESCRIPTION = 10
-MAX_TAXONOMY_ROWS = 100_000
 
 
 def builtin_rows() -> list[Row]:
@@ -124,17 +123,6 @@ def custom_rows(spark: SparkSession, topic: str, spec: str) -> list[Row]:
     return sorted(rows, key=lambda r: r.priority)
 
 
-def taxonomies_by_id(taxonomies: DataFrame, max_rows: int = MAX_TAXONOMY_ROWS) -> dict[str, list[Row]]:
-    """Taxonomies as literals for the classifiers; their size is checked first."""
-    rows = taxonomies.orderBy("taxonomy_id", "priority").take(max_rows + 1)
-    if len(rows) > max_rows:
-        raise ValueError(f"more than {max_rows} categories: classify with some of the taxonomies at a time")
-    grouped: dict[str, list[Row]] = {}
-    for row in rows:
-        grouped.setdefault(row["taxonomy_id"], []).append(row)
-    return grouped
-
-
 def definitions_text(taxonomies: DataFrame, default_label: str) -> DataFrame:
     """One numbered text per taxonomy that explains its categories, the default last."""
     line = F.format_string("%d. **%s** (key: %s)\n   %s\n", "priority", "label", "key", "description")

@@ -16,9 +16,9 @@ class Setup:
     default_label: str
     long_tail_label: str
 
-    @property
-    def fingerprint(self) -> str:
-        return resume.fingerprint(self.rows, self.topic)
+    def fingerprint(self, threshold: float | None = None, scorer: str = "", classifier: str = "") -> str:
+        """Names the results that this setup gives with a threshold, a scorer and a classifier of the user's own."""
+        return resume.fingerprint(self.rows, self.topic, self.default_label, threshold, scorer, classifier)
 
 
 def builtin_setup() -> Setup:

@@ -32,25 +32,28 @@ def collect_papers(
 ) -> Collected:
     """On-topic accepted papers of the requested (conf, year) pairs, and where each pair was found.
 
-    The pages are read twice: once for one summary row per page, from which each
-    pair's candidate is chosen, and once to take apart the chosen candidates' pages.
+    The pages are read twice: once for one summary row per page, which is written and
+    from which each pair's candidate is chosen and the log is made, and once to take apart
+    the chosen candidates' pages.  Payloads are neither sorted nor moved, but for those of
+    pages that landed several times.  Running numbers follow the order of a column `ordinal`
+    of `pairs`, if there is one.
     Pages stored by conference and year are pruned to the requested pairs at the scan.
     A pair that is requested twice counts once.  Without `attempts` the errors of
     the log are derived from the pages.  `keep` is a predicate over title and
     abstract that takes the place of the topic's words.
     """
-    pairs = pairs.select(landing.PAIR).distinct()
+    ordered, pairs = pairs, pairs.select(landing.PAIR).distinct()
     wanted = landing.requested_pages(pages, pairs)
-    summary = landing.page_summary(wanted, strict)
+    summary = materialize(landing.page_summary(wanted, strict), "page-summary")
     winners = materialize(landing.first_success(landing.candidate_counts(summary, last_offset)), "winners")
-    accepted = landing.normalize_note(landing.accepted_notes(wanted, winners, strict, last_offset)).drop("note")
+    accepted = landing.normalize_note(landing.accepted_notes(wanted, winners, strict, last_offset, summary)).drop("note")
     title, abstract = F.col("title"), F.col("abstract")
     wanted_text = keep(title, abstract) if keep else on_topic(match_text(title, abstract), setup.topic_patterns)
     matched = materialize(accepted.filter(wanted_text), "matched")
     if attempts is None:
-        attempts = landing.derived_attempts(wanted, summary)
+        attempts = landing.derived_attempts(summary)
     return Collected(
-        papers=landing.paper_ids(matched).select("id", "conf", "year", "title", "abstract"),
+        papers=landing.paper_ids(matched, ordered).select("id", "conf", "year", "title", "abstract"),
         fetch_log=landing.fetch_log(pairs, winners, landing.last_errors(attempts)),
     )
 
@@ -58,34 +61,37 @@ def collect_papers(
 @dataclass(frozen=True)
 class Scored:
     predictions: DataFrame
+    """All that is known of any text, defaults for missing answers included."""
     cache: DataFrame
+    """The earlier cache with the new answers."""
+    fresh: DataFrame
+    """The new answers alone."""
 
 
 def score_papers(
     papers: DataFrame,
     cache: DataFrame,
-    scorer: scoring.Scorer,
+    scorer: scoring.Scorer | scoring.TableScorer,
     setup: Setup,
     batch_size: int = fixed.BATCH_SIZE,
 ) -> Scored:
     """Score the texts the cache does not know; every distinct text is sent once.
 
-    The responses are written before anything else is done with them, so neither
+    Batches are numbered by hash and id; texts join them once, on the way to the prompts.  The responses are written before anything else is done with them, so neither
     a retry downstream nor a second use calls the scorer again.
     """
     spark = papers.sparkSession
-    unscored = materialize(scoring.to_score(papers, cache), "unscored")
+    unscored = materialize(scoring.keys_to_score(papers, cache), "unscored")
     table = taxonomy.rows_table(spark, setup.rows, "active")
     definitions = taxonomy.definitions_text(table, setup.default_label).first()["definitions"]
-    prompts = scoring.build_prompts(scoring.score_batches(unscored, batch_size), definitions)
+    batched = materialize(scoring.score_batches(unscored, batch_size), "batched")
+    prompts = scoring.build_prompts(scoring.attach_texts(batched, papers), definitions)
     responses = materialize(scoring.apply_scorer(prompts, scorer), "responses")
     scored = scoring.parse_responses(responses, setup.rows, setup.default_label)
     answered = unscored.select("id", "paper_hash").join(scored, "id")
     fresh = answered.select("paper_hash", *scoring.SCORE_COLUMNS)
-    return Scored(
-        predictions=tables.upsert_cache(cache, fresh),
-        cache=tables.upsert_cache(cache, answered.filter(scoring.was_answered()).select(fresh.columns)),
-    )
+    own = answered.filter(scoring.was_answered()).select(fresh.columns)
+    return Scored(predictions=tables.upsert_cache(cache, fresh), cache=tables.upsert_cache(cache, own), fresh=own)
 
 
 def classify_papers(
@@ -95,20 +101,37 @@ def classify_papers(
     results_path: str | None = None,
     threshold: float = fixed.CONFIDENCE_THRESHOLD,
     keep_earlier: bool = True,
+    classifier: scoring.Classifier | None = None,
+    scorer: scoring.Scorer | scoring.TableScorer | None = None,
+    cache_path: str | None = None,
+    batch_size: int = fixed.BATCH_SIZE,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Classified papers; with `results_path` only those without an earlier result are classified.
 
-    Earlier results are kept apart by what they depend on, so a changed topic or
-    taxonomy starts anew.
+    Earlier results are kept apart by what they depend on, so a changed topic, taxonomy, threshold or scorer starts
+    anew.  They are written in `chunks` (default: one, or ten with a scorer), each of which is kept if the run stops
+    later.  `classifier` takes the place of the taxonomy's rules.  With a `scorer` papers are scored chunk by chunk;
+    answers go to the cache under `cache_path` and are taken from there.
     """
+    spark, rules = papers.sparkSession, classifier or setup.rows
+
+    def classify(part: DataFrame) -> DataFrame:
+        found = predictions
+        if scorer is not None:
+            cache = tables.read_stored_cache(spark, cache_path) if cache_path else spark.createDataFrame([], tables.CACHE)
+            scored = score_papers(part, cache, scorer, setup, batch_size)
+            found = materialize(scored.predictions, "predictions")
+            if cache_path:
+                tables.update_stored_cache(scored.fresh, cache_path)
+        return scoring.hybrid_classify(part, found, rules, setup.default_label, threshold)
+
     if results_path is None:
-        return scoring.hybrid_classify(papers, predictions, setup.rows, setup.default_label, threshold)
-    path = f"{results_path}/{setup.fingerprint}"
-    todo = resume.filter_unprocessed(papers, tables.read_results(papers.sparkSession, path))
-    tables.write_checkpoint(
-        scoring.hybrid_classify(todo, predictions, setup.rows, setup.default_label, threshold), path
-    )
-    results = tables.read_results(papers.sparkSession, path).drop("written_at")
+        return classify(papers)
+    kind = scoring.scorer_name(scorer) or ("predictions" if predictions is not None else "")
+    path = f"{results_path}/{setup.fingerprint(threshold, kind, scoring.scorer_name(classifier))}"
+    resume.in_chunks(papers, path, chunks or (1 if scorer is None else resume.CHUNKS), classify)
+    results = tables.read_committed(spark, path).drop("written_at")
     return results if keep_earlier else results.join(papers.select("id"), "id", "left_semi")
 
 

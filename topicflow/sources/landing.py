@@ -14,6 +14,8 @@ from topicflow.session import materialize
 
 PAIR = ["conf", "year"]
 CANDIDATE = ["conf", "year", "candidate"]
+PAIRS_PER_BLOCK = 1000
+"""Requested pairs whose counts are summed up together."""
 
 
 # --- where to look --------------------------------------------------------
@@ -87,10 +89,14 @@ def bad_payloads(pages: DataFrame) -> DataFrame:
         parse_payload(pages)
         .filter(F.col("body").isNull())
         .drop("body")
-        .withColumn("error", F.concat(F.lit("Non-JSON response. Head: "), error_snippet(F.col("payload"))))
+        .withColumn("error", _bad_head())
     )
 
 
+def _bad_head() -> Column:
+    return F.concat(F.lit("Non-JSON response. Head: "), error_snippet(F.coalesce("payload", F.lit(""))))
+
+
 def scan_pages(pages: DataFrame) -> DataFrame:
     """Pages -> one row per note (conf, year, candidate, offset, position, note)."""
     return parse_payload(pages).select(
@@ -113,18 +119,18 @@ def _before_end() -> Column:
 
 
 def pages_until_empty(pages: DataFrame, last_offset: int | None = None) -> DataFrame:
-    """Pages of each candidate, in offset order, up to the first empty one.
+    """Pages of each candidate, in offset order, up to the first empty one; one landing of each page.
 
     Neither a short page nor one that is not JSON stops the listing; a given `last_offset`
-    leaves out the pages past it.  The first empty offset is a pre-aggregated minimum, so
-    payloads are never shuffled or sorted by it.
+    leaves out the pages past it.  Sizes and landings are told by one row per page without
+    its payload, so payloads stay where they are, but for those of pages that landed twice.
     """
     listed = _up_to(pages, last_offset)
+    summary = materialize(_per_page(parse_payload(listed), F.when(F.col("body").isNotNull(), F.size(note_list(F.col("body")))).alias("n")), "page-sizes")
     first_empty = F.min(F.when(F.col("n") == 0, F.col("offset"))).alias("first_empty")
-    ends = page_sizes(listed).groupBy(CANDIDATE).agg(first_empty).filter(F.col("first_empty").isNotNull())
-    return (
-        join_bounded(listed, materialize(ends, "first-empty"), CANDIDATE).filter(_before_end()).drop("first_empty")
-    )
+    ends = summary.groupBy(CANDIDATE).agg(first_empty).filter(F.col("first_empty").isNotNull())
+    before = join_bounded(listed, materialize(ends, "first-empty"), CANDIDATE).filter(_before_end()).drop("first_empty")
+    return one_landing(before, summary)
 
 
 # --- note fields ----------------------------------------------------------
@@ -200,21 +206,35 @@ def landing_order() -> Column:
     return F.xxhash64("payload")
 
 
-def one_landing(pages: DataFrame) -> DataFrame:
-    """One row per page (conf, year, candidate, offset), the landing whose payload has the greatest hash.
+def _per_page(parsed: DataFrame, *facts: Column) -> DataFrame:
+    """(conf, year, candidate, offset, facts, landings): one row per page, without payloads.
 
+    Of several landings of a page the one counts whose payload has the greatest hash; `landings` is how many there are.
     A page that landed twice with different payloads says nothing about which came later, so the choice is only the same
     everywhere.
     """
-    return pages.groupBy(*CANDIDATE, "offset").agg(F.max_by("payload", landing_order()).alias("payload"))
+    page = parsed.select(*CANDIDATE, "offset", F.struct(landing_order().alias("landing"), *facts).alias("page"))
+    one = page.groupBy(*CANDIDATE, "offset").agg(F.max("page").alias("page"), F.count("*").alias("landings"))
+    return one.select(*CANDIDATE, "offset", "page.*", "landings").drop("landing")
 
 
-def derived_attempts(pages: DataFrame, summary: DataFrame) -> DataFrame:
+def one_landing(pages: DataFrame, summary: DataFrame) -> DataFrame:
+    """The landing of each page that counts.  Only payloads of pages with several landings are brought together."""
+    page = [*CANDIDATE, "offset"]
+    repeated = summary.filter("landings > 1").select(page)
+    if repeated.isEmpty():
+        return pages
+    once = join_bounded(pages, repeated, page, "left_anti")
+    again = join_bounded(pages, repeated, page, "left_semi").groupBy(page).agg(F.max_by("payload", landing_order()).alias("payload"))
+    return once.select(*page, "payload").unionByName(again)
+
+
+def derived_attempts(summary: DataFrame) -> DataFrame:
     """(conf, year, attempt, error): pages that are not JSON, and candidates with submissions of which none was accepted.
 
     attempt is the candidate's number; a candidate's errors are told by their page.
     """
-    bad = bad_payloads(pages).select(*PAIR, F.col("candidate").cast("bigint").alias("attempt"), "error")
+    bad = summary.filter("n IS NULL").select(*PAIR, F.col("candidate").cast("bigint").alias("attempt"), "error")
     counts = candidate_counts(summary).filter("accepted = 0 AND submissions > 0")
     plan = fetch_plan(counts.select(PAIR).distinct()).select(*CANDIDATE, "baseurl", "invitation")
     said = F.format_string("%s %s: has submissions=%d but no accepted papers found", "baseurl", "invitation", "submissions")
@@ -223,31 +243,21 @@ def derived_attempts(pages: DataFrame, summary: DataFrame) -> DataFrame:
 
 
 def page_summary(pages: DataFrame, strict: bool = False) -> DataFrame:
-    """(conf, year, candidate, offset, n, accepted), one row per page.
+    """(conf, year, candidate, offset, n, accepted, error, landings), one row per page.
 
-    Everything the choice of a candidate needs, from one narrow pass over the
-    payloads.  Notes listed through the venueid filter are all accepted; n is null
-    for a page that is not JSON.  Of several landings of a page the one counts whose
-    payload has the greatest hash, as in `one_landing`.
+    Everything the choice of a candidate and its log need, from one narrow pass over
+    the payloads.  Notes listed through the venueid filter are all accepted; n is null
+    for a page that is not JSON, and `error` has the head of what came instead.
     """
     notes = F.col("notes")
     kept = F.filter(notes, lambda note: is_accepted(note, F.col("conf"), F.col("year"), strict))
     filtered = strategy_of(F.col("candidate")) == "venueid"
-    return (
-        parse_payload(pages)
-        .select(*CANDIDATE, "offset", landing_order().alias("landing"), F.col("body").isNull().alias("bad"), note_list(F.col("body")).alias("notes"))
-        .select(
-            *CANDIDATE,
-            "offset",
-            F.struct(
-                "landing",
-                F.when(~F.col("bad"), F.size(notes)).alias("n"),
-                F.when(filtered, F.size(notes)).otherwise(F.size(kept)).alias("accepted"),
-            ).alias("page"),
-        )
-        .groupBy(*CANDIDATE, "offset")
-        .agg(F.max("page").alias("page"))
-        .select(*CANDIDATE, "offset", "page.n", "page.accepted")
+    parsed = parse_payload(pages).withColumn("notes", note_list(F.col("body")))
+    return _per_page(
+        parsed,
+        F.when(F.col("body").isNotNull(), F.size(notes)).alias("n"),
+        F.when(filtered, F.size(notes)).otherwise(F.size(kept)).alias("accepted"),
+        F.when(F.col("body").isNull(), _bad_head()).alias("error"),
     )
 
 
@@ -285,12 +295,17 @@ def first_success(counts: DataFrame) -> DataFrame:
 
 
 def accepted_notes(
-    pages: DataFrame, winners: DataFrame, strict: bool = False, last_offset: int | None = None
+    pages: DataFrame, winners: DataFrame, strict: bool = False, last_offset: int | None = None, summary: DataFrame | None = None
 ) -> DataFrame:
-    """Accepted notes of the winning candidates; only their pages are taken apart into notes."""
+    """Accepted notes of the winning candidates; only their pages are taken apart into notes, where they lie.
+
+    `summary` tells which pages landed several times; without it their keys are counted.
+    """
+    if summary is None:
+        summary = pages.groupBy(*CANDIDATE, "offset").agg(F.count("*").alias("landings"))
     chosen = join_bounded(_up_to(pages, last_offset), winners.select(*CANDIDATE, "first_empty"), CANDIDATE, "inner")
     filtered = strategy_of(F.col("candidate")) == "venueid"
-    return scan_pages(one_landing(chosen.filter(_before_end()))).filter(
+    return scan_pages(one_landing(chosen.filter(_before_end()), summary)).filter(
         filtered | is_accepted(F.col("note"), F.col("conf"), F.col("year"), strict)
     )
 
@@ -330,25 +345,41 @@ def last_errors(attempts: DataFrame, k: int = fixed.ERROR_LINES_KEPT) -> DataFra
 # --- papers ---------------------------------------------------------------
 
 
-def paper_ids(matched: DataFrame) -> DataFrame:
+def _pair_starts(counts: DataFrame, pairs: DataFrame | None) -> DataFrame:
+    """(conf, year, _pair_n) -> (conf, year, _before_pair): the notes of all pairs before, as prefix sums in two levels.
+
+    Pairs are summed up inside blocks, and blocks, of which there are few, with each other.  With a column `ordinal` in
+    `pairs` blocks are ranges of it, else pairs are in alphabetical order and a block is a conference.
+    """
+    if pairs is None or "ordinal" not in pairs.columns:
+        blocked = counts.select("*", F.col("conf").alias("_block"), F.col("year").alias("_place"))
+    else:
+        places = pairs.groupBy(PAIR).agg(F.min("ordinal").alias("_place"))
+        blocked = counts.join(places, PAIR).withColumn("_block", F.floor(F.col("_place") / PAIRS_PER_BLOCK))
+    inside = F.sum("_pair_n").over(Window.partitionBy("_block").orderBy("_place", *PAIR)) - F.col("_pair_n")
+    blocks = blocked.groupBy("_block").agg(F.sum("_pair_n").alias("_block_n"))
+    earlier = blocks.select(F.col("_block").alias("_other"), F.col("_block_n").alias("_other_n"))
+    before = blocks.join(earlier, F.col("_other") < F.col("_block"), "left").groupBy("_block").agg(F.sum("_other_n").alias("_before"))
+    placed = blocked.withColumn("_inside", inside).join(before, "_block")
+    return placed.select(*PAIR, (F.col("_inside") + F.coalesce("_before", F.lit(0))).alias("_before_pair"))
+
+
+def paper_ids(matched: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Adds `id`: conf_year_noteid, or the running count of matched notes instead of a missing note id.
 
-    Notes with an id stay in their stage.  The count, which runs over (conf,
-    year, offset, position), is put together from pre-aggregated counts per pair
-    and per page and the position within one page; it carries keys only, so no
-    task sees more than one page's keys or one pair's page counts.
+    Notes with an id stay in their stage.  The count, which runs over pairs in the order of
+    `pairs.ordinal` (without it alphabetically), offset and position, is put together from
+    pre-aggregated counts per pair and per page and the position within one page; it carries
+    keys only, so no task sees more than one page's keys, one pair's page counts or one block
+    of pairs.
     """
     page = [*PAIR, "offset"]
     counted = matched.groupBy(page).agg(F.count("*").alias("_n"))
-    pairs = counted.groupBy(PAIR).agg(F.sum("_n").alias("_pair_n"))
-    before_pair = F.sum("_pair_n").over(Window.orderBy(*PAIR).rowsBetween(Window.unboundedPreceding, -1))
-    before_page = F.sum("_n").over(
-        Window.partitionBy(PAIR).orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    zero = F.lit(0).cast("bigint")
+    counts = counted.groupBy(PAIR).agg(F.sum("_n").alias("_pair_n"))
+    before_page = F.sum("_n").over(Window.partitionBy(PAIR).orderBy("offset")) - F.col("_n")
     starts = (
-        counted.withColumn("_before_page", F.coalesce(before_page, zero))
-        .join(pairs.withColumn("_before_pair", F.coalesce(before_pair, zero)), PAIR)
+        counted.withColumn("_before_page", before_page)
+        .join(_pair_starts(counts, pairs), PAIR)
         .select(*page, (F.col("_before_page") + F.col("_before_pair")).alias("_start"))
     )
     in_page = F.row_number().over(Window.partitionBy(page).orderBy("position")) - 1
