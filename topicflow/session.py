@@ -36,7 +36,17 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """
     path = new_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def discard(*steps: DataFrame) -> None:
+    """Delete what `materialize` wrote for these steps; nothing that reads them may run afterwards."""
+    for step in steps:
+        spark = step.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(step.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
