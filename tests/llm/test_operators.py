@@ -355,6 +355,13 @@ def test_host_rules_and_reputation(spark):
     assert host_reputation.judge(pages.filter("false"), outcomes, queries.RULES).collect() == []
 
 
+def test_blank_texts_have_no_tokens_and_stay(spark):
+    texts = [None, "", "   ", "\n", " \t\n ", "one", " two\x0bwords\n"]
+    df = spark.createDataFrame([(k, t, "en", "a") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: (r.tokens, r.probability if not r.tokens else None, r.sampled or r.tokens > 0) for r in raking.sample(df).collect()}
+    assert got == {**{k: (0, 1.0, True) for k in range(5)}, 5: (1, None, True), 6: (2, None, True)}
+
+
 def test_raking_meets_the_targets(spark, docs, rows, none):
     cells = spark.createDataFrame([(s, l, "t", 100 + 37 * k) for k, (s, l) in enumerate([(s, l) for s in ("a", "b", None) for l in ("x", "y")])], "source string, lang string, topic string, tokens long")
     targets = {"source": spark.createDataFrame([("a", 0.5), ("b", 0.3), (None, 0.2)], "source string, target double"), "lang": spark.createDataFrame([("x", 0.6), ("y", 0.4)], "lang string, target double")}

@@ -94,11 +94,12 @@ def sample(docs: DataFrame, budget_share: float = 0.5, powers: dict[str, float]
     given): below one, small values gain.  The cells' weights are raked to all three, and each document is drawn with its
     cell's probability, independently, by a hash of its doc_id; in expectation `budget_share` of all tokens stay.
 
-    Null source or lang is a value of its own.  Texts without words (null, empty) weigh nothing, are no sample's business
+    Null source or lang is a value of its own.  Texts without words (null, empty, blank) weigh nothing, are no sample's business
     and stay (probability one).  Rows without doc_id share one draw, as do rows that repeat a doc_id.
     """
     powers = powers or {"source": 0.5, "lang": 0.7, "topic": 1.0}
-    tokens = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", 0).otherwise(F.size(F.split(F.trim(F.regexp_replace("text", "[ \\t\\n\\x0B\\f\\r]+", " ")), " ")))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
+    tokens = F.size(words)
     rows = docs.select("doc_id", "source", "lang", topic_of().alias("topic"), tokens.cast("long").alias("tokens"))
     rows = materialize(rows, "documents")
     cells = materialize(rows.filter("tokens > 0").groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "cells")
