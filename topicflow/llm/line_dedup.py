@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicflow.llm.common import bitmap, components_of_buckets, mix64, odd_sketch, split_by_bitmap
-from topicflow.session import materialize
+from topicflow.session import discard, materialize
 
 SHINGLE = 7
 """Characters of a shingle: unrelated lines of prose share nearly none of this length."""
@@ -19,6 +19,13 @@ BANDS, ROWS = 24, 3
 """Of two lines at similarity 0.8, 3 in 10**8 share no band; at 0.85, 7 in 10**11."""
 SKETCH_LONGS = 16
 """64-bit words of an odd sketch; at 500 characters it rules out most pairs below similarity 0.76, at some 1,500 few."""
+GROUP_BYTES = 8 << 20
+"""Bytes of text for each group of band keys; a group has some two million of them at the most usual lines."""
+HELD_KEYS = 8_000_000
+"""Keys of a group after which those of very many lines are passed on."""
+HOT_KEY = 100_000
+DOCS_AT_ONCE = 2000
+PAIRS_AT_ONCE = 2000
 _STEP = 1 << 15
 _BLANK = " \t\x0b\x0c\r"
 """A line of these alone is blank."""
@@ -76,43 +83,132 @@ def likeness(a: str, b: str) -> float:
     return common / (len(x) + len(y) - common)
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """(h, g, doc_id, pos, keys): every line that is not blank, once per batch, by two hashes of its text."""
+def _distinct_lines(batch: pa.RecordBatch) -> dict[str, tuple[int, int]]:
+    """The lines of some documents that are not blank, each with its first place there."""
+    seen: dict[str, tuple[int, int]] = {}
+    texts = batch.column("text")
+    for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
+        if doc_id is None:
+            continue
+        for pos, line in enumerate((texts[k].as_py() or "").split("\n")):
+            if line.strip(_BLANK):
+                place = (doc_id, pos)
+                if line not in seen or place < seen[line]:
+                    seen[line] = place
+    return seen
+
+
+def _shared_set(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """One number for each run of ids, the same for runs of the same ids in any order."""
+    mixed = mix64(ids.view(np.uint64).copy())
+    return mix64(np.add.reduceat(mixed, starts) ^ np.add.reduceat(mix64(mixed), starts)).view(np.int64)
+
+
+def crowded(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, id) of the ids that share a key; buckets of the same ids, as copies make them in many bands, are one."""
+    order = np.argsort(keys, kind="stable")
+    keys, ids = keys[order], ids[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(keys)))
+    several = np.repeat(sizes > 1, sizes)
+    ids, sizes = ids[several], sizes[sizes > 1]
+    if not len(ids):
+        return ids, ids
+    names = np.repeat(_shared_set(ids, np.cumsum(sizes) - sizes), sizes)
+    pairs = np.unique(np.stack([names, ids]), axis=1)
+    return pairs[0], pairs[1]
+
+
+def _banded(docs: DataFrame, buckets: int) -> DataFrame:
+    """(key, id, doc_id, pos): lines by the numbers they get, with a key the members of buckets that hold several lines.
+
+    A line, once per batch of documents, gets a number of its own.  Its band keys go to one of `buckets` groups as plain
+    arrays, four bytes for a key and four for its line, and a task takes one group after the other.  Keys that very many
+    lines have are passed on as they come.
+    """
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
+        for whole in batches:
+            for first in range(0, len(whole), DOCS_AT_ONCE):
+                seen = _distinct_lines(whole.slice(first, DOCS_AT_ONCE))
+                if not seen:
+                    continue
+                keys = band_keys(list(seen)).view(np.uint64).ravel()
+                group = (keys % np.uint64(buckets)).astype(np.int32)
+                short = ((keys // np.uint64(buckets)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                line = np.repeat(np.arange(len(seen), dtype=np.uint32), BANDS)
+                order = np.argsort(group, kind="stable")
+                ends = np.searchsorted(group[order], np.arange(buckets + 1))
+                groups = np.flatnonzero(np.diff(ends))
+                columns = [
+                    [*groups.tolist(), int((number >> 33) + (number & 0xFFFFFFFF)) % buckets],
+                    [number] * (len(groups) + 1),
+                    [*(short[order[ends[g] : ends[g + 1]]].tobytes() for g in groups), None],
+                    [*(line[order[ends[g] : ends[g + 1]]].tobytes() for g in groups), None],
+                    [None] * len(groups) + [np.array([p[0] for p in seen.values()], "<i8").tobytes()],
+                    [None] * len(groups) + [np.array([p[1] for p in seen.values()], "<i4").tobytes()],
+                ]
+                kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["group", "number", "keys", "lines", "doc_ids", "places"])
+                number += len(seen)
+
+    names = ["key", "id", "doc_id", "pos"]
+
+    def members(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(ids))
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), none.cast(pa.int64()), none.cast(pa.int32())], names)
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, keys, ids, size, hot = -1, [], [], 0, np.zeros(0, np.uint32)
+
+        def hot_rows(k: np.ndarray, i: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+            is_hot = np.isin(k, hot)
+            name = mix64(k[is_hot].astype(np.uint64) * np.uint64(buckets) + np.uint64(group)).view(np.int64)
+            return members(name, i[is_hot]), k[~is_hot], i[~is_hot]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[str, tuple[int, int]] = {}
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                if doc_id is None:
+            for row in range(len(batch)):
+                at, number = batch.column("group")[row].as_py(), batch.column("number")[row].as_py()
+                if at != group:
+                    if keys:
+                        yield members(*crowded(np.concatenate(keys), np.concatenate(ids)))
+                    group, keys, ids, size, hot = at, [], [], 0, np.zeros(0, np.uint32)
+                found = batch.column("keys")[row].as_py()
+                if found is None:
+                    doc_ids = np.frombuffer(batch.column("doc_ids")[row].as_py(), "<i8")
+                    places = np.frombuffer(batch.column("places")[row].as_py(), "<i4")
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(doc_ids)).cast(pa.int64()), pa.array(number + np.arange(len(doc_ids))), pa.array(doc_ids), pa.array(places)], names)
                     continue
-                for pos, line in enumerate((text or "").split("\n")):
-                    if line.strip(_BLANK):
-                        place = (doc_id, pos)
-                        if line not in seen or place < seen[line]:
-                            seen[line] = place
-            lines = list(seen)
-            digests = [xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")) for line in lines]
-            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            keys = band_keys(lines)
-            offsets = pa.array(np.arange(len(lines) + 1, dtype=np.int32) * BANDS)
-            columns = [
-                pa.array(halves[:, 0]),
-                pa.array(halves[:, 1]),
-                pa.array([p[0] for p in seen.values()], pa.int64()),
-                pa.array([p[1] for p in seen.values()], pa.int32()),
-                pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["h", "g", "doc_id", "pos", "keys"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "h long, g long, doc_id long, pos int, keys array<long>")
-
-
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, line) of the lines asked for; only documents that may hold one of them move."""
-    wanted = ids.select("id.doc_id", "id.pos").groupBy("doc_id").agg(F.collect_set("pos").alias("asked"))
-    there, _ = split_by_bitmap(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", bitmap(wanted, "doc_id"))
-    lines = there.join(wanted, "doc_id").select("doc_id", F.explode("asked").alias("pos"), F.split("text", "\n").alias("lines"))
-    return lines.select(F.struct("doc_id", "pos").alias("id"), F.get("lines", F.col("pos")).alias("line"))
+                k = np.frombuffer(found, "<u4")
+                i = number + np.frombuffer(batch.column("lines")[row].as_py(), "<u4").astype(np.int64)
+                if len(hot):
+                    rows, k, i = hot_rows(k, i)
+                    yield rows
+                keys.append(k)
+                ids.append(i)
+                size += len(k)
+                if size > HELD_KEYS:
+                    k, i = np.concatenate(keys), np.concatenate(ids)
+                    values, counts = np.unique(k, return_counts=True)
+                    hot = np.union1d(hot, values[counts > HOT_KEY])
+                    rows, k, i = hot_rows(k, i)
+                    yield rows
+                    keys, ids, size = [k], [i], 0  # so that the next look is as far away
+        if keys:
+            yield members(*crowded(np.concatenate(keys), np.concatenate(ids)))
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    dealt = rows.mapInArrow(signed, "group int, number long, keys binary, lines binary, doc_ids binary, places binary").repartition(buckets, "group")
+    return dealt.sortWithinPartitions("group").mapInArrow(met, "key long, id long, doc_id long, pos int")
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, line) of the lines (id, doc_id, pos) asked for; few of the others move."""
+    place = F.xxhash64("doc_id", "pos").alias("place")
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("*", place)
+    there, _ = split_by_bitmap(lines, "place", bitmap(wanted.select(place), "place"))
+    return there.join(wanted, ["doc_id", "pos"]).select("id", "line")
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
@@ -129,44 +225,93 @@ def _sketches(texts: DataFrame) -> DataFrame:
             columns = [batch.column("id"), pa.array(counts, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n", "sketch"])
 
-    return texts.mapInArrow(run, "id struct<doc_id:bigint,pos:int>, n long, sketch array<long>")
+    return texts.mapInArrow(run, "id long, n long, sketch array<long>")
+
+
+def likenesses(left: list[str], right: list[str]) -> np.ndarray:
+    """Jaccard similarity of the shingles of each two lines; shingles are told apart by 64-bit hashes."""
+    known = {line: k for k, line in enumerate(dict.fromkeys([*left, *right]))}
+    part = [line.ljust(SHINGLE, "\0") for line in known]
+    lengths = np.fromiter(map(len, part), np.int64, len(part))
+    hashes = _hashes(np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32))
+    inside = np.ones(int(lengths.sum()), bool)
+    ends = np.cumsum(lengths)
+    for k in range(1, SHINGLE):
+        inside[ends - k] = False
+    owner = np.repeat(np.arange(len(part)), lengths - SHINGLE + 1)
+    hashes = hashes[inside[: len(hashes)]]
+    order = np.lexsort((hashes, owner))
+    owner, hashes = owner[order], hashes[order]
+    first = np.concatenate([[True], (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])])
+    owner, hashes = owner[first], hashes[first]
+    starts = np.searchsorted(owner, np.arange(len(part) + 1))
+    sizes = np.diff(starts)
+    out = np.empty(len(left))
+    for p, (x, y) in enumerate(zip(map(known.__getitem__, left), map(known.__getitem__, right))):
+        if x == y:
+            out[p] = 1.0
+            continue
+        a, b = hashes[starts[x] : starts[x + 1]], hashes[starts[y] : starts[y + 1]]
+        at = np.searchsorted(a, b)
+        at[at == len(a)] = 0
+        common = np.count_nonzero(a[at] == b)
+        out[p] = common / (sizes[x] + sizes[y] - common)
+    return out
 
 
 def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, likeness) of the lines of each pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [likeness(x or "", y or "") for x, y in zip(batch.column("la").to_pylist(), batch.column("lb").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], ["a", "b", "likeness"])
+        for whole in batches:
+            for k in range(0, len(whole), PAIRS_AT_ONCE):
+                batch = whole.slice(k, PAIRS_AT_ONCE)
+                found = likenesses(*([x or "" for x in batch.column(c).to_pylist()] for c in ("la", "lb")))
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], ["a", "b", "likeness"])
 
-    kind = "struct<doc_id:bigint,pos:int>"
     left = texts.select(F.col("id").alias("a"), F.col("line").alias("la"))
     right = texts.select(F.col("id").alias("b"), F.col("line").alias("lb"))
-    sized = pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb").mapInArrow(run, f"a {kind}, b {kind}, likeness double")
+    sized = pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb").mapInArrow(run, "a long, b long, likeness double")
     return sized.groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
 
 
 def kept_lines(docs: DataFrame, bound: float = 0.8) -> DataFrame:
     """(doc_id, kept): places of the lines that stay, for documents with a line that is not blank."""
-    # an equal line is named by its first place: smallest doc_id, then place in the text
-    distinct = materialize(
-        _occurrences(docs).groupBy("h", "g").agg(F.min(F.struct("doc_id", "pos")).alias("id"), F.first("keys").alias("keys")).select("id", "keys"), "lines"
-    )
-    shared = distinct.select("id", F.lit(1).alias("n"), F.posexplode("keys").alias("band", "key"))  # sizes are not compared
-    crowded = materialize(shared.groupBy("key").agg(F.count("*").alias("met")).filter("met > 1").select("key"), "crowded")
-    there, _ = split_by_bitmap(shared, "key", bitmap(crowded, "key"))  # so that few of the other members move
-    members = materialize(there.join(crowded, "key").select(*shared.columns), "members")
-    texts = materialize(_texts(docs, members.select("id").distinct()), "candidates")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    banded = materialize(_banded(docs, max(1, -(-size // GROUP_BYTES))), "banded")
+    places = banded.filter("doc_id IS NOT NULL").select("id", "doc_id", "pos")
+    members = materialize(banded.filter("key IS NOT NULL").select("key", "id").distinct(), "members")
+    wanted = materialize(places.join(members.select("id").distinct(), "id"), "wanted")
+    texts = materialize(_texts(docs, wanted), "candidates")
 
     def compare(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = materialize(_compared(pairs, texts), "compared")
         return found.select("a", "b"), found.withColumn("linked", F.col("likeness") >= bound - 1e-12)
 
-    roots = components_of_buckets(members, compare, bound, _sketches(texts), SKETCH_LONGS)
+    shared = members.select("id", F.lit(1).alias("n"), F.lit(0).alias("band"), "key")  # sizes are not compared
+    roots = components_of_buckets(shared, compare, bound, _sketches(texts), SKETCH_LONGS)
 
-    stays = distinct.select("id").join(roots, "id", "left_anti")
-    return stays.select("id.doc_id", "id.pos").groupBy("doc_id").agg(F.collect_set("pos").alias("kept"))
+    # of every component the line with the first place stays
+    linked = roots.select("id", "root").unionByName(roots.select(F.col("root").alias("id"), "root")).distinct().join(wanted, "id")
+    first = linked.groupBy("root").agg(F.min(F.struct("doc_id", "pos", "id")).alias("first")).select("root", F.col("first.id").alias("stays"))
+    gone = linked.join(first, "root").filter("id <> stays").select("id")
+    kept = places.join(gone, "id", "left_anti").groupBy("doc_id").agg(F.collect_set("pos").alias("kept"))
+    kept = materialize(kept, "kept-lines")
+    discard(banded, members, wanted, texts)
+    return kept
+
+
+def not_blank(line: Column) -> Column:
+    return line.rlike("[^ \\t\\x0B\\f\\r]")
+
+
+def left_lines(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """(row, lines, left): every row of `docs` with a doc_id, whole, its lines, and those of them that stay."""
+    rows = docs.filter("doc_id IS NOT NULL").select(F.struct("*").alias("row"))
+    found = rows.join(kept.select(F.col("doc_id").alias("named"), "kept"), F.col("row")["doc_id"] == F.col("named"), "left")
+    places = F.coalesce("kept", F.array().cast("array<int>"))
+    split = found.select("row", F.split(F.coalesce(F.col("row")["text"], F.lit("")), "\n").alias("lines"), places.alias("places"))
+    return split.select("row", "lines", F.filter("lines", lambda x, k: ~not_blank(x) | F.array_contains(F.col("places"), k)).alias("left"))
 
 
 def dedup_lines(docs: DataFrame, bound: float = 0.8) -> DataFrame:
@@ -180,20 +325,14 @@ def dedup_lines(docs: DataFrame, bound: float = 0.8) -> DataFrame:
     A null text stays null with no lines, an empty one empty.  Rows without doc_id take no part and stay whole.  Rows that
     repeat a doc_id and text share the decisions.  A document that loses every line keeps its blank lines.
     """
-    kept = materialize(kept_lines(docs, bound), "kept-lines")
     rows = docs.select("doc_id", "text")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    blank = lambda x: ~x.rlike("[^ \\t\\x0B\\f\\r]")
-    count = F.size(F.filter(lines, lambda x: ~blank(x)))
-    known = rows.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left")
-    places = F.coalesce("kept", F.array().cast("array<int>"))
-    left = F.filter(F.col("lines"), lambda x, k: blank(x) | F.array_contains(F.col("places"), k))
-    known = known.select("doc_id", "text", lines.alias("lines"), places.alias("places")).select("doc_id", "text", "lines", left.alias("left"))
+    row, known = F.col("row"), left_lines(rows, kept_lines(docs, bound))
     known = known.select(
-        "doc_id",
-        F.size(F.filter("lines", lambda x: ~blank(x))).cast("long").alias("n_lines"),
+        row["doc_id"].alias("doc_id"),
+        F.size(F.filter("lines", not_blank)).cast("long").alias("n_lines"),
         (F.size("lines") - F.size("left")).cast("long").alias("n_removed"),
-        F.when(F.col("text").isNotNull(), F.array_join("left", "\n")).alias("text"),
+        F.when(row["text"].isNotNull(), F.array_join("left", "\n")).alias("text"),
     )
+    count = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), not_blank))
     unknown = rows.filter("doc_id IS NULL").select("doc_id", count.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), "text")
     return known.unionByName(unknown)
