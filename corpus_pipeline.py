@@ -28,15 +28,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     `n_chars` is counted anew.  Rows that share a doc_id must share their text, as one decision holds for both.
     """
-    kept = line_dedup.kept_lines(docs)
-    blank = lambda x: ~x.rlike("[^ \\t\\x0B\\f\\r]")
-    known = docs.filter("doc_id IS NOT NULL").join(materialize(kept, "kept-lines"), "doc_id", "left")
-    places = F.coalesce("kept", F.array().cast("array<int>"))
-    known = known.withColumn("_lines", F.split("text", "\n")).withColumn("_places", places)
-    left = F.array_join(F.filter("_lines", lambda x, k: blank(x) | F.array_contains(F.col("_places"), k)), "\n")
-    lost = F.exists("_lines", lambda x: ~blank(x)) & F.col("kept").isNull()
-    known = known.filter(F.coalesce(~lost, F.lit(True))).withColumn("text", left)
-    known = known.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    found = line_dedup.left_lines(docs, line_dedup.kept_lines(docs))
+    row, text = F.col("row"), F.array_join("left", "\n")
+    lost = F.exists("lines", line_dedup.not_blank) & ~F.exists("left", line_dedup.not_blank)
+    new = {"text": F.when(row["text"].isNotNull(), text), "n_chars": F.when(row["text"].isNotNull(), F.length(text).cast("long"))}
+    known = found.filter(~lost).select([new.get(c, row[c]).alias(c) for c in docs.columns])
     return known.unionByName(docs.filter("doc_id IS NULL"))
 
 
