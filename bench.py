@@ -2,10 +2,13 @@
 
 BENCH_SF_DIR: folder of the tables (default /root/testdata/sf0.1)
 BENCH_CPUS:   cores (default 8)
+
+A query's time is the median of RUNS runs, of which the first also compiles its code.
 """
 
 import json
 import os
+import statistics
 import time
 
 from checks.compare import session
@@ -13,11 +16,13 @@ from checks.registry import QUERIES
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
+RUNS = 3
 HEADLINE = (
     "classify_rules",
     "classify_rules_all",
     "classify_custom",
     "classify_many",
+    "regex_join",
     "match_evidence_builtin",
     "filter_topic_default",
     "filter_topic_custom",
@@ -51,7 +56,7 @@ def main() -> None:
     spark = session(CPUS)
     documents = spark.read.parquet(f"{SF_DIR}/documents.parquet").count()
     run(spark, HEADLINE[0])  # warm-up: JVM, file listing, code generation
-    seconds = {name: round(run(spark, name), 3) for name in HEADLINE}
+    seconds = {name: round(statistics.median(run(spark, name) for _ in range(RUNS)), 3) for name in HEADLINE}
     print(
         json.dumps(
             {
