@@ -238,27 +238,27 @@ def likenesses(left: list[str], right: list[str]) -> np.ndarray:
     ends = np.cumsum(lengths)
     for k in range(1, SHINGLE):
         inside[ends - k] = False
-    owner = np.repeat(np.arange(len(part)), lengths - SHINGLE + 1)
     hashes = hashes[inside[: len(hashes)]]
-    order = np.lexsort((hashes, owner))
-    owner, hashes = owner[order], hashes[order]
-    first = np.concatenate([[True], (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])])
-    owner, hashes = owner[first], hashes[first]
-    starts = np.searchsorted(owner, np.arange(len(part) + 1))
-    sizes = np.diff(starts)
+    ends = np.cumsum(lengths - SHINGLE + 1).tolist()
+    sets = [_sorted_set(hashes[first:last]) for first, last in zip([0, *ends], ends)]
     out = np.empty(len(left))
     for p, (x, y) in enumerate(zip(map(known.__getitem__, left), map(known.__getitem__, right))):
         if x == y:
             out[p] = 1.0
             continue
-        a, b = hashes[starts[x] : starts[x + 1]], hashes[starts[y] : starts[y + 1]]
-        at = np.searchsorted(a, b)
-        at[at == len(a)] = 0
-        common = np.count_nonzero(a[at] == b)
-        out[p] = common / (sizes[x] + sizes[y] - common)
+        a, b = sets[x], sets[y]
+        both = np.concatenate([a, b])
+        both.sort(kind="stable")  # two sorted runs are merged
+        common = int(np.count_nonzero(both[1:] == both[:-1]))
+        out[p] = common / (len(both) - common)
     return out
 
 
+def _sorted_set(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])]
+
+
 def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, likeness) of the lines of each pair."""
 
