@@ -1,5 +1,6 @@
 """The shared folder and the materialising step every job uses."""
 
+import gc
 import tempfile
 import uuid
 
@@ -49,6 +50,15 @@ def discard(*steps: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: Spark then deletes the shuffle files of finished steps.
+
+    Between long steps on much data; otherwise those files stay until the driver happens to need memory.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A small scan dealt out to all cores; a large one as it is.
 
