@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicflow.llm.common import bitmap, components_of_buckets, mix64, odd_sketch, split_by_bitmap
-from topicflow.session import discard, materialize
+from topicflow.session import discard, materialize, release_shuffles
 
 SHINGLE = 7
 """Characters of a shingle: unrelated lines of prose share nearly none of this length."""
@@ -279,13 +279,21 @@ def kept_lines(docs: DataFrame, bound: float = 0.8) -> DataFrame:
     """(doc_id, kept): places of the lines that stay, for documents with a line that is not blank."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     banded = materialize(_banded(docs, max(1, -(-size // GROUP_BYTES))), "banded")
-    places = banded.filter("doc_id IS NOT NULL").select("id", "doc_id", "pos")
+    spark = docs.sparkSession
+    places = materialize(banded.filter("doc_id IS NOT NULL").select("id", "doc_id", "pos"), "places")
     members = materialize(banded.filter("key IS NOT NULL").select("key", "id").distinct(), "members")
+    discard(banded)
     wanted = materialize(places.join(members.select("id").distinct(), "id"), "wanted")
+    release_shuffles(spark)
     texts = materialize(_texts(docs, wanted), "candidates")
+    release_shuffles(spark)
 
     def compare(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        pairs = materialize(pairs, "pairs")
+        release_shuffles(spark)
         found = materialize(_compared(pairs, texts), "compared")
+        discard(pairs)
+        release_shuffles(spark)
         return found.select("a", "b"), found.withColumn("linked", F.col("likeness") >= bound - 1e-12)
 
     shared = members.select("id", F.lit(1).alias("n"), F.lit(0).alias("band"), "key")  # sizes are not compared
@@ -297,7 +305,8 @@ def kept_lines(docs: DataFrame, bound: float = 0.8) -> DataFrame:
     gone = linked.join(first, "root").filter("id <> stays").select("id")
     kept = places.join(gone, "id", "left_anti").groupBy("doc_id").agg(F.collect_set("pos").alias("kept"))
     kept = materialize(kept, "kept-lines")
-    discard(banded, members, wanted, texts)
+    discard(places, members, wanted, texts)
+    release_shuffles(spark)
     return kept
 
 
