@@ -22,7 +22,6 @@ HEADLINE = (
     "classify_rules_all",
     "classify_custom",
     "classify_many",
-    "regex_join",
     "match_evidence_builtin",
     "filter_topic_default",
     "filter_topic_custom",
