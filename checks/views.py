@@ -144,10 +144,11 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("category_key") == "custom_3", "Deixis")
         .otherwise(CUSTOM_DEFAULT_LABEL)
     )
+    # hashed where the texts lie: only hashes meet the labels
+    hashes = papers(spark, sf_dir).select(paper_hash(F.col("title"), F.col("abstract")).alias("paper_hash"), "doc_id")
     return (
-        papers(spark, sf_dir)
-        .join(table(spark, sf_dir, "labels"), "doc_id")
-        .select(paper_hash(F.col("title"), F.col("abstract")).alias("paper_hash"), "doc_id", key.alias("category_key"))
+        hashes.join(table(spark, sf_dir, "labels"), "doc_id")
+        .select("paper_hash", "doc_id", key.alias("category_key"))
         .groupBy("paper_hash")
         .agg(F.min(F.struct("doc_id", "category_key")).alias("p"))
         .select("paper_hash", "p.*")

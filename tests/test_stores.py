@@ -185,6 +185,34 @@ def prompts(spark, batches):
     return spark.createDataFrame(rows, "bucket int, batch_no int, ids array<string>, prompt string").coalesce(1)
 
 
+def test_prompts_of_a_table_scorer_are_built_once(spark):
+    """Neither the scorer nor the ids that its responses meet collect the texts of a batch again."""
+    stored = spark.createDataFrame([("1", "k", 0.9, "r", None)], "id string, category_key string, confidence double, reasoning string, error string")
+    rows = [(0, k // 2, k % 2, str(k), f"h{k}", f"title {k}", None) for k in range(5)]
+    batched = spark.createDataFrame(rows, "bucket int, batch_no int, position int, id string, paper_hash string, title string, abstract string")
+    responses = scoring.apply_scorer(scoring.build_prompts(batched, "d"), scoring.predictions_scorer(stored))
+    assert not exchanges_with(responses, "title") and "Paper ID" not in plan_of(responses)
+    got = {(r.batch_no, tuple(r.ids)): len(json.loads(r.response)["classifications"]) for r in responses.collect()}
+    assert got == {(0, ("0", "1")): 1, (1, ("2", "3")): 0, (2, ("4",)): 0}
+
+
+def test_predictions_move_no_text(spark, tmp_path):
+    """The checks' predictions: texts are hashed before their hashes meet the labels."""
+    from checks import views
+
+    spark.createDataFrame([(k, f"title {k % 3}\nabstract", "en", "web") for k in range(9)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(5)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = views.predictions(spark, str(tmp_path))
+        moved = [part for part in _formatted(found).split("\n\n") if ") Exchange" in part and "abstract" in part]
+        assert not moved
+        assert sorted(r.reasoning for r in found.collect()) == ["seen in 0", "seen in 1", "seen in 2"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_shipped_scorer(spark, setup):
     stored = spark.createDataFrame(
         [("1", "custom_1", 0.9, "r", None), ("1", "custom_2", 0.8, "greater", None), ("2", None, None, None, None), ("4", "custom_1", 1.0, "r", "refused 4"), ("5", "k", 0.3, "r", "refused 5"), ("9", "k", 1.0, "not asked", None)],

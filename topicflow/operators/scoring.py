@@ -171,9 +171,11 @@ def apply_scorer(prompts: DataFrame, scorer: Scorer | TableScorer) -> DataFrame:
     list of classifications for it.  If it raises, or returns more or fewer responses
     than it got batches, the batches of the call are tried one by one, and those for
     which that happens again fail with the error as their response.  A `TableScorer`
-    is a job over all batches instead.
+    is a job over all batches instead, which are written first: it and the ids that its
+    responses are joined to read them, and the texts do not move once more for each.
     """
     if isinstance(scorer, TableScorer):
+        prompts = materialize(prompts, "prompts")
         responses = scorer.respond(prompts).select("bucket", "batch_no", "response")
         return prompts.select("bucket", "batch_no", "ids").join(responses, ["bucket", "batch_no"], "left")
 
