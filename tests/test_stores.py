@@ -62,6 +62,27 @@ def test_unprocessed_papers(spark, max_rows):
         assert not exchanges_with(left, "abstract")
 
 
+def test_chunks_read_once_write_their_texts_once(spark, monkeypatch):
+    """Without `reread` nothing but the results is written; what is classified is the same."""
+    df, wrote, write = papers(spark, 60), [], resume.materialize
+    monkeypatch.setattr(resume, "materialize", lambda part, name: wrote.append(name) or write(part, name))
+    for reread in (True, False):
+        wrote.clear()
+        path = new_dir(spark, "results")
+        for _ in range(2):
+            resume.in_chunks(df, path, 3, lambda todo: todo.withColumn("category_key", F.lit("k")), reread)
+        assert ("chunk" in wrote) == reread
+        assert sorted(r.id for r in tables.read_committed(spark, path).collect()) == sorted(f"p{k}" for k in range(60))
+
+
+def test_more_ids_than_rows_are_broadcast(spark):
+    """Done and new ids above the bound for rows, but few bytes: the texts stay where they are."""
+    done = spark.range(150_000).select(F.concat(F.lit("p"), F.col("id")).alias("id"))
+    left = resume.filter_unprocessed(papers(spark, 120_000, 149_990), done)
+    assert "BroadcastHashJoin" in plan_of(left) and not exchanges_with(left, "abstract")
+    assert {r.id for r in left.select("id").collect()} == {f"p{k}" for k in range(150_000, 269_990)}
+
+
 def test_bucketed_tables_are_joined_without_moving_a_text(spark):
     stored, results = new_dir(spark, "papers"), new_dir(spark, "results")
     tables.write_bucketed(papers(spark, 300), stored, "id", 8)

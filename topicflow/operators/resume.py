@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from topicflow.functions.text import paper_hash
-from topicflow.operators.joins import MAX_BROADCAST_ROWS, is_small
+from topicflow.operators.joins import is_small
 from topicflow.session import materialize
 from topicflow.sources import tables
 
 CHUNKS = 10
 
+MAX_BROADCAST_IDS = 1_000_000
+"""Ids alone are short: more of them than of other rows are broadcast, within the same bytes."""
+
 
 def fingerprint(
     rows: list[Row] | None, topic: str | None, default_label: str = "", threshold: float | None = None, scorer: str = "", classifier: str = ""
@@ -27,7 +30,7 @@ def processed_ids(results: DataFrame) -> DataFrame:
     return results.select("id").distinct()
 
 
-def filter_unprocessed(papers: DataFrame, results: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def filter_unprocessed(papers: DataFrame, results: DataFrame, max_rows: int = MAX_BROADCAST_IDS) -> DataFrame:
     """Papers without an earlier result, found by ids; texts stay where they are if they can.
 
     Few earlier results are broadcast.  Otherwise ids alone meet in an anti join, and if few papers are new, their ids
@@ -49,7 +52,7 @@ def chunk_of(chunks: int) -> Column:
     return F.floor(head * chunks / F.lit(1 << 32)).cast("int")
 
 
-def in_chunks(papers: DataFrame, path: str, chunks: int, classify: Callable[[DataFrame], DataFrame]) -> None:
+def in_chunks(papers: DataFrame, path: str, chunks: int, classify: Callable[[DataFrame], DataFrame], reread: bool = True) -> None:
     """Classify the papers without a committed result under `path`, one range of hashes after the other.
 
     Every chunk is written and then marked, and only marked chunks count.  A run that stops in between has kept the
@@ -59,7 +62,8 @@ def in_chunks(papers: DataFrame, path: str, chunks: int, classify: Callable[[Dat
         part = papers.filter(chunk_of(chunks) == chunk) if chunks > 1 else papers
         todo = filter_unprocessed(part, tables.read_committed(papers.sparkSession, path))
         if chunks > 1:
-            todo = materialize(todo, "chunk")
+            if reread:
+                todo = materialize(todo, "chunk")
             if todo.isEmpty():
                 continue
         tables.commit_results(classify(todo), path, chunk, chunks)

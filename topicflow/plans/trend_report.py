@@ -130,7 +130,8 @@ def classify_papers(
         return classify(papers)
     kind = scoring.scorer_name(scorer) or ("predictions" if predictions is not None else "")
     path = f"{results_path}/{setup.fingerprint(threshold, kind, scoring.scorer_name(classifier))}"
-    resume.in_chunks(papers, path, chunks or (1 if scorer is None else resume.CHUNKS), classify)
+    reread = scorer is not None or predictions is not None
+    resume.in_chunks(papers, path, chunks or (1 if scorer is None else resume.CHUNKS), classify, reread)
     results = tables.read_committed(spark, path).drop("written_at")
     return results if keep_earlier else results.join(papers.select("id"), "id", "left_semi")
 
