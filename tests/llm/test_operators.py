@@ -221,6 +221,30 @@ def test_line_dedup_loses_no_link_at_the_bound(spark):
     assert {r.doc_id: r.text for r in got} == {k: t if k < 10 else "" for k, t in data}
 
 
+def test_lines_that_share_little_seldom_meet():
+    """Pairs at similarity 0.125, as chance makes them: a large table has far more of these than of others."""
+    letters = np.random.default_rng(12).integers(97, 123, (20_000, 2, 69)).astype(np.uint8)
+    letters[:, 1, :20] = letters[:, 0, :20]
+    left, right = (line_dedup.band_keys([bytes(row).decode() for row in letters[:, k]]) for k in (0, 1))
+    assert (left == right).any(axis=1).mean() < 0.015
+
+
+def test_equal_lines_are_not_compared(spark, monkeypatch):
+    pairs, compared = [], line_dedup._compared
+
+    def seen(found, texts):
+        pairs.extend(found.collect())
+        return compared(found, texts)
+
+    monkeypatch.setattr(line_dedup, "_compared", seen)
+    text = "this line is in every document, whole and unchanged"
+    near = [f"another line that is in all of them but for its end {k}" for k in (1, 2)]
+    docs = spark.createDataFrame([(k, f"{text}\n{near[k % 2]}\n{text}") for k in range(60)], "doc_id long, text string").repartition(12)
+    got = line_dedup.dedup_lines(docs).collect()
+    assert {r.doc_id: (r.n_removed, r.text) for r in got} == {k: (3, "") if k else (1, f"{text}\n{near[0]}") for k in range(60)}
+    assert len(pairs) == 1
+
+
 def test_line_dedup_of_nothing(none):
     assert line_dedup.dedup_lines(none).collect() == []
 

@@ -6,8 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicflow.llm.common import bitmap, components_of_buckets, mix64, odd_sketch, split_by_bitmap
@@ -15,8 +16,9 @@ from topicflow.session import discard, materialize, release_shuffles
 
 SHINGLE = 7
 """Characters of a shingle: unrelated lines of prose share nearly none of this length."""
-BANDS, ROWS = 24, 3
-"""Of two lines at similarity 0.8, 3 in 10**8 share no band; at 0.85, 7 in 10**11."""
+BANDS, ROWS = 33, 4
+"""Of two lines at similarity 0.8, 3 in 10**8 share no band; at 0.85, 3 in 10**11.  Three rows need fewer bands, but then
+lines of one language that share a few shingles by chance meet, and their number grows with the square of the input."""
 SKETCH_LONGS = 16
 """64-bit words of an odd sketch; at 500 characters it rules out most pairs below similarity 0.76, at some 1,500 few."""
 GROUP_BYTES = 8 << 20
@@ -25,14 +27,17 @@ HELD_KEYS = 8_000_000
 """Keys of a group after which those of very many lines are passed on."""
 HOT_KEY = 100_000
 DOCS_AT_ONCE = 2000
+LINES_AT_ONCE = 1 << 16
+"""Lines numbered together, in two bytes."""
 PAIRS_AT_ONCE = 2000
-_STEP = 1 << 15
+_STEP = 1 << 14
+_AT_ONCE = 12
+"""Hash functions applied together; their values stay in the processor's cache."""
 _BLANK = " \t\x0b\x0c\r"
 """A line of these alone is blank."""
 
 _random = np.random.default_rng(7)
 _FACTORS = (_random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | 1).astype(np.uint32)
-_MASKS = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
 
 
 def _hashes(codes: np.ndarray) -> np.ndarray:
@@ -62,11 +67,9 @@ def band_keys(lines: list[str]) -> np.ndarray:
             inside[ends - k] = False
         base = (hashes >> np.uint64(32)).astype(np.uint32)[inside[: len(hashes)]]
         starts = np.cumsum(lengths - SHINGLE + 1) - (lengths - SHINGLE + 1)
-        buffer = np.empty_like(base)
-        for k, (factor, mask) in enumerate(zip(_FACTORS, _MASKS)):
-            np.bitwise_xor(base, mask, out=buffer)
-            np.multiply(buffer, factor, out=buffer)
-            least[first:last, k] = np.minimum.reduceat(buffer, starts)
+        for k in range(0, BANDS * ROWS, _AT_ONCE):  # base is mixed already, so a product with an odd number orders it anew
+            products = base[None, :] * _FACTORS[k : k + _AT_ONCE, None]
+            least[first:last, k : k + _AT_ONCE] = np.minimum.reduceat(products, starts, axis=1).T
         first = last
     minima = least.reshape(len(lines), BANDS, ROWS)
     keys = np.tile(np.arange(BANDS, dtype=np.uint64), (len(lines), 1))  # so that no two bands share a key
@@ -105,8 +108,9 @@ def _shared_set(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def crowded(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, id) of the ids that share a key; buckets of the same ids, as copies make them in many bands, are one."""
-    order = np.argsort(keys, kind="stable")
+    """(bucket, id) of the ids that share a key of four bytes; buckets of the same ids, as copies make them in many bands, are one."""
+    # keys and places in one number, as plain numbers are sorted several times faster than places by a key
+    order = (np.sort(keys.astype(np.uint64) << np.uint64(32) | np.arange(len(keys), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     keys, ids = keys[order], ids[order]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(starts, len(keys)))
@@ -115,49 +119,53 @@ def crowded(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(ids):
         return ids, ids
     names = np.repeat(_shared_set(ids, np.cumsum(sizes) - sizes), sizes)
-    pairs = np.unique(np.stack([names, ids]), axis=1)
-    return pairs[0], pairs[1]
+    order = np.lexsort((ids, names))
+    names, ids = names[order], ids[order]
+    new = np.concatenate([[True], (names[1:] != names[:-1]) | (ids[1:] != ids[:-1])])
+    return names[new], ids[new]
 
 
 def _banded(docs: DataFrame, buckets: int) -> DataFrame:
-    """(key, id, doc_id, pos): lines by the numbers they get, with a key the members of buckets that hold several lines.
+    """(key, id, doc_id, pos, h1, h2): lines by the numbers they get, with a key the members of buckets that hold several lines.
 
     A line, once per batch of documents, gets a number of its own.  Its band keys go to one of `buckets` groups as plain
-    arrays, four bytes for a key and four for its line, and a task takes one group after the other.  Keys that very many
-    lines have are passed on as they come.
+    arrays, four bytes for a key and two for its line, and a task takes one group after the other.  Keys that very many
+    lines have are passed on as they come.  h1 and h2 are the two halves of the line's 128-bit hash.
     """
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
         for whole in batches:
             for first in range(0, len(whole), DOCS_AT_ONCE):
-                seen = _distinct_lines(whole.slice(first, DOCS_AT_ONCE))
-                if not seen:
-                    continue
-                keys = band_keys(list(seen)).view(np.uint64).ravel()
-                group = (keys % np.uint64(buckets)).astype(np.int32)
-                short = ((keys // np.uint64(buckets)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                line = np.repeat(np.arange(len(seen), dtype=np.uint32), BANDS)
-                order = np.argsort(group, kind="stable")
-                ends = np.searchsorted(group[order], np.arange(buckets + 1))
-                groups = np.flatnonzero(np.diff(ends))
-                columns = [
-                    [*groups.tolist(), int((number >> 33) + (number & 0xFFFFFFFF)) % buckets],
-                    [number] * (len(groups) + 1),
-                    [*(short[order[ends[g] : ends[g + 1]]].tobytes() for g in groups), None],
-                    [*(line[order[ends[g] : ends[g + 1]]].tobytes() for g in groups), None],
-                    [None] * len(groups) + [np.array([p[0] for p in seen.values()], "<i8").tobytes()],
-                    [None] * len(groups) + [np.array([p[1] for p in seen.values()], "<i4").tobytes()],
-                ]
-                kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["group", "number", "keys", "lines", "doc_ids", "places"])
-                number += len(seen)
-
-    names = ["key", "id", "doc_id", "pos"]
+                seen = list(_distinct_lines(whole.slice(first, DOCS_AT_ONCE)).items())
+                for start in range(0, len(seen), LINES_AT_ONCE):
+                    part = seen[start : start + LINES_AT_ONCE]
+                    keys = band_keys([text for text, _ in part]).view(np.uint64).ravel()
+                    group = (keys % np.uint64(buckets)).astype(np.int32)
+                    short = ((keys // np.uint64(buckets)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                    line = np.repeat(np.arange(len(part), dtype=np.uint16), BANDS)
+                    order = np.argsort(group, kind="stable")
+                    ends = np.searchsorted(group[order], np.arange(buckets + 1))
+                    groups = np.flatnonzero(np.diff(ends))
+                    digests = b"".join(xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")) for text, _ in part)
+                    columns = [
+                        [*groups.tolist(), int((number >> 33) + (number & 0xFFFFFFFF)) % buckets],
+                        [number] * (len(groups) + 1),
+                        [*(short[order[ends[g] : ends[g + 1]]].tobytes() for g in groups), None],
+                        [*(line[order[ends[g] : ends[g + 1]]].tobytes() for g in groups), None],
+                        [None] * len(groups) + [np.array([p[0] for _, p in part], "<i8").tobytes()],
+                        [None] * len(groups) + [np.array([p[1] for _, p in part], "<i4").tobytes()],
+                        [None] * len(groups) + [digests],
+                    ]
+                    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["group", "number", "keys", "lines", "doc_ids", "places", "digests"])
+                    number += len(part)
+
+    names = ["key", "id", "doc_id", "pos", "h1", "h2"]
 
     def members(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-        none = pa.nulls(len(ids))
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), none.cast(pa.int64()), none.cast(pa.int32())], names)
+        none = pa.nulls(len(ids), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), none, none.cast(pa.int32()), none, none], names)
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, keys, ids, size, hot = -1, [], [], 0, np.zeros(0, np.uint32)
@@ -178,10 +186,12 @@ def _banded(docs: DataFrame, buckets: int) -> DataFrame:
                 if found is None:
                     doc_ids = np.frombuffer(batch.column("doc_ids")[row].as_py(), "<i8")
                     places = np.frombuffer(batch.column("places")[row].as_py(), "<i4")
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(doc_ids)).cast(pa.int64()), pa.array(number + np.arange(len(doc_ids))), pa.array(doc_ids), pa.array(places)], names)
+                    halves = np.frombuffer(batch.column("digests")[row].as_py(), "<i8").reshape(-1, 2)
+                    known = [number + np.arange(len(doc_ids)), doc_ids, places, halves[:, 0].copy(), halves[:, 1].copy()]
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(doc_ids), pa.int64()), *map(pa.array, known)], names)
                     continue
                 k = np.frombuffer(found, "<u4")
-                i = number + np.frombuffer(batch.column("lines")[row].as_py(), "<u4").astype(np.int64)
+                i = number + np.frombuffer(batch.column("lines")[row].as_py(), "<u2").astype(np.int64)
                 if len(hot):
                     rows, k, i = hot_rows(k, i)
                     yield rows
@@ -199,8 +209,8 @@ def _banded(docs: DataFrame, buckets: int) -> DataFrame:
             yield members(*crowded(np.concatenate(keys), np.concatenate(ids)))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    dealt = rows.mapInArrow(signed, "group int, number long, keys binary, lines binary, doc_ids binary, places binary").repartition(buckets, "group")
-    return dealt.sortWithinPartitions("group").mapInArrow(met, "key long, id long, doc_id long, pos int")
+    dealt = rows.mapInArrow(signed, "group int, number long, keys binary, lines binary, doc_ids binary, places binary, digests binary").repartition(buckets, "group")
+    return dealt.sortWithinPartitions("group").mapInArrow(met, "key long, id long, doc_id long, pos int, h1 long, h2 long")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -280,13 +290,23 @@ def kept_lines(docs: DataFrame, bound: float = 0.8) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     banded = materialize(_banded(docs, max(1, -(-size // GROUP_BYTES))), "banded")
     spark = docs.sparkSession
-    places = materialize(banded.filter("doc_id IS NOT NULL").select("id", "doc_id", "pos"), "places")
-    members = materialize(banded.filter("key IS NOT NULL").select("key", "id").distinct(), "members")
+    release_shuffles(spark)
+    # equal lines are one from here on, known by the number of the first of them
+    first = F.min(F.struct("doc_id", "pos", "id")).over(Window.partitionBy("h1", "h2"))
+    placed = banded.filter("doc_id IS NOT NULL").select("id", "doc_id", "pos", first["id"].alias("line"))
+    placed = materialize(placed, "placed")
+    places = placed.filter("id = line").select("id", "doc_id", "pos")
+    met = banded.filter("key IS NOT NULL").select("key", "id").join(placed.select("id", "line"), "id")
+    met = materialize(met.select("key", F.col("line").alias("id")).distinct(), "met")
     discard(banded)
-    wanted = materialize(places.join(members.select("id").distinct(), "id"), "wanted")
+    several = met.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
+    members = materialize(met.join(several.select("key"), "key", "left_semi"), "members")
+    discard(met)
+    wanted = materialize(places.join(members.select("id").distinct(), "id", "left_semi"), "wanted")
     release_shuffles(spark)
     texts = materialize(_texts(docs, wanted), "candidates")
     release_shuffles(spark)
+    sketches = materialize(_sketches(texts), "sketches")
 
     def compare(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs = materialize(pairs, "pairs")
@@ -296,8 +316,8 @@ def kept_lines(docs: DataFrame, bound: float = 0.8) -> DataFrame:
         release_shuffles(spark)
         return found.select("a", "b"), found.withColumn("linked", F.col("likeness") >= bound - 1e-12)
 
-    shared = members.select("id", F.lit(1).alias("n"), F.lit(0).alias("band"), "key")  # sizes are not compared
-    roots = components_of_buckets(shared, compare, bound, _sketches(texts), SKETCH_LONGS)
+    shared = members.join(sketches.select("id", "n"), "id").select("id", "n", F.lit(0).alias("band"), "key")
+    roots = components_of_buckets(shared, compare, bound, sketches, SKETCH_LONGS)
 
     # of every component the line with the first place stays
     linked = roots.select("id", "root").unionByName(roots.select(F.col("root").alias("id"), "root")).distinct().join(wanted, "id")
@@ -305,7 +325,7 @@ def kept_lines(docs: DataFrame, bound: float = 0.8) -> DataFrame:
     gone = linked.join(first, "root").filter("id <> stays").select("id")
     kept = places.join(gone, "id", "left_anti").groupBy("doc_id").agg(F.collect_set("pos").alias("kept"))
     kept = materialize(kept, "kept-lines")
-    discard(places, members, wanted, texts)
+    discard(placed, members, wanted, texts, sketches)
     release_shuffles(spark)
     return kept
 
