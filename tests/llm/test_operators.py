@@ -365,6 +365,26 @@ def test_nearest(spark):
     assert 0.5 < np.mean([len({*a} & {*b}) / 10 for a, b in zip(relaxed.tolist(), exact.tolist())]) <= 1
 
 
+def test_few_distances_are_taken_exactly(monkeypatch):
+    own, taken = np.random.default_rng(13), []
+    for name in {"distances", "pair_distances"} & set(dir(vp_tree)):
+        whole = getattr(vp_tree, name)
+        monkeypatch.setattr(vp_tree, name, lambda a, b, f=whole: taken.append(f(a, b)) or taken[-1])
+    vectors = own.standard_normal((4000, 64))
+    vectors[1000:1100] = vectors[:100]  # ties
+    for shift, scale in ((0, 1), (1e6, 1e-3), (0, 1e-160), (0, 1e150)):
+        rows = shift + scale * vectors
+        tree = vp_tree.build(np.arange(4000), rows)
+        taken.clear()
+        ids, scores = vp_tree.search(tree, np.arange(0, 4000, 100), rows[::100], 10)
+        assert (shift, scale) != (0, 1) or sum(x.size for x in taken) < 0.2 * 40 * 4000
+        for q, found, score in zip(range(0, 4000, 100), ids, scores):
+            d = np.sqrt(((rows - rows[q]) ** 2).sum(axis=1))
+            d[q] = np.inf
+            want = np.lexsort((np.arange(4000), d))[:10]
+            assert (score == d[want]).all() and (found == want).all()
+
+
 def test_host_rules_and_reputation(spark):
     urls = ["http://A.Example.NET/en/x?q#f", "https://example.net", "x://b.example.com/de/", "x://org/fr/1", "x://xorg/fr/1", None, "nothing", "http://good.example.com/a?b://c", "x://bad.example.com/"]
     pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)] + [(100 + k, "http://bad.example.com/%d" % k) for k in range(60)] + [(200 + k, "http://good.example.com/") for k in range(60)], "page_id long, url string")

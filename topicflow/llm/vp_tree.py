@@ -32,6 +32,23 @@ def distances(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return out
 
 
+def pair_distances(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """The same for row k of both."""
+    return np.sqrt(((queries - vectors) ** 2).sum(axis=1))
+
+
+def may_be_within(queries: np.ndarray, vectors: np.ndarray, squares: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """(queries, vectors): false only where the distance is above the query's reach.
+
+    Told from products of matrices; the margin is above their rounding errors, and what overflows may be within.  `squares`
+    are the vectors' squared lengths.
+    """
+    with np.errstate(all="ignore"):
+        both = (queries**2).sum(axis=1)[:, None] + squares[None, :]
+        margin = 8 * (queries.shape[1] + 8) * np.finfo(np.float64).eps
+        return ~(both * (1 - margin) - 2 * (queries @ vectors.T) > (reach * (1 + 1e-12))[:, None] ** 2 + 1e-290)
+
+
 def build(ids: np.ndarray, vectors: np.ndarray, leaf_rows: int = LEAF_ROWS) -> dict[str, np.ndarray]:
     """A tree over the rows: vectors in leaf order, and nodes (first, last, vantage, children, distance bounds of both).
 
@@ -71,9 +88,10 @@ def search(tree: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndarr
 
     A half is passed over for the queries whose distance to the vantage point keeps them, by the triangle inequality, at
     least their k-th best distance / factor away from all of it.  With factor 1 nothing nearer is ever passed over; a
-    larger factor passes over more.
+    larger factor passes over more.  In a leaf only distances that may be among the k best are taken exactly.
     """
     ids, vectors, nodes = tree["ids"], tree["vectors"], tree["nodes"]
+    squares = (vectors**2).sum(axis=1)
     best = np.full((len(queries), k), np.inf)
     owner = np.full((len(queries), k), np.iinfo(np.int64).max)
 
@@ -89,10 +107,18 @@ def search(tree: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndarr
     def visit(number: int, rows: np.ndarray) -> None:
         first, last, left, right = nodes[number, :4].astype(int)
         if left < 0:
-            offer(rows, first, last, distances(queries[rows], vectors[first:last]))
+            near = may_be_within(queries[rows], vectors[first:last], squares[first:last], best[rows, -1])
+            some = np.flatnonzero(near.any(axis=1))
+            if len(some):
+                i, j = np.nonzero(near[some])
+                d = np.full((len(some), last - first), np.inf)
+                d[i, j] = pair_distances(queries[rows[some[i]]], vectors[first + j])
+                offer(rows[some], first, last, d)
             return
         d = distances(queries[rows], vectors[first : first + 1])
-        offer(rows, first, first + 1, d)
+        near = d[:, 0] <= best[rows, -1]
+        if near.any():
+            offer(rows[near], first, first + 1, d[near])
         low, high = nodes[number, 4:8:2], nodes[number, 5:8:2]
         away = np.maximum(np.maximum(low - d, d - high), 0)  # to the near and the far half
         inner_first = away[:, 0] <= away[:, 1]
