@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import add
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,9 @@ from topicflow.session import materialize
 BITMAP_BYTES = 4096
 """Bytes of one row of bitmap_construct_agg."""
 HASH_CACHE = 1_000_000
-"""Word hashes a worker process remembers."""
+"""Word hashes a worker process remembers (about 130 MB)."""
+TEXTS_AT_ONCE = 1000
+"""Rows of a batch whose texts a worker holds as Python objects."""
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -46,6 +49,22 @@ def hash_words(tokens: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, len(tokens))
 
 
+def release_memory() -> None:
+    """Let go of what earlier tasks have left in this worker process, which outlives them: word hashes and free memory of Arrow's.
+
+    For tasks that remember other things; a worker then holds one operator's caches and not those of all before it.
+    """
+    _hashes.clear()
+    pa.default_memory_pool().release_unused()
+
+
+def parts(batches: Iterator[pa.RecordBatch], rows: int = TEXTS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """All rows of the batches in order, at most `rows` at a time; nothing is copied."""
+    for batch in batches:
+        for first in range(0, len(batch), rows):
+            yield batch.slice(first, rows)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit over all bits."""
     x = x ^ (x >> np.uint64(30))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicflow.llm.common import bitmap, components_of_buckets, hash_words, odd_sketch, shingle_hashes, split_by_bitmap, words
+from topicflow.llm.common import bitmap, components_of_buckets, hash_words, odd_sketch, parts, shingle_hashes, split_by_bitmap, words
 from topicflow.session import materialize
 
 BANDS, ROWS = 32, 4
@@ -99,7 +99,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             counts, digests, bands, sketches = [], [], [], []
             for text in batch.column("text").to_pylist():
                 shingles = shingle_hashes(hash_words(words(text, fold=True)), size)
@@ -149,7 +149,7 @@ def _compared(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
                 cache.popitem(last=False)
             return found
 
-        for batch in batches:
+        for batch in parts(batches):
             common, total = [], []
             for left, right in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist()):
                 x, y = shingles(left or ""), shingles(right or "")

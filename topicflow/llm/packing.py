@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topicflow.llm.common import parts, release_memory
 from topicflow.llm.tokens import default_vocabulary, encode_column, encoder, in_order
 
 WINDOW = 1024
@@ -97,6 +98,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, e
     name = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         ends_sentence = encoder(name).ends_sentence()
         sequence = TaskContext.get().partitionId() << 32
         waiting: list[tuple[int | None, int, int, np.ndarray]] = []  # doc_id, its ids before these, all its ids, these
@@ -130,7 +132,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, e
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
         last = np.array([end], "<u4").tobytes()
-        for batch in batches:
+        for batch in parts(batches):
             for doc_id, found in zip(batch.column("doc_id").to_pylist(), encode_column(batch.column("text").to_pylist(), name)):
                 ids = np.frombuffer(found + last, "<u4")
                 waiting.append((doc_id, 0, len(ids), ids))
