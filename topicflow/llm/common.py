@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,8 @@ BITMAP_BYTES = 4096
 """Bytes of one row of bitmap_construct_agg."""
 HASH_CACHE = 1_000_000
 """Word hashes a worker process remembers (about 130 MB)."""
+SMALL_BUCKET = 64
+"""Members up to which a bucket is compared pair by pair: 31.5 pairs a member at most."""
 TEXTS_AT_ONCE = 1000
 """Rows of a batch whose texts a worker holds as Python objects."""
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -136,9 +138,13 @@ def split_by_bitmap(df: DataFrame, key: str, bits_of: DataFrame, bits: int = 1 <
     """Rows of `df` whose key may be in the bitmap, and those whose key surely is not; neither moves."""
     position = F.pmod(F.xxhash64(key), F.lit(bits)) + 1
     tagged = df.withColumn("_position", position).withColumn("_bucket", F.bitmap_bucket_number("_position"))
-    joined = tagged.join(F.broadcast(bits_of), "_bucket", "left")
+    # pieces of 64 bytes, as every row that is looked up copies the piece it finds
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(BITMAP_BYTES // 64 - 1)), lambda k: F.substring(F.col("_bits"), k * 64 + 1, F.lit(64)))
+    pieces = bits_of.select("_bucket", F.posexplode(pieces).alias("_piece", "_bits"))
     offset = F.bitmap_bit_position("_position")
-    byte = F.conv(F.hex(F.substring("_bits", (offset / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    tagged = tagged.withColumn("_piece", F.shiftright(offset.cast("int"), 9))
+    joined = tagged.join(F.broadcast(pieces), ["_bucket", "_piece"], "left")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright((offset % 512).cast("int"), 3) + 1, F.lit(1))), 16, 10).cast("int")
     hit: Column = F.coalesce(F.shiftright(byte, 0).bitwiseAND(F.pow(F.lit(2), offset % 8).cast("int")) != 0, F.lit(False))
     return joined.filter(hit).select(df.columns), joined.filter(~hit).select(df.columns)
 
@@ -165,6 +171,16 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
 
 
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Components, as from `components`, after more links (a, b) between the members of these."""
+    at_a, at_b = (roots.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    between = links.join(at_a, "a", "left").join(at_b, "b", "left")
+    between = between.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    found = components(between)
+    moved = roots.join(found.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left")
+    return materialize(moved.select("id", F.coalesce("top", "root").alias("root")).unionByName(found), "roots")
+
+
 def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
@@ -178,7 +194,8 @@ def components_of_buckets(
     those it will not need to see again and (a, b, likeness, linked) of those it measured.  `bound` is the Jaccard
     similarity of a link.  sketches: (id, n, sketch) with the true size of the set and its `odd_sketch` of `longs` longs.
 
-    Members are first compared with their bucket's centre, the member that meets most others over all bands; those in
+    Members of a bucket of at most SMALL_BUCKET are compared pair by pair, less the pairs that sizes and sketches rule out.
+    Those of a larger one are first compared with their bucket's centre, the member that meets most others over all bands; those in
     another component than the centre then with a centre of their own.  What still stands apart in a bucket is compared
     pair by pair, unless sizes, the distances to the centres (Jaccard distance obeys the triangle inequality) or more
     differing bits of their sketches than linked sets can have differing elements already forbid a link.  So a group of copies of one text costs a few comparisons per member, and no link between components
@@ -186,11 +203,14 @@ def components_of_buckets(
     """
     bucket, farthest = ["band", "key"], 1 - bound + 1e-9
     counted = shared.groupBy(bucket).agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("met")).filter("low < high")
-    met = materialize(shared.join(counted.drop("low", "high"), bucket), "buckets")
+    every = materialize(shared.join(counted.drop("low", "high"), bucket), "buckets")
+    met = every.filter(F.col("met") > SMALL_BUCKET)
     members = met.drop("met").join(met.groupBy("id").agg(F.sum("met").alias("degree")), "id")
-    members = materialize(members, "buckets")
     order = F.struct("degree", F.xxhash64("id"))
     tried: list[DataFrame] = []
+    # linked sets differ in at most this share of their sizes' sum
+    most = (F.col("n") + F.col("m")) * ((1 - bound) / (1 + bound)) + 1e-6
+    few = (differing_bits("sketch", "other_sketch", longs // 4) <= most) & (differing_bits("sketch", "other_sketch", longs) <= most)
 
     def measured(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
@@ -218,11 +238,23 @@ def components_of_buckets(
             possible &= F.coalesce(F.abs(F.col(x) - F.col(y)) <= farthest, F.lit(True))
         return possible
 
+    small = every.filter(F.col("met") <= SMALL_BUCKET).select("id", "n", *bucket)
+    x, y = small.alias("x"), small.alias("y")
+    same = reduce(and_, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in bucket])
+    pairs = x.join(y, same & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("id"), F.col("y.id").alias("other"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
+    pairs = pairs.filter(may_link()).distinct()
+    drawn = sketches.select("id", "sketch")
+    pairs = pairs.join(drawn, "id").join(drawn.select(F.col("id").alias("other"), F.col("sketch").alias("other_sketch")), "other").filter(few)
+    found = measured(pairs)
+    roots = components(found.filter("linked").select("a", "b"))
+    if met.isEmpty():
+        return roots
+
+    members = materialize(members, "buckets")
     centres = members.groupBy(bucket).agg(F.max_by(F.struct("id", "n"), order).alias("c"))
     members = materialize(members.join(centres.select(*bucket, F.col("c.id").alias("other"), F.col("c.n").alias("m")), bucket), "buckets")
-    found = measured(members.filter((F.col("id") != F.col("other")) & may_link()))
-    links = found.filter("linked").select("a", "b")
-    roots = components(links)
+    found = found.unionByName(measured(members.filter((F.col("id") != F.col("other")) & may_link())))
+    roots = merged(roots, found.filter("linked").select("a", "b"))
 
     rest = materialize(distance(apart(members.drop("m"), roots), found, "d1"), "apart")
     centre_root = roots.select(F.col("id").alias("other"), F.col("root").alias("centre_root"))
@@ -230,17 +262,13 @@ def components_of_buckets(
     centres = strangers.groupBy(bucket).agg(F.max_by(F.struct("id", "n", "root", "d1"), order).alias("c"))
     centres = centres.select(*bucket, F.col("c.id").alias("other"), F.col("c.n").alias("m"), F.col("c.root").alias("other_root"), F.col("c.d1").alias("e1"))
     rest = materialize(rest.drop("other").join(centres, bucket), "apart")
-    found = measured(rest.filter((F.col("root") != F.col("other_root")) & may_link(("d1", "e1"))))
-    links = links.unionByName(found.filter("linked").select("a", "b"))
-    roots = components(links)
+    found = found.unionByName(measured(rest.filter((F.col("root") != F.col("other_root")) & may_link(("d1", "e1")))))
+    roots = merged(roots, found.filter("linked").select("a", "b"))
 
     rest = distance(apart(rest.drop("root", "other_root", "m", "e1"), roots), found, "d2").drop("other", "n")
     rest = materialize(rest.join(sketches.select("id", "n", "sketch"), "id"), "apart")
     renamed = {"id": "other", "n": "m", "root": "other_root", "d1": "e1", "d2": "e2", "sketch": "other_sketch"}
     mates = rest.select(*bucket, *(F.col(x).alias(y) for x, y in renamed.items()))
-    # linked sets differ in at most this share of their sizes' sum
-    few = differing_bits("sketch", "other_sketch", longs) <= (F.col("n") + F.col("m")) * ((1 - bound) / (1 + bound)) + 1e-6
     different = (F.col("id") < F.col("other")) & (F.col("root") != F.col("other_root"))
     pairs = rest.join(mates, bucket).filter(different & may_link(("d1", "e1"), ("d2", "e2")) & few)
-    links = links.unionByName(measured(pairs).filter("linked").select("a", "b"))
-    return components(links)
+    return merged(roots, measured(pairs).filter("linked").select("a", "b"))
